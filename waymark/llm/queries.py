@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, token_counts
+from . import exact_dedup, language_id, line_dedup, mixing, packing, token_counts
 from .common import read_table
 
 
@@ -43,6 +43,10 @@ FROM e JOIN p ON source IS NOT DISTINCT FROM src
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -77,5 +81,17 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op5_token_counts": op5_token_counts, "op7_dedup_lines": op7_dedup_lines, "op9_exact_dedup": op9_exact_dedup}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
+    "op7_dedup_lines": op7_dedup_lines,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
+}
 SQL = {"op1_mix_sources": OP1_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL}
