@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, token_counts
+from . import exact_dedup, language_id, line_dedup, media, mixing, packing, token_counts
 from .common import read_table
 
 
@@ -71,6 +71,10 @@ SELECT d.doc_id, z.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_rem
 """
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measured(media.stored(read_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.assignments(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -91,6 +95,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op7_dedup_lines": op7_dedup_lines,
+    "op8_media_columns": op8_media_columns,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
