@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, media, mixing, packing, token_counts
+from . import exact_dedup, language_id, line_dedup, media, mixing, packing, token_counts, warc
 from .common import read_table
 
 
@@ -52,6 +52,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    out = warc.read_records(warc.archive(pages))
+    number = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return out.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -94,9 +109,10 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op7_dedup_lines": op7_dedup_lines,
     "op8_media_columns": op8_media_columns,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL}
