@@ -151,13 +151,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     u = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     wanted = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([vector(t) for t in texts])
+        return pd.Series([vector(t).tobytes() for t in texts])
 
     sample = rows.where(u < F.element_at(wanted, F.col("lang"))).select("lang", "id", embed("text").alias("v")).collect()
     sample.sort(key=lambda r: (r["lang"], r["id"] or "", r["v"]))
-    return LanguageModel(np.array([r["v"] for r in sample], dtype=np.float32), [r["lang"] for r in sample])
+    return LanguageModel(np.array([np.frombuffer(r["v"], np.float32) for r in sample]).reshape(-1, DIMS), [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
