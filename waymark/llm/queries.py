@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, token_counts, warc
+from . import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc
 from .common import read_table
 
 
@@ -48,6 +48,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.passages(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start", "end", F.col("first_id").alias("first_doc_id"), "first_start", "first_end", "similarity")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -113,6 +118,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
