@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from . import trajectory_queries
+
+MODULES = [trajectory_queries]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
+FLAGSHIP = trajectory_queries.clean_pipeline
