@@ -84,3 +84,32 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "vec_id", (4 * F.floor(F.col("vec_id") / 25)).cast("int").alias("y"), (4 * (F.col("vec_id") % 25)).cast("int").alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("data"), F.transform("embedding", lambda v: (v > 0).cast("int")).alias("pixels")
     )
+
+
+CELL = 0.0004
+
+
+def trail_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region (an object), eid, u, v, coords, length: the cells that an object visits as nodes, its moves as edges."""
+    from pyspark.sql import Window
+
+    from ..functions import geo
+    from ..operators.network import numbered
+
+    cell = (F.floor((F.col("lat") - 34.2) / CELL) * 100000 + F.floor((F.col("lng") - 108.9) / CELL)).cast("long")
+    p = gps(spark, sf_dir).select(F.col("oid").alias("region"), "time", "seq", cell.alias("v"))
+    moves = p.withColumn("u", F.lag("v").over(Window.partitionBy("region").orderBy("time", "seq"))).where("u is not null and u <> v")
+    e = moves.select("region", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    a, b = cell_centre(F.col("u")), cell_centre(F.col("v"))
+    return numbered(e).select("region", "eid", "u", "v", F.array(a, b).alias("coords"), geo.haversine_m(a["lat"], a["lng"], b["lat"], b["lng"]).alias("length"))
+
+
+def cell_centre(node):
+    row, col = F.floor(node / 100000).cast("double"), (node % 100000).cast("double")
+    return F.struct((F.lit(34.2) + (row + 0.5) * CELL).alias("lat"), (F.lit(108.9) + (col + 0.5) * CELL).alias("lng"))
+
+
+def trail_nodes(edges: DataFrame) -> DataFrame:
+    n = edges.select("region", F.col("u").alias("node")).union(edges.select("region", "v")).distinct()
+    c = cell_centre(F.col("node"))
+    return n.select("region", "node", c["lat"].alias("lat"), c["lng"].alias("lng"))
