@@ -31,7 +31,9 @@ from .common import fresh, materialize
 
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 12, 3
-BLOCK_NODES = 128
+BLOCK_NODES = 256
+#: Shingles that are compared at a time.
+CHUNK = 4096
 ORDERS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -165,50 +167,83 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """Links within buckets that still hold several components."""
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _overlaps(x: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each two sequences share. Columns of the product stand for shingles that several have."""
+    n, rows = len(x), np.repeat(np.arange(len(x)), [len(v) for v in x])
+    values, column, count = np.unique(np.concatenate(x) if x else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    several = count[column] > 1
+    rows, column = rows[several], place[column[several]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        i, j = np.searchsorted(column, (lo, lo + CHUNK))
+        part = np.zeros((n, CHUNK), np.float32)
+        part[rows[i:j], column[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame | None:
+    """Links within buckets that still hold several components: all others against the largest, and among themselves."""
+    known = materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
+    parts = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
     open_buckets = (
-        known.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
-        .where("low <> high")
+        known.groupBy("bucket", "label")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
+        .groupBy("bucket")
+        .agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("n"), F.sum("who").alias("who"))
+        .where("n_labels > 1")
         .groupBy("n", "who")  # buckets of the same nodes are one
-        .agg(F.min("bucket").alias("bucket"))
-        .withColumn("parts", F.ceil(F.col("n") / BLOCK_NODES).cast("int"))
-        .drop("who", "n")
+        .agg(F.min(F.struct("bucket", "main")).alias("b"))
+        .select("b.bucket", F.col("b.main.label").alias("main"), parts(F.col("b.main.n")).alias("main_parts"), parts(F.col("n") - F.col("b.main.n")).alias("other_parts"))
     )
     rest = materialize(known.join(open_buckets, "bucket"), "open-buckets")
     if rest.isEmpty():
         return None
     texts = _texts(docs, id_col, text_col, nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "id"))
-    own = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    cells = rest.select("bucket", "node", "label", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label").join(texts, "node")
+    is_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("node", F.lit("part")), F.when(is_main, F.col("main_parts")).otherwise(F.col("other_parts"))).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    placed = rest.select("bucket", "node", "label", is_main.alias("is_main"), own.alias("part"), "main_parts", "other_parts")
+    to = F.when(F.col("is_main"), F.transform(upto("other_parts"), lambda o: cell(0, F.col("part"), o))).otherwise(
+        F.concat(
+            F.transform(upto("main_parts"), lambda m: cell(0, m, F.col("part"))),
+            F.transform(upto("other_parts"), lambda o: cell(1, F.least(F.col("part"), o), F.greatest(F.col("part"), o))),
+        )
+    )
+    cells = placed.select("bucket", "node", "label", "is_main", "part", F.explode(to).alias("c")).select("bucket", "c.kind", "c.i", "c.j", "is_main", "part", "node", "label").join(texts, "node")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        nodes, parts, names = (table.column(c).to_pylist() for c in ("node", "part", "label"))
+        nodes, part, names = (table.column(c).to_pylist() for c in ("node", "part", "label"))
+        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
         x = _labels(table.column("text").combine_chunks())
-        parent: dict[bytes, bytes] = {}
+        sizes = np.array([len(v) for v in x])
+        group, side = np.unique(names, return_inverse=True)[1], np.array(table.column("is_main").to_pylist() if kind == 0 else part)
+        meets = group[:, None] != group[None, :]
+        if kind == 0 or i != j:
+            meets &= side[:, None] != side[None, :]
+        # The share of shingles in common bounds the similarity from above.
+        meets &= _overlaps(x) * (1 + least) >= least * (sizes[:, None] + sizes[None, :]) - 1e-3
+        parent = {}
 
         def root(v: bytes) -> bytes:
             while parent.get(v, v) != v:
                 v = parent[v]
             return v
 
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         out = []
-        for p in range(len(x)):
-            for q in range(p + 1, len(x)):
-                if i != j and parts[p] == parts[q] or min(len(x[p]), len(x[q])) < least * max(len(x[p]), len(x[q])):
-                    continue
-                r, s = root(names[p]), root(names[q])
-                if r != s and aligned(x[p], x[q], least) > 0:
-                    parent[max(r, s)] = min(r, s)
-                    out.append((nodes[p], nodes[q]))
+        for p, q in np.argwhere(np.triu(meets, 1)).tolist():
+            r, s = root(names[p]), root(names[q])
+            if r != s and aligned(x[p], x[q], least) > 0:
+                parent[max(r, s)] = min(r, s)
+                out.append((nodes[p], nodes[q]))
         return pa.table([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return cells.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
+    return cells.groupBy("bucket", "kind", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
