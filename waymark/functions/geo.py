@@ -20,6 +20,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also within higher-order functions, where common parts are not shared."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def haversine_m(lat1, lng1, lat2, lng2, radius: float = EARTH_M) -> Column:
     """Great-circle distance; exactly 0 for equal coordinates."""
     lat1, lng1, lat2, lng2 = map(_c, (lat1, lng1, lat2, lng2))
@@ -49,27 +54,35 @@ def interpolate(lat1, lng1, lat2, lng2, rate) -> tuple[Column, Column]:
 
 def project(lat1, lng1, lat2, lng2, lat, lng, to_line: bool = False) -> Column:
     """struct(lat, lng, rate, dist): the foot of a point on the segment from 1 to 2, or on its line."""
+    lat1, lng1, lat2, lng2, lat, lng = map(_c, (lat1, lng1, lat2, lng2, lat, lng))
     length = haversine_m(lat1, lng1, lat2, lng2)
     along = haversine_m(lat1, lng1, lat, lng) * F.cos(F.radians(bearing(lat1, lng1, lat, lng) - bearing(lat1, lng1, lat2, lng2)))
-    rate = F.when(length == 0, 0.0).otherwise(along / length)
+
+    def foot(rate: Column) -> Column:
+        y, x = interpolate(lat1, lng1, lat2, lng2, rate)
+        if not to_line:  # the ends are exact
+            y = F.when(rate >= 1, lat2).when(rate <= 0, lat1).otherwise(y)
+            x = F.when(rate >= 1, lng2).when(rate <= 0, lng1).otherwise(x)
+        return F.struct(y.alias("lat"), x.alias("lng"), rate.alias("rate"))
+
+    def measured(p: Column) -> Column:
+        return F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"), p["rate"].alias("rate"), haversine_m(lat, lng, p["lat"], p["lng"]).alias("dist"))
+
+    rate = let(F.struct(length.alias("length"), along.alias("along")), lambda m: F.when(m["length"] == 0, 0.0).otherwise(m["along"] / m["length"]))
     if not to_line:
         rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate))
-    y, x = interpolate(lat1, lng1, lat2, lng2, rate)
-    if not to_line:  # the ends are exact
-        y = F.when(rate >= 1, _c(lat2)).when(rate <= 0, _c(lat1)).otherwise(y)
-        x = F.when(rate >= 1, _c(lng2)).when(rate <= 0, _c(lng1)).otherwise(x)
-    return F.struct(y.alias("lat"), x.alias("lng"), rate.alias("rate"), haversine_m(lat, lng, y, x).alias("dist"))
+    return let(let(rate, foot), measured)
 
 
 def nearest_on_polyline(coords: Column, lat, lng) -> Column:
     """struct(dist, i, rate, lat, lng) of the nearest segment of an array of struct(lat, lng); of equal ones the first."""
 
-    def part(i):
+    def foot(i):
         a, b = F.element_at(coords, i), F.element_at(coords, i + 1)
-        p = project(a["lat"], a["lng"], b["lat"], b["lng"], lat, lng)
-        return F.struct(p["dist"].alias("dist"), (i - 1).alias("i"), p["rate"].alias("rate"), p["lat"].alias("lat"), p["lng"].alias("lng"))
+        return project(a["lat"], a["lng"], b["lat"], b["lng"], lat, lng)
 
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(coords) - 1), part))
+    feet = F.transform(F.sequence(F.lit(1), F.size(coords) - 1), foot)
+    return F.array_min(F.transform(feet, lambda p, i: F.struct(p["dist"].alias("dist"), i.alias("i"), p["rate"].alias("rate"), p["lat"].alias("lat"), p["lng"].alias("lng"))))
 
 
 def length_m(coords: Column) -> Column:

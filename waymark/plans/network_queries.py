@@ -66,15 +66,15 @@ def src_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_paths(spark, _through_text(text.path_blocks(p), "paths")).drop("oid")
 
 
-@query(f"WITH {TRIPS} SELECT tid, oid::VARCHAR AS oid, date_trunc('second', min(time)) AS start_time, count(*)::INT AS n, round(avg(round(lat, 7)), 6) AS lat FROM trips GROUP BY tid, oid HAVING count(*) > 1")
+@query(f"WITH {TRIPS} SELECT tid, oid::VARCHAR AS oid, date_trunc('second', min(time)) AS start_time, count(*)::INT AS n, round(sum(round(lat, 7)), 6) AS lat FROM trips GROUP BY tid, oid HAVING count(*) > 1")
 def src_wkt_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories as WKT in CSV, read back."""
     path = scratch_path(spark, "wkt")
     out = text.trajectories_to_wkt(_trips(spark, sf_dir))
     out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_time", "end_time")}).write.csv(path, header=True)
     back = text.read_wkt_csv(spark, path)
-    mean = F.aggregate("pts", F.lit(0.0), lambda s, p: s + p["lat"]) / F.size("pts")
-    return back.select("tid", "oid", "start_time", F.size("pts").alias("n"), r(mean).alias("lat"))
+    total = F.aggregate("pts", F.lit(0.0), lambda s, p: s + p["lat"])
+    return back.select("tid", "oid", "start_time", F.size("pts").alias("n"), r(total).alias("lat"))
 
 
 @query(f"WITH {S.GPS} SELECT 'taxi_' || (oid % 10)::VARCHAR AS oid, date_trunc('second', time) AS time, lat, lng FROM gps")
