@@ -11,12 +11,37 @@ NEAR4 = ((-1, 0), (1, 0), (0, -1), (0, 1))
 NEAR8 = (*NEAR4, (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 
-def window_origins(width: int, height: int, size: int, stride: int) -> list[tuple[int, int]]:
-    """Left upper corners of a sliding window, row by row; the last ones reach over the edge if need be."""
-    steps = lambda n: range(0, max(n - size, 0) + (stride if (n - size) % stride else 1), stride)
+def window_origins(width: int, height: int, size: int, stride: int, padding: bool = True) -> list[tuple[int, int]]:
+    """Left upper corners of a sliding window, row by row. With padding, windows may reach over the right and lower edge."""
+    steps = lambda n: [v for v in range(0, n, stride) if padding or v + size <= n]
     return [(x, y) for y in steps(height) for x in steps(width)]
 
 
+def window_place(index: Column, width: int, stride: int) -> tuple[Column, Column]:
+    """x and y of a numbered window of a padded grid."""
+    across = -(-width // stride)
+    return (index % across * stride).cast("int"), (F.floor(index / across) * stride).cast("int")
+
+
+def crop(canvas: DataFrame, windows: DataFrame, size: int, stride: int) -> DataFrame:
+    """Pixels of the canvas within each window (idx, wx, wy): idx, dy, dx, v. Each pixel goes to the windows that hold it, by
+    arithmetic on the stride; windows are joined on their corner, so places beyond the edge simply have no pixel."""
+    reach = lambda c: F.sequence(F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)), F.floor(F.col(c) / stride))
+    near = canvas.withColumn("wx", F.explode(reach("x"))).withColumn("wy", F.explode(reach("y")))
+    near = near.withColumns({"wx": (F.col("wx") * stride).cast("int"), "wy": (F.col("wy") * stride).cast("int")})
+    return near.join(windows, ["wx", "wy"]).select("idx", (F.col("y") - F.col("wy")).alias("dy"), (F.col("x") - F.col("wx")).alias("dx"), "v")
+
+
+def region_patches(regions: DataFrame) -> DataFrame:
+    """region, split to patch (4 for each region, by rows), split: patches inherit the split of their region."""
+    return regions.select("region", "split", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select((F.col("region") * 4 + F.col("k")).alias("patch"), "region", "split")
+
+
+def leaked_regions(patches: DataFrame) -> DataFrame:
+    """Regions whose patches lie in several splits."""
+    return patches.groupBy("region").agg(F.countDistinct("split").alias("n")).where("n > 1").select("region")
+
+
 def to_pixels(patches: DataFrame, side: int, column: str = "pixels") -> DataFrame:
     """Sparse pixels of patches placed at (y, x) on one canvas."""
     p = patches.select("vec_id", "y", "x", F.posexplode(column).alias("k", "v")).where("v <> 0")
