@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, temporal
 from ..operators import raster
 from ..operators import trajectory as T
+from ..operators.numbering import numbered
 from ..sources import fixtures as X
 from ..sources import maps, text
 from ..sources.scratch import scratch_path
@@ -117,6 +118,14 @@ def idx_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), y.alias("y"))
 
 
+@query("WITH f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS position FROM embeddings), s AS (SELECT vec_id AS idx, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT vec_id, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM embeddings)) SELECT split, position, vec_id FROM s JOIN f ON position = idx")
+def src_patch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of a split file are positions in the list of patch files, sorted as text."""
+    p = X.patches(spark, sf_dir).select("vec_id")
+    files = numbered(p, [F.col("vec_id").cast("string")], "position")
+    return files.join(raster.split_by_hash(p.withColumnRenamed("vec_id", "position"), "position"), "position").select("split", "position", "vec_id")
+
+
 CANVAS = "px AS (SELECT vec_id, (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, CASE WHEN embedding[k + 1] > 0 THEN 1 ELSE 0 END AS v FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)), canvas AS (SELECT DISTINCT y, x FROM px WHERE v = 1)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .scratch import scratch_path
+from ..operators.numbering import numbered
 
 #: Ways that are no roads for cars (fixed values).
 NO_ROADS = ("footway", "path", "service", "parking", "driveway", "cycleway", "steps", "bridleway")
@@ -31,13 +31,7 @@ def read_network(spark: SparkSession, path: str, keep_eid: bool = False) -> Data
     raw = spark.read.csv(path, header=True, schema="eid long, length double, wkt string")
     e = raw.select("eid", geo.parse_wkt_line(F.col("wkt")).alias("coords")).where("size(coords) > 1")
     if not keep_eid:
-        # Counting before numbering would need one task; the rank within ranges of the number plus their offsets does not.
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranges = scratch_path(spark, "edge-ranges")  # ranges are drawn from a sample, so both uses must see the same ones
-        e.repartitionByRange(n, "eid").withColumn("part", F.spark_partition_id()).write.parquet(ranges)
-        p = spark.read.parquet(ranges)
-        sizes = p.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).drop("count")
-        e = p.join(F.broadcast(sizes), "part").withColumn("eid", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("eid")) - 1).drop("part", "before")
+        e = numbered(e.withColumnRenamed("eid", "stored"), [F.col("stored")], "eid").drop("stored").select("eid", "coords")
     ends = [F.element_at("coords", 1), F.element_at("coords", -1)]
     last = F.max("eid").over(Window.partitionBy(*ends))
     return e.withColumn("_last", last).where("eid = _last").drop("_last").withColumn("length", geo.length_m(F.col("coords")))
