@@ -89,6 +89,7 @@ def test_mixing_odd_rows(spark):
     out = mixing.plan(df)
     assert out.count() == len(odd_rows())
     assert {r.source for r in out.where("size = 0").collect()} >= {"b", None}
+    assert out.where("copies > 3 or copies < 0").count() == 0
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     took = {(r.id, r.source): r.copies for r in out.collect()}

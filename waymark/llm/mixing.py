@@ -103,7 +103,7 @@ def plan(docs: DataFrame, weigh=ranked_weights, id_col: str = "doc_id", text_col
     second = second.select("src", (F.col("b2") + F.when(F.col("rest") * 2 > F.col("upto") * 2 - F.col("words"), 1).otherwise(0)).alias("cut2"))
     cuts = materialize(goals.join(first.join(second.withColumnRenamed("src", "src2"), F.col("src").eqNullSafe(F.col("src2"))).drop("src2").withColumnRenamed("src", "src1"), F.col("src").eqNullSafe(F.col("src1")), "left").drop("src1"), "plan")
     more = (F.col("b1") < F.col("cut1")) | ((F.col("b1") == F.col("cut1")) & (F.col("b2") < F.col("cut2")))
-    copies = F.col("whole") + F.coalesce(more.cast("long"), F.lit(0))
+    copies = F.least(F.col("whole") + F.coalesce(more.cast("long"), F.lit(0)), F.lit(max_epochs).cast("long"))
     return sized.join(cuts, same).select("id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
