@@ -49,7 +49,7 @@ def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: floa
         for d, n in near:
             if n not in taken and d < snap_m:
                 snapped[p] = n
-                taken |= {m for m, far in shortest(b, n).items() if far <= APART_M}
+                taken |= {m for m, far in shortest(b, n, APART_M).items() if far <= APART_M}
                 break
     total, n = 0.0, 0
     inner = {p: shortest(a, p) for p in snapped}
@@ -86,7 +86,7 @@ def apls(truth: DataFrame, pred: DataFrame, nodes: DataFrame, snap_m: float = 10
 
 def walk(near: dict, at: dict, start, radius: float, step: float) -> list[tuple[float, float]]:
     """Points at every step along all edges within a radius (metres) of a start node."""
-    best, out = shortest(near, start), []
+    best, out = shortest(near, start, radius), []
     for u in sorted(near):
         for v, w in sorted(near[u].items()):
             if u > v or min(best.get(u, math.inf), best.get(v, math.inf)) > radius:

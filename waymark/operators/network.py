@@ -150,11 +150,13 @@ def compress(edges: DataFrame) -> DataFrame:
     return edges.select("region", "u", "v", "length").groupBy("region").applyInPandas(run, out)
 
 
-def shortest(near: dict, source) -> dict:
-    """Distances from source by Dijkstra's algorithm. near: node -> {node: weight}."""
+def shortest(near: dict, source, limit: float = float("inf")) -> dict:
+    """Distances from source by Dijkstra's algorithm, all of those up to limit. near: node -> {node: weight}."""
     best, heap = {source: 0}, [(0, source)]
     while heap:
         d, n = heapq.heappop(heap)
+        if d > limit:
+            break
         if d > best[n]:
             continue
         for m, w in near.get(n, {}).items():

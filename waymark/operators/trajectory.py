@@ -99,7 +99,9 @@ def _beyond(pts: Column, i: Column, max_dist: float) -> Column:
 
     def far(j):
         b = F.element_at(pts, j + 1)
-        return geo.haversine_m(a["lat"], a["lng"], b["lat"], b["lng"]) > max_dist
+        dy, dx = F.abs(a["lat"] - b["lat"]), F.abs(a["lng"] - b["lng"])
+        # A degree of a great circle is 111195.08 m: bounds from below and above settle most pairs.
+        return F.when(dy * 111_190.0 > max_dist, True).when((dy + dx) * 111_200.0 <= max_dist, False).otherwise(geo.haversine_m(a["lat"], a["lng"], b["lat"], b["lng"]) > max_dist)
 
     return F.when(i + 1 >= n, n).otherwise(F.coalesce(F.try_element_at(F.filter(F.sequence(i + 1, n - 1), far), F.lit(1)), n))
 
