@@ -144,6 +144,20 @@ def test_stay_flag_must_be_true_or_false(spark, tmp_path):
         text.read_trajectories(spark, str(tmp_path / "a"), extra=("stay",)).collect()
 
 
+def test_taxi_logs_take_the_file_name(spark, tmp_path):
+    (tmp_path / "taxi7.txt").write_text("7,2024-01-01 00:00:00,108.9,34.2\n7,2024-01-01 00:01:00,108.8,34.3\n")
+    (tmp_path / "taxi8.txt").write_text("8,2024-01-01 00:00:00,108.9,34.2\n")
+    out = text.read_taxi_logs(spark, str(tmp_path)).orderBy("time").collect()
+    assert [(r.oid, r.lat, r.lng) for r in out] == [("taxi7", 34.2, 108.9), ("taxi7", 34.3, 108.8)]
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from waymark.operators.numbering import numbered
+
+    df = spark.range(500).selectExpr("(id * 7919) % 500 as k")
+    assert [(r.k, r.n) for r in numbered(df, [F.col("k")], "n").orderBy("k").collect()] == [(i, i) for i in range(500)]
+
+
 def test_bad_wkt_rows_are_skipped(spark, tmp_path):
     rows = [("a", "1", "2024-01-01 00:00:00", "2024-01-01 00:01:00", "LINESTRING (1 2, 3 4)"), ("b", "1", "never", "2024-01-01 00:01:00", "LINESTRING (1 2, 3 4)"), ("c", "1", "2024-01-01 00:00:00", "2024-01-01 00:01:00", "POINT (1 2)"), ("d", "1", "2024-01-01 00:00:00", "2024-01-01 00:01:00", "LINESTRING (1 2)")]
     spark.createDataFrame(rows, "tid string, oid string, start_time string, end_time string, wkt string").write.csv(str(tmp_path / "w"), header=True)
