@@ -189,6 +189,39 @@ def test_passages_left_over_are_compared_in_blocks(spark, monkeypatch):
     assert {r.id for r in out} == {7, 11, 30, 9, 21, 40}
 
 
+def _spans(spark, docs):
+    """Words of each text that are reported as repeated."""
+    out = defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        out[r.id].update(range(r.start, r.end))
+    return out
+
+
+def _repeats(docs):
+    """Words of each text that lie in 50 words which an earlier text has too."""
+    seen, out = {}, defaultdict(set)
+    for k, t in sorted(docs):
+        w = t.split()
+        grams = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        for i, g in enumerate(grams):
+            if g in seen:
+                out[k].update(range(i, i + 50))
+        seen.update(dict.fromkeys(grams))
+    return out
+
+
+def test_periodic_repeats_match_brute_force(spark):
+    docs = []
+    for k, (period, length) in enumerate(((1, 120), (2, 120), (8, 160), (12, 600))):
+        line = words(period, 300 + k)
+        run = (line * length)[:length]
+        docs += [(2 * k + i, " ".join(words(60 + 20 * i, 400 + 2 * k + i) + run + words(70, 500 + 2 * k + i))) for i in range(2)]
+    got, want = _spans(spark, docs), _repeats(docs)
+    assert set(got) == set(want) == {1, 3, 5, 7}
+    for k in want:
+        assert want[k] <= got[k] and len(got[k] - want[k]) <= 20
+
+
 def test_passages_of_documents(spark, sf_dir):
     docs = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     docs = {k: WORD.findall(t) for k, t in docs.items()}
