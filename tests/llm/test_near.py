@@ -222,6 +222,33 @@ def test_periodic_repeats_match_brute_force(spark):
         assert want[k] <= got[k] and len(got[k] - want[k]) <= 20
 
 
+def _variant(base, seed, edits=2):
+    """base (50 words) with so many words replaced, which keeps all its signatures."""
+    r = np.random.default_rng(seed)
+
+    def signed(w):
+        ((_, b),) = shingles.blocks(pa.array([" ".join(w)]))
+        return sorted(substring_dedup.signatures(shingles.shingles(b))[1].tolist())
+
+    while True:
+        out = list(base)
+        for at in r.choice(np.arange(4, 46), edits, replace=False).tolist():
+            out[at] = f"x{int(r.integers(10**6))}"
+        kept = len({tuple(out[i : i + 5]) for i in range(46)} & {tuple(base[i : i + 5]) for i in range(46)})
+        if kept == 46 - 5 * edits and signed(out) == signed(base):
+            return out
+
+
+def test_every_place_of_a_passage_is_found(spark):
+    twice, hidden, third = words(55, 700), words(50, 701), words(50, 702)
+    text = lambda seed, *parts: " ".join(sum(([*words(30, seed + i), *p] for i, p in enumerate(parts)), []) + words(30, seed + 9))
+    docs = [(0, text(710, twice)), (1, text(720, twice, twice)), (2, text(730, hidden)), (3, text(740, _variant(hidden, 1), hidden))]
+    docs += [(4, text(750, _variant(third, 2), third)), (5, text(760, third))]  # the edited copy comes first in the first text
+    got, want = _spans(spark, docs), _repeats(docs)
+    assert set(got) == set(want) == {1, 3, 5}
+    assert len(want[1]) == 110 and all(want[k] <= got[k] and len(got[k] - want[k]) <= 10 for k in want)
+
+
 def test_passages_of_documents(spark, sf_dir):
     docs = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     docs = {k: WORD.findall(t) for k, t in docs.items()}
