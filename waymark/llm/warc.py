@@ -177,6 +177,8 @@ def normalise(decided: DataFrame) -> DataFrame:
         return pa.table([[name], [name + ".idx"], pa.array([place + 1], pa.int64())], names=["archive", "sidecar", "n_records"])
 
     own = decided.select("archive", "place", F.col("first").cast("string").alias("first"))
+    # The decisions are few bytes, but each archive stands for ROLL_BYTES to rewrite: a number given by hand is not merged by AQE.
+    own = own.repartition(int(decided.sparkSession.conf.get("spark.sql.shuffle.partitions")), "archive")
     return materialize(own.groupBy("archive").applyInArrow(run, "archive string, sidecar string, n_records long"), "warc-archives")
 
 
