@@ -181,14 +181,6 @@ def test_passages_planted(spark):
             assert a == b and len(a) == 55
 
 
-def test_passages_left_over_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "ROUNDS", 1)
-    monkeypatch.setattr(substring_dedup, "BLOCK_TEXTS", 2)
-    docs = _planted()
-    out = substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.id for r in out} == {7, 11, 30, 9, 21, 40}
-
-
 def _spans(spark, docs):
     """Words of each text that are reported as repeated."""
     out = defaultdict(set)
@@ -249,6 +241,46 @@ def test_every_place_of_a_passage_is_found(spark):
     assert len(want[1]) == 110 and all(want[k] <= got[k] and len(got[k] - want[k]) <= 10 for k in want)
 
 
+def test_a_text_that_failed_once_is_compared_with_others(spark):
+    one, two = words(60, 800), words(50, 801)
+    text = lambda seed, *parts: " ".join(sum(([*words(30, seed + i), *p] for i, p in enumerate(parts)), []) + words(30, seed + 9))
+    docs = [(0, text(810, one, _variant(two, 3))), (1, text(820, two)), (2, text(830, one, two)), (3, text(840, _variant(two, 4)))]
+    got, want = _spans(spark, docs), _repeats(docs)
+    assert set(got) == set(want) == {2} and len(want[2]) == 110 and want[2] <= got[2]
+
+
+def test_hot_signatures_are_dealt_over_parts(spark, monkeypatch):
+    from waymark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    docs = _planted()
+    out = substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.id for r in out} == {7, 11, 30, 9, 21, 40}
+
+
+def test_near_passages_are_found(spark):
+    """Recall and spans of passages with edits, against their definition: pairs of texts that share 50 words or more with a
+    similarity of shingles of 0.8 or more."""
+    docs, planted = [], {}
+    for k in range(240):
+        length, edits = ((54, 1), (70, 1), (100, 2), (200, 3))[k % 4]
+        p = words(length, 5000 + k)
+        q, r = list(p), np.random.default_rng(k)
+        for at in r.choice(np.arange(5, length - 5), edits, replace=False).tolist():
+            q[at] = f"z{int(r.integers(10**6))}"
+        shared = len({tuple(p[i : i + 5]) for i in range(length - 4)} & {tuple(q[i : i + 5]) for i in range(length - 4)})
+        assert shared / (2 * (length - 4) - shared) >= 0.8
+        before = [words(int(n), 9000 + 2 * k + i) for i, n in enumerate(r.integers(0, 80, 2))]
+        docs += [(2 * k, " ".join(before[0] + p + words(40, 20_000 + k))), (2 * k + 1, " ".join(before[1] + q + words(40, 30_000 + k)))]
+        planted[2 * k + 1] = set(range(len(before[1]), len(before[1]) + length))
+    got = _spans(spark, docs)
+    assert set(got) <= set(planted)
+    found = [k for k, v in planted.items() if len(v & got.get(k, set())) >= 0.9 * len(v)]
+    short = [k for k in planted if (k - 1) // 2 % 4 == 0]
+    assert len(found) >= 0.95 * len(planted) and len(set(short) & set(found)) >= 0.9 * len(short)
+    assert all(len(got[k] - planted[k]) <= 12 for k in got)  # at most a fifth of a stretch may be foreign at its ends
+
+
 def test_passages_of_documents(spark, sf_dir):
     docs = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     docs = {k: WORD.findall(t) for k, t in docs.items()}

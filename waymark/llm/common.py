@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: Separators of words: the space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,21 +15,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests, local mode)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -39,9 +23,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, *bases: str) -> list[str]:
-    """Column names that df does not have (Spark compares names without regard to case)."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | list[str], *bases: str) -> list[str]:
+    """Column names that df (or a list of names) does not have; Spark compares names without regard to case."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     out = []
     for base in bases:
         name = base
@@ -59,3 +43,28 @@ def text_of(column: str) -> Column:
 def n_words(column: str) -> Column:
     """Number of words; a null text has none."""
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
+
+
+#: A key is hot beyond so many rows, or beyond the share of all rows that at most HOT_KEYS keys can reach.
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """many joined with one, which has one row per key at most, where a key may hold any share of the rows of many.
+
+    Rows of a hot key are dealt over parts by a hash of the whole row, and the row of one is copied to each part. The list of
+    hot keys has HOT_KEYS rows at most, whatever the input's size, so it may be broadcast. counted: a table with the keys of
+    many, one row each, and their number n, if it is at hand; else many is counted.
+    """
+    salt, parts, n = fresh([*many.columns, *one.columns], "wm_salt", "wm_parts", "wm_n")
+    per_key = counted.select(key, F.col("n").alias(n)) if counted is not None else many.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    total = per_key.agg(F.sum(n)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = per_key.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias(parts))
+    hot = materialize(hot, "hot-keys") if total > HOT_ROWS else hot.limit(0)
+    if total <= HOT_ROWS or hot.isEmpty():
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    mine = many.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    theirs = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return mine.join(theirs, [key, salt], how).drop(salt)
