@@ -58,12 +58,11 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame |
     """
     salt, parts, n = fresh([*many.columns, *one.columns], "wm_salt", "wm_parts", "wm_n")
     per_key = counted.select(key, F.col("n").alias(n)) if counted is not None else many.groupBy(key).agg(F.count(F.lit(1)).alias(n))
-    total = per_key.agg(F.sum(n)).first()[0] or 0
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = per_key.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias(parts))
-    hot = materialize(hot, "hot-keys") if total > HOT_ROWS else hot.limit(0)
-    if total <= HOT_ROWS or hot.isEmpty():
+    total, most = per_key.agg(F.sum(n), F.max(n)).first()
+    least = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
+    if (most or 0) <= least:
         return many.join(one, key, how)
+    hot = materialize(per_key.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias(parts)), "hot-keys")
     hot = F.broadcast(hot)
     mine = many.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
     theirs = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
