@@ -240,18 +240,67 @@ def test_windows_of_the_patch_grid():
     assert raster.window_origins(5, 2, 2, 2, padding=False) == [(0, 0), (2, 0)]
 
 
-def test_fusion_adds_a_side_road():
-    plane = fusion.Plane(0.0, 0.0)
-    base = [((0.0, 0.0), (0.0, 400.0))]
-    side = [((3.0, 200.0), (50.0, 200.0)), ((50.0, 200.0), (100.0, 200.0)), ((2.0, 0.0), (2.0, 200.0))]
-    out = fusion.fuse_region(base, side, [], plane, 32.0, 10.0, 30.0, 15.0, 1).edges
-    assert out == {((0.0, 0.0), (0.0, 200.0)): "split", ((0.0, 200.0), (0.0, 400.0)): "split", ((50.0, 200.0), (0.0, 200.0)): "new", ((50.0, 200.0), (100.0, 200.0)): "new"}
+def _lines(spark, lines):
+    """Edges of region 1 from lines of points in metres."""
+    rows = [(1, i, [(float(y) * M, float(x) * M) for y, x in line]) for i, line in enumerate(lines)]
+    return spark.createDataFrame(rows, "region long, eid long, coords array<struct<lat:double,lng:double>>")
 
 
-def test_fusion_votes_by_trajectories():
-    near = [(1.0, (0, 0), ((0.0, 0.0), (0.0, 100.0))), (2.0, (0, 0), ((0.0, 0.0), (-100.0, 0.0)))]
-    trip = [(60.0, 0.0), (1.0, 0.0), (0.0, 60.0)]
-    assert fusion.vote(near, (0.0, 0.0), (80.0, 0.0), [trip, trip], 30.0, 15.0) == (((0.0, 0.0), (0.0, 100.0)), 2)
+def _trip_points(spark, trips):
+    base = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    rows = [(1, t, base + dt.timedelta(seconds=k), k, float(y) * M, float(x) * M) for t, trip in enumerate(trips) for k, (y, x) in enumerate(trip)]
+    return spark.createDataFrame(rows, "region long, trip long, time timestamp, seq long, lat double, lng double")
+
+
+def _metre_rows(df):
+    return {(r.kind, *sorted([(round(r.lat1 / M), round(r.lng1 / M)), (round(r.lat2 / M), round(r.lng2 / M))])) for r in df.collect()}
+
+
+def test_fusion_adds_a_side_road(spark):
+    base = _lines(spark, [[(0, 0), (0, 400)]])
+    side = _lines(spark, [[(3, 200), (50, 200)], [(50, 200), (100, 200)], [(2, 0), (2, 200)]])
+    out = fusion.fuse(base, side, _trip_points(spark, []), gap_m=1000.0)
+    assert _metre_rows(out) == {("split", (0, 0), (0, 200)), ("split", (0, 200), (0, 400)), ("new", (0, 200), (50, 200)), ("new", (50, 200), (100, 200))}
+
+
+def test_fusion_asks_trajectories_at_junctions(spark):
+    # The link from the right ends 3 m above a bend of two base edges, nearer to the one that no trip turns into.
+    base = _lines(spark, [[(0, 0), (0, -100)], [(5, 0), (105, 0)]])
+    side = _lines(spark, [[(3, 4), (3, 60)], [(3, 60), (3, 120)]])
+    trip = [(3, 110), (3, 50), (3, 2), (0, -50), (0, -90)]
+    for trips, want in (([trip, trip], (0, 0)), ([], (5, 0))):
+        out = _metre_rows(fusion.fuse(base, side, _trip_points(spark, trips), gap_m=1000.0))
+        assert ("new", *sorted([want, (3, 60)])) in out and ("new", (3, 60), (3, 120)) in out
+
+
+def test_fusion_votes_by_trajectories(spark):
+    candidates = _lines(spark, [[(0, 0), (0, 100)], [(0, 0), (-100, 0)]]).withColumn("node", F.lit("v"))
+    asks = spark.createDataFrame([(1, "v", 0.0, 0.0, "o", 80 * M, 0.0)], "region long, node string, lat double, lng double, other string, other_lat double, other_lng double")
+    trip, through, away = [(60, 0), (1, 0), (0, 60)], [(60, 0), (1, 0)], [(0, 60), (0, 1), (0, -60)]
+    out = fusion.votes(asks, candidates, _trip_points(spark, [trip, trip[::-1], through, away]), 30.0, 15.0).collect()
+    assert [(r.eid, r.n) for r in out] == [(0, 2)]
+
+
+def test_long_objects_take_linear_time(spark):
+    import time
+
+    def run(n):
+        p = spark.range(n).select(F.lit(1).alias("oid"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 10).alias("time"), (F.col("id") % 5000 * 0.00001).alias("lat"), F.lit(0.0).alias("lng"), F.lit("kept").alias("payload"))
+        start = time.perf_counter()
+        out = T.stay_segments(T.speed_filter(p, 30.0), 50.0, 3600.0)
+        assert out.count() > n // 2 and "payload" in out.columns
+        return time.perf_counter() - start
+
+    run(1000)
+    assert run(100_000) < 20
+
+
+def test_matched_segments_keep_candidates(spark):
+    p = _points(spark, [(1, k * 60, 0.01 * k, 0) for k in range(4)] + [(1, 2000 + k * 60, 0.01 * k, 0) for k in range(3)]).withColumn("eid", F.col("seq") * 7)
+    out = T.matched_segments(p).orderBy("seq").collect()
+    assert [(r.segment, r.eid) for r in out] == [(0, 0), (0, 7), (0, 14), (0, 21), (1, 28), (1, 35), (1, 42)]
+    far = T.spaced_trajectories(p, 3000.0, 2500.0).orderBy("seq").collect()
+    assert [r.seq for r in far] == [0, 1, 2, 3]
 
 
 def test_early_stop_ignores_ties(spark):
@@ -274,6 +323,23 @@ def test_streaming_twins(spark, tmp_path):
     assert sorted((r.oid, r.n) for r in spark.table("sessions").collect()) == [(1, 1), (1, 3), (2, 1)]
 
 
+def test_engine_stands_without_the_llm_folders(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for part in ("waymark", "tests"):
+        shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(s) <= set(q) and 'pipeline' not in q; import tests.test_engine"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

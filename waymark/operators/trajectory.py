@@ -1,19 +1,32 @@
 """Operators on point tables (oid, seq, time, lat, lng, ...): filters, segmentation, stay points and measures.
 
-Points of an object are ordered by (time, seq). Window operators partition by object; sequential ones fold over the sorted
-points of one object inside Catalyst. For objects whose points outgrow one task, add a time chunk to `by` and stitch.
+Points of an object are ordered by (time, seq). Window operators partition by object. Sequential ones stream over batches of
+sorted points (kernels.py) and hold one object's points at a time as arrays of numbers; segment by time first, or add a time
+chunk to `by`, where an object's points outgrow a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.temporal import seconds_between
+from . import kernels
 
 BY = ("oid",)
-POINT = ("time", "seq", "lat", "lng")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front where a column is called so already."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ordered(by=BY):
@@ -33,7 +46,8 @@ def with_previous(points: DataFrame, by=BY) -> DataFrame:
 
 def at_least(points: DataFrame, n: int, by=BY) -> DataFrame:
     """Only the groups of n points or more."""
-    return points.withColumn("_n", F.count(F.lit(1)).over(whole(by))).where(F.col("_n") >= n).drop("_n")
+    (name,) = fresh(points.columns, "n_points")
+    return points.withColumn(name, F.count(F.lit(1)).over(whole(by))).where(F.col(name) >= n).drop(name)
 
 
 def trajectory_id(oid: Column, first: Column, last: Column, pattern: str = "yyyyMMddHHmmss") -> Column:
@@ -41,15 +55,6 @@ def trajectory_id(oid: Column, first: Column, last: Column, pattern: str = "yyyy
     return F.concat_ws("_", oid.cast("string"), F.date_format(first, pattern), F.date_format(last, pattern))
 
 
-def as_arrays(points: DataFrame, by=BY, extra=()) -> DataFrame:
-    """One row per group: pts, its points as structs in order."""
-    return points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*POINT, *extra))).alias("pts"))
-
-
-def as_rows(arrays: DataFrame, by=BY, extra=()) -> DataFrame:
-    return arrays.select(*by, F.explode("pts").alias("p")).select(*by, *[f"p.{c}" for c in (*POINT, *extra)])
-
-
 # -- filters
 
 
@@ -61,17 +66,13 @@ def range_filter(points: DataFrame, box, start: str, end: str, by=BY) -> DataFra
 
 
 def speed_filter(points: DataFrame, max_speed: float, by=BY) -> DataFrame:
-    """Drops points that would need more than max_speed m/s from the last accepted one, or no time at all. The first stays."""
+    """Drops points that would need more than max_speed m/s from the last accepted one, or no time at all. The first stays.
+    Other columns of the points stay. Each object's points are looked at once, in order, with the last accepted one kept."""
 
-    def take(kept: Column, p: Column) -> Column:
-        last = F.element_at(kept, -1)
-        dt = seconds_between(p["time"], last["time"])
-        ok = (dt > 0) & (geo.haversine_m(last["lat"], last["lng"], p["lat"], p["lng"]) <= max_speed * dt)
-        return F.when(ok, F.concat(kept, F.array(p))).otherwise(kept)
+    def run(group: kernels.Group) -> list[tuple[str, np.ndarray]]:
+        return [("", kernels.within_speed(group, max_speed))]
 
-    grouped = as_arrays(points, by)
-    folded = F.aggregate(F.slice("pts", 2, F.size("pts")), F.slice("pts", 1, 1), take)
-    return as_rows(grouped.withColumn("pts", folded).where(F.size("pts") > 1), by)
+    return at_least(kernels.scan(points, by, run), 2, by)
 
 
 # -- segmentation
@@ -92,101 +93,60 @@ def distance_gap_segments(points: DataFrame, max_gap_m: float, by=BY) -> DataFra
     return _islands(points, F.col("dist") > max_gap_m, by)
 
 
-def _beyond(pts: Column, i: Column, max_dist: float) -> Column:
-    """Index (from 0) of the first point after i that is farther than max_dist from it; the number of points if none."""
-    n = F.size(pts)
-    a = F.element_at(pts, i + 1)
-
-    def far(j):
-        b = F.element_at(pts, j + 1)
-        dy, dx = F.abs(a["lat"] - b["lat"]), F.abs(a["lng"] - b["lng"])
-        # A degree of a great circle is 111195.08 m: bounds from below and above settle most pairs.
-        return F.when(dy * 111_190.0 > max_dist, True).when((dy + dx) * 111_200.0 <= max_dist, False).otherwise(geo.haversine_m(a["lat"], a["lng"], b["lat"], b["lng"]) > max_dist)
-
-    return F.when(i + 1 >= n, n).otherwise(F.coalesce(F.try_element_at(F.filter(F.sequence(i + 1, n - 1), far), F.lit(1)), n))
-
-
 def first_beyond(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -> DataFrame:
     """For each point: idx, next_idx (first farther than max_dist, or the number of points) and is_stay."""
-    g = as_arrays(points, by).withColumn("n", F.size("pts"))
-    rows = g.select(*by, "pts", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
-    rows = rows.withColumn("next_idx", _beyond(F.col("pts"), F.col("idx"), max_dist))
-    stay = seconds_between(F.element_at("pts", F.col("next_idx"))["time"], F.element_at("pts", F.col("idx") + 1)["time"]) > max_stay_s
-    return rows.select(*by, "idx", "next_idx", stay.alias("is_stay"))
 
+    def run(group: kernels.Group) -> dict[str, np.ndarray]:
+        n = len(group.micros)
+        nxt = np.array([kernels.beyond(group, i, max_dist) for i in range(n)], np.int32)
+        return {"idx": np.arange(n, dtype=np.int32), "next_idx": nxt, "is_stay": group.micros[nxt - 1] - group.micros > max_stay_s * 1e6}
 
-def _scanned(points: DataFrame, max_dist: float, max_stay_s: float, by) -> DataFrame:
-    """pts and, per point, struct(nxt, stay): the columns that the stay detectors fold over."""
-    g = as_arrays(points, by).where(F.size("pts") > 1)
-    pts = F.col("pts")
+    return kernels.annotate(points, by, run, {"idx": "int", "next_idx": "int", "is_stay": "boolean"}).select(*by, "idx", "next_idx", "is_stay")
 
-    def scan(i):
-        nxt = _beyond(pts, i, max_dist)
-        return F.struct(i.alias("i"), nxt.alias("nxt"), (seconds_between(F.element_at(pts, nxt)["time"], F.element_at(pts, i + 1)["time"]) > max_stay_s).alias("stay"))
 
-    return g.withColumn("scan", F.transform(F.sequence(F.lit(0), F.size("pts") - 2), scan))
+def _pieces(points: DataFrame, by, spans) -> DataFrame:
+    """points with part and pos: those within the spans (first, end) that the kernel finds in each object, in order."""
 
+    def run(group: kernels.Group) -> list[tuple[str, np.ndarray]]:
+        return [("", np.arange(lo, hi)) for lo, hi in spans(group)]
 
-def _spans(scanned: DataFrame, state: Column, step, finish) -> DataFrame:
-    return scanned.withColumn("spans", F.aggregate("scan", state, step, finish))
-
-
-SPANS = "array<struct<lo:int,hi:int>>"
-
-
-def _slices(spans: DataFrame, by) -> DataFrame:
-    out = spans.select(*by, "pts", F.posexplode("spans").alias("part", "s"))
-    return out.select(*by, "part", F.posexplode(F.slice("pts", F.col("s.lo") + 1, F.col("s.hi") - F.col("s.lo"))).alias("pos", "p")).select(*by, "part", "pos", *[f"p.{c}" for c in POINT])
-
-
-def _span(lo, hi) -> Column:
-    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return kernels.scan(points, by, run, numbered=True)
 
 
 def classic_stays(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -> DataFrame:
     """Greedy stays: points (part, pos) of each maximal run near its first point that lasts longer than max_stay_s."""
-
-    def step(acc, x):
-        take = (x["i"] >= acc["cur"]) & x["stay"]
-        return F.struct(F.when(take, x["nxt"]).otherwise(acc["cur"]).alias("cur"), F.when(take, F.concat(acc["out"], F.array(_span(x["i"], x["nxt"])))).otherwise(acc["out"]).alias("out"))
-
-    state = F.struct(F.lit(0).alias("cur"), F.array().cast(SPANS).alias("out"))
-    return _slices(_spans(_scanned(points, max_dist, max_stay_s, by), state, step, lambda a: a["out"]), by)
+    return _pieces(points, by, lambda g: kernels.greedy_stays(g, max_dist, max_stay_s))
 
 
 def stay_segments(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -> DataFrame:
-    """What lies between greedy stays; pieces of three points or more."""
+    """What lies between greedy stays; pieces of three points or more. All columns of the points stay, so matched ones keep
+    their candidates."""
 
-    def step(acc, x):
-        take = (x["i"] >= acc["cur"]) & x["stay"]
-        piece = take & (acc["from"] < x["i"] - 2)
-        return F.struct(
-            F.when(take, x["nxt"]).otherwise(acc["cur"]).alias("cur"),
-            F.when(take, x["nxt"]).otherwise(acc["from"]).alias("from"),
-            F.when(piece, F.concat(acc["out"], F.array(_span(acc["from"], x["i"])))).otherwise(acc["out"]).alias("out"),
-        )
+    def between(group: kernels.Group):
+        start = 0
+        for lo, hi in [*kernels.greedy_stays(group, max_dist, max_stay_s), (len(group.micros), 0)]:
+            if lo - start > 2:
+                yield start, lo
+            start = hi
 
-    state = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("from"), F.array().cast(SPANS).alias("out"))
-    scanned = _scanned(points, max_dist, max_stay_s, by).withColumn("n", F.size("pts"))
-    ended = _spans(scanned, state, step, lambda a: a)
-    tail = F.col("spans.from") < F.col("n") - 2
-    spans = F.when(tail, F.concat("spans.out", F.array(_span(F.col("spans.from"), F.col("n"))))).otherwise(F.col("spans.out"))
-    return _slices(ended.withColumn("spans", spans), by)
+    return _pieces(points, by, between)
 
 
 def density_stays(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -> DataFrame:
     """Stays that grow while some member reaches further; one that reaches the last point is never closed."""
+    return _pieces(points, by, lambda g: kernels.growing_stays(g, max_dist, max_stay_s))
+
+
+def matched_segments(matched: DataFrame, max_gap_s: float = 300.0, max_dist: float = 50.0, max_stay_s: float = 180.0, by=BY) -> DataFrame:
+    """Matched trajectories cut at time gaps, then at stays: segment, part and pos for each point left, with its candidate."""
+    return stay_segments(time_gap_segments(matched, max_gap_s, by), max_dist, max_stay_s, (*by, "segment"))
 
-    def step(acc, x):
-        grow = (acc["far"] < x["nxt"]) & x["stay"]
-        start = F.when(grow & ~acc["open"], x["i"]).otherwise(acc["start"])
-        far = F.when(grow, x["nxt"]).otherwise(acc["far"])
-        is_open = acc["open"] | grow
-        close = is_open & (x["i"] == far - 1)
-        return F.struct(start.alias("start"), far.alias("far"), (is_open & ~close).alias("open"), F.when(close, F.concat(acc["out"], F.array(_span(start, far)))).otherwise(acc["out"]).alias("out"))
 
-    state = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("far"), F.lit(False).alias("open"), F.array().cast(SPANS).alias("out"))
-    return _slices(_spans(_scanned(points, max_dist, max_stay_s, by), state, step, lambda a: a["out"]), by)
+def spaced_trajectories(points: DataFrame, max_gap_m: float, least_m: float, by=BY) -> DataFrame:
+    """Trajectories cut at jumps of more than max_gap_m; only those longer than least_m in all."""
+    cut = distance_gap_segments(points, max_gap_m, by)
+    step = with_previous(cut, (*by, "segment"))
+    return step.withColumn("dist", F.sum("dist").over(whole((*by, "segment")))).where(F.col("dist") > least_m).drop("dt", "dist")
 
 
 def unmatched_runs(matched: DataFrame, tolerance: float, by=BY) -> DataFrame:

@@ -29,7 +29,6 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-PIXELS = """px AS (SELECT vec_id, k, (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, v FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS k, CASE WHEN embedding[k + 1] > 0 THEN 1 ELSE 0 END AS v FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)))"""
 PIXELS = "px AS (SELECT vec_id, k, (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, CASE WHEN embedding[k + 1] > 0 THEN 1 ELSE 0 END AS v FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings))"
 CANVAS = PIXELS + ", canvas AS (SELECT DISTINCT y, x FROM px WHERE v = 1)"
 
@@ -141,6 +140,39 @@ def fus_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("region", "node").agg(F.count(F.lit(1)).alias("n_near"), r(F.min("dist"), 3).alias("dist"))
 
 
+def _off(y1, x1, y2, x2, lat, lng) -> str:
+    """Metres from a point to a segment."""
+    rate = f"({S.hav(y1, x1, lat, lng)} * cos(radians({S.brg(y1, x1, lat, lng)} - {S.brg(y1, x1, y2, x2)})) / {S.hav(y1, x1, y2, x2)})"
+    at = lambda a, b: f"(CASE WHEN {rate} >= 1 THEN {b} WHEN {rate} <= 0 THEN {a} ELSE {a} + {rate} * ({b} - {a}) END)"
+    return S.hav(lat, lng, at(y1, y2), at(x1, x2))
+
+
+@query(f"""WITH {TRAILS},
+asks AS (SELECT region, v AS node, u AS other, y2 AS lat, x2 AS lng, y1 AS olat, x1 AS olng FROM te UNION ALL SELECT region, u, v, y1, x1, y2, x2 FROM te),
+nodes AS (SELECT DISTINCT region, node, lat, lng FROM asks),
+cand AS (SELECT n.region, node, eid, y1, x1, y2, x2 FROM nodes n JOIN te ON te.region = n.region AND eid % 10 >= 3 AND {_off('y1', 'x1', 'y2', 'x2', 'lat', 'lng')} < 60),
+path AS (SELECT *, row_number() OVER (PARTITION BY region, trip ORDER BY time, seq) AS k FROM (SELECT oid AS region, (epoch_us(time) // 604800000000)::BIGINT AS trip, time, seq, lat, lng FROM gps)),
+near AS (SELECT n.region, node, n.lat, n.lng, trip, k, {S.hav('n.lat', 'n.lng', 'p.lat', 'p.lng')} AS d FROM nodes n JOIN path p ON p.region = n.region),
+best AS (SELECT region, node, lat, lng, trip, k AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY region, node, trip ORDER BY d, k) AS r FROM near WHERE d <= 45) WHERE r = 1),
+ways AS (SELECT b.region, b.node, b.lat, b.lng, b.trip, max(n.k) FILTER (n.k < nearest) AS kc, min(n.k) FILTER (n.k > nearest) AS kw FROM best b JOIN near n ON n.region = b.region AND n.node = b.node AND n.trip = b.trip AND n.d > 45 GROUP BY ALL),
+both_ AS (SELECT w.region, w.node, w.lat, w.lng, w.trip, c.lat AS cy, c.lng AS cx, g.lat AS gy, g.lng AS gx FROM ways w JOIN path c ON c.region = w.region AND c.trip = w.trip AND c.k = kc JOIN path g ON g.region = w.region AND g.trip = w.trip AND g.k = kw),
+offs AS (SELECT b.*, other, {_off('b.lat', 'b.lng', 'olat', 'olng', 'cy', 'cx')} AS oc, {_off('b.lat', 'b.lng', 'olat', 'olng', 'gy', 'gx')} AS og FROM both_ b JOIN asks a ON a.region = b.region AND a.node = b.node),
+turn AS (SELECT region, node, other, trip, CASE WHEN og < oc THEN cy ELSE gy END AS y, CASE WHEN og < oc THEN cx ELSE gx END AS x FROM offs WHERE (og < oc AND og < 40) OR (oc < og AND oc < 40)),
+pick AS (SELECT t.region, t.node, other, trip, eid, {_off('y1', 'x1', 'y2', 'x2', 't.y', 't.x')} AS d FROM turn t JOIN cand c ON c.region = t.region AND c.node = t.node),
+first AS (SELECT *, row_number() OVER (PARTITION BY region, node, other, trip ORDER BY d, eid) AS r FROM pick)
+SELECT region, node, other, eid, count(*) AS n FROM first WHERE r = 1 AND d <= 40 GROUP BY region, node, other, eid""")
+def fus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of weekly trips at both ends of every inferred edge for the base edges within 60 m."""
+    base, every = _halves(spark, sf_dir)
+    n = X.trail_nodes(every)
+    at = lambda c, y, x: n.select("region", F.col("node").alias(c), F.col("lat").alias(y), F.col("lng").alias(x))
+    ends = every.select("region", F.col("v").alias("node"), F.col("u").alias("other")).union(every.select("region", "u", "v"))
+    asks = ends.join(at("node", "lat", "lng"), ["region", "node"]).join(at("other", "other_lat", "other_lng"), ["region", "other"])
+    near = fusion.closest_projection(n, ["region", "node"], base, 60.0, every=True).select("region", "node", "eid").join(base.select("region", "eid", "coords"), ["region", "eid"])
+    trips = X.gps(spark, sf_dir).select(F.col("oid").alias("region"), F.floor(F.unix_micros("time") / 604_800_000_000).alias("trip"), "time", "seq", "lat", "lng")
+    return fusion.votes(asks, near, trips, 45.0, 40.0)
+
+
 @query()
 def fus_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, every = _halves(spark, sf_dir)
