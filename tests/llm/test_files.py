@@ -64,6 +64,26 @@ def test_media_of_odd_rows(spark):
     assert media.measured(media.stored(empty(spark))).count() == 0
 
 
+def test_webp_of_another_encoder():
+    """The published one-pixel sample by which browsers are probed for lossless WebP."""
+    import base64
+
+    image = webp_lossless.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert image.shape == (1, 1, 4)
+
+
+def test_media_files_use_every_tool():
+    texts = [f"text {i} " * (1 + i % 40) + "tail" for i in range(400)]
+    thorough = 0
+    for t in texts:
+        payload = media.padded(t.encode())
+        stored = media.encode(payload)
+        assert stored == media.encode(payload)
+        assert webp_lossless.decode(stored)[..., :3].tobytes()[: len(payload)] == payload
+        thorough += zlib.crc32(payload) % media.THOROUGH_SHARE == 0
+    assert thorough > 3
+
+
 def test_very_long_payloads_widen_the_image():
     payload = bytes(range(192)) * 16385
     image = media.to_image(payload)

@@ -110,6 +110,41 @@ def test_pack_block_is_tightest():
     assert bins == [0, 1, 1, 0, 1] and offsets == [0, 0, 50, 60, 90]
 
 
+def _best_fit(sizes, sources, clusters, capacity, per_source):
+    """Every bin is tried; the fullest one that is compatible takes the item, the lowest number of equal ones."""
+    bins, out = [], []
+    for size, source, cluster in zip(sizes, sources, clusters, strict=True):
+        fits = [(capacity - sum(x[0] for x in b), k) for k, b in enumerate(bins) if sum(x[0] for x in b) + size <= capacity and all(x[2] != cluster for x in b) and sum(x[1] == source for x in b) < per_source]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([])
+        out.append((k, sum(x[0] for x in bins[k])))
+        bins[k].append((size, source, cluster))
+    return [k for k, _ in out], [o for _, o in out]
+
+
+def test_pack_block_matches_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(0, 60)
+        items = sorted(((r.randint(0, 100), r.choice("abc"), r.randint(0, 12)) for _ in range(n)), key=lambda x: -x[0])
+        args = [[x[k] for x in items] for k in range(3)]
+        per = r.randint(1, 4)
+        assert packing.pack_block(*args, 100, per) == _best_fit(*args, 100, per)
+
+
+def test_blocks_fill_their_bins(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [(i, " ".join(["w%d" % i] * r.randint(1, 150)), None, f"s{i % 5}", None) for i in range(800)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    least = sum(len(t.split()) for _, t, *_ in docs) / 200
+    counts = []
+    for words_ in (2_000_000, 15_000):
+        monkeypatch.setattr(packing, "BLOCK_WORDS", words_)
+        counts.append(packing.pack(df, capacity=200).select("bin_id").distinct().count())
+    assert counts[0] <= 1.06 * least and counts[1] <= 1.1 * least
+
+
 def test_packing_odd_rows(spark):
     out = packing.pack(clashing(odd(spark))).collect()
     sizes = Counter()

@@ -36,6 +36,12 @@ def fresh(df: DataFrame | list[str], *bases: str) -> list[str]:
     return out
 
 
+def one_per_key(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """columns of one row for each key: of several the one whose hash is smallest, so that reruns agree."""
+    whole = F.struct(*columns)
+    return rows.groupBy(*key).agg(F.min_by(whole, F.xxhash64(*columns)).alias("wm_row")).select("wm_row.*")
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

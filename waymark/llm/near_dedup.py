@@ -13,7 +13,8 @@ only links that connect are returned. So no link between different texts is lost
 Defined results: letter case and the amount of white space are ignored. A null text is like an empty one; all texts without
 words form one class. A text of one to four words has one shingle and is only linked to texts of the same words. The class id
 is the smallest identifier of the class (null only if all are null); the row with it stays, and of rows repeated with that
-identifier exactly one. Other columns are never looked at.
+identifier exactly one (if they differ in other columns, the one whose row has the smallest hash). Other columns are never
+looked at otherwise.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import fresh, materialize
+from .common import fresh, materialize, one_per_key, spread_join
 
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 12, 3
@@ -136,7 +137,10 @@ def _labels(column: pa.Array) -> list[np.ndarray]:
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) that are linked."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+    # Many nodes may have one leader.
+    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    both = spread_join(both, texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b", counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,15 +156,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is connected with) for all nodes of the edges (a, b).
 
     Labels flow along edges and then jump to the label of the label, so paths shorten by half a round; the driver only
-    counts changes. Each round ends in a table of the shared folder.
+    counts changes. Each round ends in a table of the shared folder. A node or label with many others is dealt over parts.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        seen = both.join(labels.withColumnsRenamed({"node": "b", "label": "theirs"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        flown = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
+        seen = spread_join(both, labels.withColumnsRenamed({"node": "b", "label": "theirs"}), "b", degree).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        flown = materialize(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label")), "flown")
         jump = flown.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(flown.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        new = materialize(spread_join(flown, jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -266,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     own = materialize(own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "own-labels")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "t")
     best = own.groupBy("label").agg(F.min(place).alias("best"), F.sum("n").alias("class_size"))
-    out = own.join(best, "label").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    out = spread_join(own, best, "label").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return out.select("id", "t", F.col("best.id").alias("class_id"), "class_size", ((place == F.col("best")) & (F.col("copy") == 1)).alias("kept"))
 
 
@@ -276,4 +281,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = lambda i, t: [t.alias(key[0]), F.coalesce(i.cast("string"), F.lit("")).alias(key[1]), i.isNull().alias(key[2])]
     kept = classes(docs, id_col, text_col, least).where("kept").select(*named(F.col("id"), F.col("t")))
     mine = docs.select("*", *named(F.col(id_col), F.xxhash64(text_col)))
-    return mine.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return one_per_key(mine.join(kept, key, "left_semi"), key, docs.columns)

@@ -3,9 +3,10 @@
 A byte-level BPE tokenizer first cuts a text into pieces (words with their leading space, numbers, runs of signs or of
 white space), then merges inside each piece. Within a piece the encoding of each byte prefix ends in exactly one token
 that fits the last token of the prefix before it: the pair is stable, that is, encoding its joined bytes gives the same
-two tokens again. So one pass from left to right stores the token count of every prefix; nothing is encoded twice. The
-counts of whole pieces are summed along the text, and the table of sums at piece boundaries answers how many tokens any
-prefix has and where a budget ends.
+two tokens again. So one pass from left to right stores the token count of every prefix of a piece, and the sums of those
+before it give the count of every prefix of the text: a table with an entry per character. It answers how many tokens any
+prefix has and where a budget ends by a look-up; nothing is encoded again. Where a cut text falls into other pieces than the
+whole one (within white space, contractions and special strings), the table holds the count of the pieces of the cut text.
 
 Defined results: a null text counts as empty, with 0 tokens. A special token's string in a text is one token, as the
 tokenizers library takes it by default. No begin, end or padding tokens are added and nothing is truncated.
@@ -14,8 +15,8 @@ tokenizers library takes it by default. No begin, end or padding tokens are adde
 from __future__ import annotations
 
 import functools
+import itertools
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Pieces, and token pairs, that a worker keeps at most; then it starts afresh.
 KEEP_PIECES, KEEP_PAIRS = 400_000, 1_000_000
 #: Above every rank of a merge.
@@ -70,7 +72,7 @@ class PrefixCounter:
                     node = self.step[key] = len(self.ends)
                     self.ends.append(-1)
             self.ends[node] = t
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.spaces = regex.compile(PIECES), regex.compile(r"\s+")
         self.splits = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.stable: dict[int, bool] = {}
         counter = self
@@ -159,31 +161,50 @@ class PrefixCounter:
                 total += sum(counts[m.group()] for m in self.pieces.finditer(part))
         return total
 
+    def _by_character(self, piece: str) -> list[int]:
+        """Token counts of piece[:1], piece[:2], ..., piece."""
+        counts = self.prefix_counts(piece.encode())
+        if len(counts) == len(piece) + 1:
+            return counts[1:]
+        ends = itertools.accumulate(len(c.encode()) for c in piece)
+        return [counts[e] for e in ends]
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Character offsets of piece boundaries, and the tokens before each."""
+        """Character offsets of piece boundaries, and the tokens of text[:0], text[:1], ..., text."""
         at, tokens = [0], [0]
         for part, special in self._parts(text):
-            for p in [part] if special else self.pieces.findall(part):
+            if special:
+                before = len(tokens) - 1
+                # Cut short, it is ordinary text and joins the piece before it.
+                start = at[-2] if len(at) > 1 else at[-1]
+                while start and text[start - 1 : start].isspace():
+                    start -= 1
+                base = tokens[start]
+                tokens += [base + self.count(text[start : before + k]) for k in range(1, len(part))]
+                tokens.append(tokens[before] + 1)
+                at.append(before + len(part))
+                continue
+            for p in self.pieces.findall(part):
+                before = tokens[-1]
+                if p in CONTRACTIONS:  # cut short, the apostrophe and the letters are pieces of their own
+                    tokens += [before + self.counts["'"] + (self.counts[p[1:k]] if k > 1 else 0) for k in range(1, len(p))]
+                    tokens.append(before + self.counts[p])
+                else:
+                    tokens += [before + n for n in self._by_character(p)]
                 at.append(at[-1] + len(p))
-                tokens.append(tokens[-1] + (1 if special else self.counts[p]))
+            # A run of white space that ends a cut text is one piece, whatever follows it in the whole text.
+            for m in self.spaces.finditer(part):
+                first = at_part = len(tokens) - 1 - len(part) + m.start()
+                tokens[at_part + 1 : at_part + 1 + len(m.group())] = [tokens[first] + n for n in self._by_character(m.group())]
         return at, tokens
 
     def tokens_before(self, text: str, at: list[int], tokens: list[int], end: int) -> int:
-        """Tokens of text[:end]: the table up to the last boundary that any longer text shares, and the few characters after it."""
-        k = bisect_right(at, end) - 1
-        # A special string broken by the end is ordinary text and joins the piece before it; a run of white space is cut by what follows it.
-        if k > 0 and at[k] < end and text[at[k] : at[k + 1]] in self.special:
-            k -= 1
-        while k > 0 and text[at[k - 1] : at[k]].isspace():
-            k -= 1
-        return tokens[k] + self.count(text[at[k] : end])
+        """Tokens of text[:end]."""
+        return tokens[end]
 
     def truncate(self, text: str, at: list[int], tokens: list[int], budget: int) -> int:
         """The largest piece boundary whose prefix has at most budget tokens."""
-        k = bisect_right(tokens, budget) - 1
-        while k > 0 and self.tokens_before(text, at, tokens, at[k]) > budget:
-            k -= 1
-        return at[k]
+        return next(a for a in reversed(at) if tokens[a] <= budget)
 
 
 @functools.lru_cache(maxsize=2)
@@ -207,7 +228,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """id, boundaries (characters), tokens (before each boundary): enough to answer any prefix or budget with the text at hand."""
+    """id, boundaries (of pieces, in characters), tokens (of the prefixes of 0, 1, ... characters): any prefix or budget by a look-up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(public_tokenizers.path(vocabulary))
