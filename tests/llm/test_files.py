@@ -73,7 +73,7 @@ def test_webp_of_another_encoder():
 
 
 def test_media_files_use_every_tool():
-    texts = [f"text {i} " * (1 + i % 40) + "tail" for i in range(400)]
+    texts = [f"text {i} " * (1 + i % 40) + "tail" for i in range(2500)]
     thorough = 0
     for t in texts:
         payload = media.padded(t.encode())
