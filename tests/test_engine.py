@@ -234,6 +234,36 @@ def test_thinning_and_tracing():
     assert raster.drop_small(np.array([[1, 0, 1], [1, 0, 0]]), 2).tolist() == [[True, False, False], [True, False, False]]
 
 
+def test_canvas_thinning_matches_the_array(spark):
+    rng = np.random.default_rng(3)
+    m = np.zeros((40, 50), bool)
+    for _ in range(12):
+        y, x = rng.integers(0, 30), rng.integers(0, 35)
+        m[y : y + rng.integers(1, 9), x : x + rng.integers(1, 14)] = True
+    on = spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(m))], "y int, x int")
+    got = {(r.y, r.x) for r in raster.thin_pixels(on).collect()}
+    assert got == {(int(y), int(x)) for y, x in zip(*np.nonzero(raster.thin(m)))}
+    assert raster.thin_pixels(on.limit(0)).count() == 0
+
+
+def test_wide_boxes_meet_as_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    a = [(i, float(y), float(x), float(y + h), float(x + w)) for i, (y, x, h, w) in enumerate(zip(rng.uniform(-1, 1, 60), rng.uniform(-1, 1, 60), 10 ** rng.uniform(-4, 0.3, 60), 10 ** rng.uniform(-4, 0.3, 60)))]
+    b = [(i, float(y), float(x), float(y + h), float(x + w)) for i, (y, x, h, w) in enumerate(zip(rng.uniform(-1, 1, 60), rng.uniform(-1, 1, 60), 10 ** rng.uniform(-4, 0.3, 60), 10 ** rng.uniform(-4, 0.3, 60)))]
+    left = spark.createDataFrame(a, "i long, b0 double, b1 double, b2 double, b3 double")
+    right = spark.createDataFrame(b, "j long, y0 double, x0 double, y1 double, x1 double")
+    got = sorted((r.i, r.j) for r in spatial.box_join(left, right, levels=6).collect())
+    assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+
+
+def test_maps_with_clashing_node_numbers(spark):
+    e = spark.createDataFrame([(1, 0, 1, 2, 100.0), (1, 1, 2, 3, 100.0)], "region long, eid long, u long, v long, length double")
+    n = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.001), (1, 3, 0.0, 0.002)], "region long, node long, lat double, lng double")
+    swapped = e.withColumns({"u": 4 - F.col("u"), "v": 4 - F.col("v")})
+    other = n.withColumn("node", 4 - F.col("node"))
+    assert evaluation.apls(e, swapped, n, 10.0, other).first().apls == 1.0
+
+
 def test_windows_of_the_patch_grid():
     assert len(raster.window_origins(5625, 6610, 256, 128)) == 52 * 44 == 2288
     assert raster.window_origins(4, 4, 2, 2) == [(0, 0), (2, 0), (0, 2), (2, 2)]

@@ -22,6 +22,11 @@ def slot(time: Column, start: str, end: str, minutes: int) -> Column:
     return F.when((time >= s) & (time < e), F.floor((F.unix_micros(time) - F.unix_micros(s)) / (minutes * 60_000_000)).cast("int"))
 
 
+def slot_range(first: Column, last: Column, start: str, end: str, minutes: int) -> Column:
+    """All slots from that of first to that of last, both included; null if one of them is outside of [start, end)."""
+    return F.sequence(slot(first, start, end, minutes), slot(last, start, end, minutes))
+
+
 def slot_start(index: Column, start: str, minutes: int) -> Column:
     return F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + index.cast("bigint") * (minutes * 60_000_000))
 

@@ -39,13 +39,18 @@ def control_points(near: dict, at: dict, long_chain: int = 15, share: float = 10
     return sorted(set(points))
 
 
-def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: float = 10.0, least_m: float = 0.0) -> float | None:
+def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: float = 10.0, least_m: float = 0.0, at_pred: dict | None = None) -> float | None:
     """1 minus the mean relative error of path lengths between control points of truth; a point without its like in pred
     counts as 1 with every other. None without pairs."""
     a, b = neighbours(truth, "length"), neighbours(pred, "length")
+    there = at if at_pred is None else at_pred
     points, taken, snapped = control_points(a, at), set(), {}
+    rows: dict = {}
+    for n in b:
+        rows.setdefault(math.floor(there[n][0] * DEGREE_M / snap_m), []).append(n)
     for p in points:
-        near = sorted((_metres(at[n], at[p]), n) for n in b if abs(at[n][0] - at[p][0]) * DEGREE_M < snap_m)[:10]
+        k = math.floor(at[p][0] * DEGREE_M / snap_m)
+        near = sorted((_metres(there[n], at[p]), n) for d in (-1, 0, 1) for n in rows.get(k + d, ()) if abs(there[n][0] - at[p][0]) * DEGREE_M < snap_m)
         for d, n in near:
             if n not in taken and d < snap_m:
                 snapped[p] = n
@@ -66,22 +71,30 @@ def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: floa
     return 1 - total / n if n else None
 
 
-def _both(truth: DataFrame, pred: DataFrame, nodes: DataFrame) -> DataFrame:
+def _both(truth: DataFrame, pred: DataFrame, nodes: DataFrame, pred_nodes: DataFrame | None = None) -> DataFrame:
     e = lambda df, kind: df.select("region", F.lit(kind).alias("kind"), "u", "v", "length", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
-    n = nodes.select("region", F.lit("node").alias("kind"), F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("length"), "lat", "lng")
-    return e(truth, "truth").unionByName(e(pred, "pred")).unionByName(n)
+    n = lambda df, kind: df.select("region", F.lit(kind).alias("kind"), F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("length"), "lat", "lng")
+    both = e(truth, "truth").unionByName(e(pred, "pred")).unionByName(n(nodes, "node"))
+    return both if pred_nodes is None else both.unionByName(n(pred_nodes, "pred_node"))
 
 
-def apls(truth: DataFrame, pred: DataFrame, nodes: DataFrame, snap_m: float = 10.0) -> DataFrame:
-    """region, forward, backward, apls (their mean; null if either is)."""
+def _places(pdf: pd.DataFrame) -> tuple[dict, dict]:
+    """Places of the nodes of truth and of pred; without nodes of its own, pred has those of truth."""
+    at = lambda kind: {n: (y, x) for n, y, x in pdf.loc[pdf.kind == kind, ["u", "lat", "lng"]].itertuples(index=False)}
+    own = at("node")
+    return own, at("pred_node") or own
+
+
+def apls(truth: DataFrame, pred: DataFrame, nodes: DataFrame, snap_m: float = 10.0, pred_nodes: DataFrame | None = None) -> DataFrame:
+    """region, forward, backward, apls (their mean; null if either is). pred_nodes: if the maps number their nodes apart."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {n: (y, x) for n, y, x in pdf.loc[pdf.kind == "node", ["u", "lat", "lng"]].itertuples(index=False)}
+        at, there = _places(pdf)
         t, p = pdf[pdf.kind == "truth"], pdf[pdf.kind == "pred"]
-        a, b = apls_one_way(t, p, at, snap_m), apls_one_way(p, t, at, snap_m)
+        a, b = apls_one_way(t, p, at, snap_m, at_pred=there), apls_one_way(p, t, there, snap_m, at_pred=at)
         return pd.DataFrame([(int(pdf.region.iloc[0]), a, b, (a + b) / 2 if a is not None and b is not None else None)], columns=["region", "forward", "backward", "apls"])
 
-    return _both(truth, pred, nodes).groupBy("region").applyInPandas(run, "region long, forward double, backward double, apls double")
+    return _both(truth, pred, nodes, pred_nodes).groupBy("region").applyInPandas(run, "region long, forward double, backward double, apls double")
 
 
 def walk(near: dict, at: dict, start, radius: float, step: float) -> list[tuple[float, float]]:
@@ -150,19 +163,19 @@ def greedy_matching(pairs: list[tuple]) -> tuple[int, float]:
     return len(a), cost
 
 
-def topo(truth: DataFrame, pred: DataFrame, nodes: DataFrame, radius: float = 600.0, step: float = 40.0, threshold: float = 20.0, near_m: float = 30.0) -> DataFrame:
+def topo(truth: DataFrame, pred: DataFrame, nodes: DataFrame, radius: float = 600.0, step: float = 40.0, threshold: float = 20.0, near_m: float = 30.0, pred_nodes: DataFrame | None = None) -> DataFrame:
     """region, start, precision, recall, matched, greedy: from each junction or end of truth that lies on pred too, points
     are dropped along both maps and matched one to one within a threshold."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {n: (y, x) for n, y, x in pdf.loc[pdf.kind == "node", ["u", "lat", "lng"]].itertuples(index=False)}
+        at, there = _places(pdf)
         a, b = (neighbours(pdf[pdf.kind == k], "length") for k in ("truth", "pred"))
         rows = []
         for s in sorted(n for n in a if len(a[n]) != 2):
-            own = min(((_metres(at[n], at[s]), n) for n in b), default=(math.inf, None))
+            own = min(((_metres(there[n], at[s]), n) for n in b), default=(math.inf, None))
             if own[0] > near_m:
                 continue
-            holes, marbles = walk(a, at, s, radius, step), walk(b, at, own[1], radius, step)
+            holes, marbles = walk(a, at, s, radius, step), walk(b, there, own[1], radius, step)
             pairs = [(i, j, d) for i, m in enumerate(marbles) for j, h in enumerate(holes) if (d := _metres(m, h)) <= threshold]
             near: dict = {}
             for i, j, _ in pairs:
@@ -171,7 +184,7 @@ def topo(truth: DataFrame, pred: DataFrame, nodes: DataFrame, radius: float = 60
             rows.append((int(pdf.region.iloc[0]), int(s), n / len(marbles) if marbles else 0.0, n / len(holes) if holes else 0.0, n, greedy_matching(pairs)[0]))
         return pd.DataFrame(rows, columns=["region", "start", "precision", "recall", "matched", "greedy"])
 
-    return _both(truth, pred, nodes).groupBy("region").applyInPandas(run, "region long, start long, precision double, recall double, matched long, greedy long")
+    return _both(truth, pred, nodes, pred_nodes).groupBy("region").applyInPandas(run, "region long, start long, precision double, recall double, matched long, greedy long")
 
 
 def macro_f1(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

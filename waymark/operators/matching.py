@@ -27,7 +27,7 @@ def local_edges(matched: DataFrame, edges: DataFrame, margin_m: float) -> DataFr
     """oid with the edges that meet the box of its candidates, widened: each trajectory's own part of the network."""
     box = matched.groupBy("oid").agg(F.min("lat").alias("b0"), F.min("lng").alias("b1"), F.max("lat").alias("b2"), F.max("lng").alias("b3"))
     wide = box.select("oid", *[(F.col(c) + s * margin_m * m).alias(c) for c, s, m in (("b0", -1, spatial.LAT_PER_M), ("b1", -1, spatial.LNG_PER_M), ("b2", 1, spatial.LAT_PER_M), ("b3", 1, spatial.LNG_PER_M))])
-    return spatial.box_join(wide, spatial.with_box(edges.select("eid", "u", "v", "coords", "length"))).select("oid", "eid", "u", "v", "length")
+    return spatial.box_join(wide, spatial.with_box(edges.select("eid", "u", "v", "coords", "length")), levels=6).select("oid", "eid", "u", "v", "length")
 
 
 class Routes:

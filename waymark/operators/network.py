@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -189,3 +189,23 @@ def distances_cm(edges: DataFrame, sources: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["region", "source", "node", "cm"])
 
     return both.groupBy("region").applyInPandas(run, "region long, source long, node long, cm long")
+
+
+def to_pixel_adjacency(edges: DataFrame, box: tuple[float, float, float, float], size: int) -> DataFrame:
+    """region, row, col, neighbours (array of struct(row, col)): the ends of edges as pixels of the box to a thousandth; inner
+    vertices are left out, loops go, edges between the same pixels are one, and each is told from both ends."""
+    b = F.struct(*[F.lit(v).alias(k) for k, v in zip(("min_lat", "min_lng", "max_lat", "max_lng"), box, strict=True)])
+
+    def at(i: int) -> Column:
+        row, col = geo.geo_to_rc(F.element_at("coords", i)["lat"], F.element_at("coords", i)["lng"], b, size)
+        return F.struct(F.bround(row, 3).alias("row"), F.bround(col, 3).alias("col"))
+
+    e = edges.select("region", at(1).alias("p"), at(-1).alias("q")).where("p <> q")
+    both = e.union(e.select("region", "q", "p")).distinct()
+    return both.groupBy("region", "p").agg(F.array_sort(F.collect_set("q")).alias("neighbours")).select("region", "p.row", "p.col", "neighbours")
+
+
+def read_pixel_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """region, r1, c1, r2, c2: one row for each direction of each edge of stored adjacency lists."""
+    a = spark.read.parquet(path).select("region", F.col("row").alias("r1"), F.col("col").alias("c1"), F.explode("neighbours").alias("q"))
+    return a.select("region", "r1", "c1", F.col("q.row").alias("r2"), F.col("q.col").alias("c2"))

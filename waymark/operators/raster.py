@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 NEAR4 = ((-1, 0), (1, 0), (0, -1), (0, 1))
 NEAR8 = (*NEAR4, (-1, -1), (-1, 1), (1, -1), (1, 1))
 
@@ -130,6 +132,36 @@ def thin(mask: np.ndarray) -> np.ndarray:
             return m[1:-1, 1:-1]
 
 
+#: The eight neighbours, from the north clockwise, as (dy, dx).
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def _thin_phase(pixels: DataFrame, phase: int) -> DataFrame:
+    """One half round of thinning: every pixel tells its neighbours that it is there; the mask of eight bits decides."""
+    told = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(256).alias("bit")), *[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(1 << k).alias("bit")) for k, (dy, dx) in enumerate(RING)])
+    sent = pixels.select("y", "x", F.explode(told).alias("t")).select((F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), F.col("t.bit").alias("bit"))
+    seen = sent.groupBy("y", "x").agg(F.sum("bit").cast("int").alias("m")).where("m >= 256").withColumn("m", F.col("m") - 256)
+    on = lambda k: F.shiftright("m", k % 8).bitwiseAND(1)
+    turns = sum((1 - on(k)) * on(k + 1) for k in range(8))
+    full = lambda *ks: F.col("m").bitwiseAND(sum(1 << k for k in ks)) == sum(1 << k for k in ks)
+    stays = (full(0, 2, 4) | full(2, 4, 6)) if phase == 0 else (full(0, 2, 6) | full(0, 4, 6))
+    gone = F.bit_count("m").between(2, 6) & (turns == 1) & ~stays
+    return seen.where(~gone).select("y", "x")
+
+
+def thin_pixels(pixels: DataFrame) -> DataFrame:
+    """Zhang and Suen's thinning of a whole canvas (y, x), however large: each half round is an aggregation over neighbours;
+    rounds end when no pixel goes. The number of rounds is half the width of the widest shape."""
+    now = stored(pixels.select("y", "x").distinct(), "thin")
+    n = now.count()
+    while True:
+        now = stored(_thin_phase(_thin_phase(now, 0), 1), "thin")
+        left = now.count()
+        if left == n:
+            return now
+        n = left
+
+
 def trace(edges: set[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tuple[int, int]]]:
     """Pixel graph to lines: nodes are pixels whose degree is not 2, lines follow the others; pure rings are closed lines."""
     near: dict = {}
@@ -227,10 +259,11 @@ def split_by_hash(ids: DataFrame, column: str, train: float = 0.8, val: float =
     return ids.select(column, F.when(u < train, "train").when(u < train + val, "val").otherwise("test").alias("split"))
 
 
-def resample(canvas: DataFrame, height: int, width: int, size: int, y0: float, y1: float, x0: float, x1: float) -> DataFrame:
-    """A size by size view of canvas rows y0..y1 and columns x0..x1 by the nearest pixel: i, j, v (0 where nothing is set)."""
-    spark = canvas.sparkSession
-    grid = spark.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("i"), (F.col("id") % size).cast("int").alias("j"))
-    near = lambda k, a, b, n: F.least(F.greatest(F.rint(F.lit(a) + (F.col(k) + 0.5) / size * (b - a) - 0.5), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
-    g = grid.select("i", "j", near("i", y0, y1, height).alias("y"), near("j", x0, x1, width).alias("x"))
-    return g.join(canvas.select("y", "x", "v"), ["y", "x"], "left").select("i", "j", F.coalesce("v", F.lit(0)).alias("v"))
+def resample(canvas: DataFrame, regions: DataFrame, height: int, width: int, size: int) -> DataFrame:
+    """A size by size view of each region (region, y0, y1, x0, x1: canvas rows and columns) by the nearest pixel: region, i, j, v
+    (0 where nothing is set)."""
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = regions.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    near = lambda k, a, b, n: F.least(F.greatest(F.rint(F.col(a) + (F.col(k) + 0.5) / size * (F.col(b) - F.col(a)) - 0.5), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
+    g = grid.select("region", "i", "j", near("i", "y0", "y1", height).alias("y"), near("j", "x0", "x1", width).alias("x"))
+    return g.join(canvas.select("y", "x", "v"), ["y", "x"], "left").select("region", "i", "j", F.coalesce("v", F.lit(0)).alias("v"))

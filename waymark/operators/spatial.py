@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.tables import stored
+from .naming import fresh
 
 #: Degrees per metre used to widen boxes (fixed values): latitude exact, longitude at 35 degrees with some room.
 LAT_PER_M, LNG_PER_M = 1 / 110_000.0, 1 / 88_000.0
@@ -51,7 +54,7 @@ class Grid:
         return F.when((r1 >= r0) & (c1 >= c0), cells).otherwise(F.array().cast("array<struct<row:int,col:int>>"))
 
 
-def cells_of(min_lat, min_lng, max_lat, max_lng, degrees: float) -> Column:
+def cells_of(min_lat, min_lng, max_lat, max_lng, degrees) -> Column:
     """Keys of the square cells that a box meets."""
     at = lambda v: F.floor(v / degrees).cast("long")
     rows, cols = F.sequence(at(min_lat), at(max_lat)), F.sequence(at(min_lng), at(max_lng))
@@ -64,17 +67,32 @@ def with_box(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"y0": F.array_min(lats), "x0": F.array_min(lngs), "y1": F.array_max(lats), "x1": F.array_max(lngs)})
 
 
-def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002) -> DataFrame:
+def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002, levels: int = 1) -> DataFrame:
     """Pairs of rows whose boxes (b0, b1, b2, b3 = min lat, min lng, max lat, max lng; y0, x0, y1, x1) meet, each once.
 
     Of the cells that both share, the pair is made in the one that holds the lower corner of the common box, so nothing
-    has to be deduplicated.
+    has to be deduplicated. With several levels, cells grow fourfold from level to level; a row belongs to the first level
+    where it spans three cells at most each way (or the last one) and is offered there and above, and a pair is made on the
+    higher of both levels, so that wide boxes are not cut into all their small cells.
     """
-    a = boxes.withColumn("_cell", F.explode(cells_of(F.col("b0"), F.col("b1"), F.col("b2"), F.col("b3"), degrees)))
-    b = edges.withColumn("_cell", F.explode(cells_of(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"), degrees)))
-    first = F.floor(F.greatest("b0", "y0") / degrees).cast("long") * 1_000_000 + F.floor(F.greatest("b1", "x0") / degrees).cast("long")
+    cell, level, own_a, own_b = fresh([*boxes.columns, *edges.columns], "cell", "level", "own_a", "own_b")
+    size = lambda k: F.lit(degrees) * F.pow(F.lit(4.0), k)
+
+    def placed(df: DataFrame, y0: str, x0: str, y1: str, x1: str, own: str) -> DataFrame:
+        if levels == 1:
+            return df.withColumn(cell, F.explode(cells_of(F.col(y0), F.col(x0), F.col(y1), F.col(x1), degrees)))
+        span = F.greatest(F.col(y1) - F.col(y0), F.col(x1) - F.col(x0), F.lit(1e-12))
+        first = F.least(F.greatest(F.ceil(F.log(4.0, span / (2 * degrees))), F.lit(0)), F.lit(levels - 1)).cast("int")
+        up = df.withColumn(own, first).withColumn(level, F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
+        return up.withColumn(cell, F.explode(cells_of(F.col(y0), F.col(x0), F.col(y1), F.col(x1), size(F.col(level)))))
+
+    a, b = placed(boxes, "b0", "b1", "b2", "b3", own_a), placed(edges, "y0", "x0", "y1", "x1", own_b)
+    wide = F.lit(degrees) if levels == 1 else size(F.col(level))
+    corner = F.floor(F.greatest("b0", "y0") / wide).cast("long") * 1_000_000 + F.floor(F.greatest("b1", "x0") / wide).cast("long")
     meets = (F.col("b0") <= F.col("y1")) & (F.col("y0") <= F.col("b2")) & (F.col("b1") <= F.col("x1")) & (F.col("x0") <= F.col("b3"))
-    return a.join(b, "_cell").where(meets & (F.col("_cell") == first)).drop("_cell")
+    if levels == 1:
+        return a.join(b, cell).where(meets & (F.col(cell) == corner)).drop(cell)
+    return a.join(b, [level, cell]).where(meets & (F.col(cell) == corner) & (F.col(level) == F.greatest(own_a, own_b))).drop(cell, level, own_a, own_b)
 
 
 def around(points: DataFrame, metres: float) -> DataFrame:
@@ -97,3 +115,20 @@ def nearest(points: DataFrame, key: list[str], others: DataFrame, k: int, metres
     o = others.select("node", "y", "x").withColumns({"y0": F.col("y"), "x0": F.col("x"), "y1": F.col("y"), "x1": F.col("x")})
     near = box_join(around(points.select(*key, "lat", "lng"), metres), o).withColumn("dist", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("y"), F.col("x"))).where(F.col("dist") <= metres)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("dist", "node"))).where(F.col("rank") <= k).select(*key, "node", "dist", "rank")
+
+
+def nearest_any(points: DataFrame, key: list[str], others: DataFrame, k: int, metres: float) -> DataFrame:
+    """The k nearest of others at any distance: points with fewer than k within so many metres are asked again with four times
+    the radius, until all have k, or the whole of others if those are fewer. Points without a place have none."""
+    asked, found, n_others = stored(points.where("lat is not null and lng is not null").select(*key, "lat", "lng"), "asked"), [], others.limit(k).count()
+    while n_others:
+        near = stored(nearest(asked, key, others, k, metres), "nearest")
+        full = near.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_others).select(*key)
+        found.append(near.join(full, key, "left_semi"))
+        asked = stored(asked.join(full, key, "left_anti"), "asked")
+        if asked.isEmpty():
+            break
+        metres *= 4
+        if metres > 2.1e7:  # half the way round the earth: all are near
+            raise ValueError("others without a place")
+    return functools.reduce(DataFrame.union, found) if found else nearest(points, key, others, k, metres)

@@ -14,21 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.temporal import seconds_between
 from . import kernels
+from .naming import fresh
 
 BY = ("oid",)
 
 
-def fresh(taken: list[str], *names: str) -> list[str]:
-    """The names, with underscores in front where a column is called so already."""
-    used, out = {c.lower() for c in taken}, []
-    for name in names:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def ordered(by=BY):
     return Window.partitionBy(*by).orderBy("time", "seq")
 
@@ -153,13 +143,14 @@ def unmatched_runs(matched: DataFrame, tolerance: float, by=BY) -> DataFrame:
     """Maximal runs of points without a candidate or with an error beyond tolerance: run, prev_eid, next_eid for each point."""
     w = ordered(by)
     lost = F.col("eid").isNull() | (F.col("error") > tolerance)
-    m = matched.withColumn("_lost", lost).withColumn("_ok", F.when(~lost, F.col("eid")))
+    gone, ok = fresh(matched.columns, "lost", "ok")
+    m = matched.withColumn(gone, lost).withColumn(ok, F.when(~lost, F.col("eid")))
     m = m.withColumns({
-        "run": F.sum(F.when(F.col("_lost"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "prev_eid": F.last("_ok", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "next_eid": F.first("_ok", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "run": F.sum(F.when(F.col(gone), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "prev_eid": F.last(ok, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "next_eid": F.first(ok, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     })
-    return m.where("_lost").drop("_lost", "_ok")
+    return m.where(F.col(gone)).drop(gone, ok)
 
 
 # -- measures
@@ -174,6 +165,15 @@ def measures(points: DataFrame, by=BY, radius: float = geo.EARTH_M) -> DataFrame
     ).withColumn("duration_s", seconds_between(F.col("end"), F.col("start")))
 
 
+def uniform_measures(points: DataFrame, by=BY) -> DataFrame:
+    """n, length_m (radius 6371000 m), duration_s, and mean_dt and mean_dist as if points were evenly spread; two points at least."""
+    p = with_previous(points, by)
+    w = ordered(by)
+    d = geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"), radius=geo.EARTH_CSV_M)
+    m = p.withColumn("dist", d).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dist"), F.lit(0.0)).alias("length_m"), seconds_between(F.max("time"), F.min("time")).alias("duration_s")).where("n > 1")
+    return m.withColumns({"mean_dt": F.col("duration_s") / (F.col("n") - 1), "mean_dist": F.col("length_m") / (F.col("n") - 1)})
+
+
 def slice_time(points: DataFrame, start: str, end: str) -> DataFrame:
     return points.where((F.col("time") >= F.lit(start).cast("timestamp")) & (F.col("time") < F.lit(end).cast("timestamp")))
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, temporal
-from ..operators import raster
+from ..operators import raster, spatial
 from ..operators import trajectory as T
 from ..operators.numbering import numbered
 from ..sources import fixtures as X
 from ..sources import maps, text
 from ..sources.scratch import scratch_path
 from . import sql as S
+from .map_queries import CANDIDATES
 from .network_queries import TRAILS
 
 QUERIES, SQL = {}, {}
@@ -59,16 +60,20 @@ def src_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.read_boxes(spark, path).select("name", "min_lat", "max_lng")
 
 
-@query(f"""WITH {S.GPS}, k AS (SELECT *, count(*) OVER (PARTITION BY oid) AS n FROM gps WHERE lat < 34.3) SELECT oid, count(*) AS n, date_trunc('second', min(time)) AS start_time FROM k WHERE n > 1 GROUP BY oid""")
+@query(f"""WITH {CANDIDATES}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY oid, seq ORDER BY round(error, 6), eid) AS k FROM cand) WHERE k = 1), m AS (SELECT oid, time, py, count(*) OVER (PARTITION BY oid) AS n FROM best)
+SELECT oid, count(*) AS n, date_trunc('second', min(time)) AS start_time, round(sum(round(py, 7)), 5) AS lat FROM m WHERE n > 1 GROUP BY oid""")
 def snk_matched_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projected points as WKT in CSV files of ten groups, merged again; points off the network (no candidate) are left out."""
+    """Places of the nearest candidates as WKT in CSV files of ten groups, merged again; points without any are left out."""
     path = scratch_path(spark, "matched-wkt")
-    p = X.gps(spark, sf_dir).where("lat < 34.3").withColumn("tid", F.col("oid").cast("string"))
+    c = spatial.candidates(X.gps(spark, sf_dir), X.lattice_edges(spark), 50.0)
+    best = c.groupBy("oid", "seq").agg(F.min_by(F.struct("time", "proj_lat", "proj_lng"), F.struct(F.round("error", 6), "eid")).alias("b"))
+    p = best.select("oid", "seq", "b.time", F.col("b.proj_lat").alias("lat"), F.col("b.proj_lng").alias("lng"), F.col("oid").cast("string").alias("tid"))
     out = text.trajectories_to_wkt(p)
     out = out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_time", "end_time")}).withColumn("part", F.col("oid") % 10)
     out.write.partitionBy("part").csv(path, header=True)
     merged = text.read_wkt_csv(spark, f"{path}/*/*.csv")
-    return merged.select(F.col("oid").cast("long").alias("oid"), F.size("pts").cast("long").alias("n"), "start_time")
+    lat = F.aggregate("pts", F.lit(0.0), lambda s, x: s + x["lat"])
+    return merged.select(F.col("oid").cast("long").alias("oid"), F.size("pts").cast("long").alias("n"), "start_time", r(lat, 5).alias("lat"))
 
 
 @query("SELECT split, array_to_string(list(vec_id ORDER BY vec_id), ' ') AS indices FROM (SELECT vec_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT vec_id, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM embeddings)) GROUP BY split")

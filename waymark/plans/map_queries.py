@@ -53,11 +53,11 @@ def idx_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("oid", F.explode(GRID.covered(*[F.col(c) for c in ("y0", "x0", "y1", "x1")])).alias("c")).select("oid", "c.row", "c.col")
 
 
-@query(f"""WITH {S.GPS}, {S.EDGES}, b AS (SELECT oid, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM gps WHERE lat < 34.3 GROUP BY oid)
+@query(f"""WITH {S.GPS}, {S.EDGES}, b AS (SELECT oid, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM gps GROUP BY oid)
 SELECT oid, eid FROM b JOIN edges ON y0 <= greatest(ulat, vlat) AND least(ulat, vlat) <= y1 AND x0 <= greatest(ulng, vlng) AND least(ulng, vlng) <= x1""")
 def idx_edges_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = X.gps(spark, sf_dir).where("lat < 34.3").groupBy("oid").agg(F.min("lat").alias("b0"), F.min("lng").alias("b1"), F.max("lat").alias("b2"), F.max("lng").alias("b3"))
-    return spatial.box_join(b, spatial.with_box(X.lattice_edges(spark))).select("oid", "eid")
+    b = X.gps(spark, sf_dir).groupBy("oid").agg(F.min("lat").alias("b0"), F.min("lng").alias("b1"), F.max("lat").alias("b2"), F.max("lng").alias("b3"))
+    return spatial.box_join(b, spatial.with_box(X.lattice_edges(spark)), levels=6).select("oid", "eid")
 
 
 @query(f"""WITH {S.GPS}, {S.NODES}, d AS (SELECT oid, seq, node_id AS node, {S.hav('gps.lat', 'gps.lng', 'nodes.lat', 'nodes.lng')} AS dist FROM gps JOIN nodes ON abs(gps.lat - nodes.lat) < 0.004 AND abs(gps.lng - nodes.lng) < 0.005)
@@ -67,6 +67,28 @@ def idx_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(X.gps(spark, sf_dir), ["oid", "seq"], nodes, 3, 300.0).select("oid", "seq", "node", r("dist", 4).alias("dist"), "rank")
 
 
+@query(f"""WITH {S.GPS}, t AS (SELECT oid, time_bucket(INTERVAL 1 DAY, time) AS day, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM gps GROUP BY 1, 2),
+b AS (SELECT oid AS asked, avg(lat) - 0.002 AS b0, avg(lng) - 0.002 AS b1, avg(lat) + 0.002 AS b2, avg(lng) + 0.002 AS b3 FROM gps WHERE lat < 34.3 GROUP BY oid)
+SELECT asked, count(*) AS n_days, count(DISTINCT oid) AS n_objects FROM b JOIN t ON b0 <= y1 AND y0 <= b2 AND b1 <= x1 AND x0 <= b3 GROUP BY asked""")
+def idx_trips_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of objects whose box meets a box around each object's usual place."""
+    p = X.gps(spark, sf_dir)
+    ends = [F.min("lat").alias("y0"), F.min("lng").alias("x0"), F.max("lat").alias("y1"), F.max("lng").alias("x1")]
+    trips = p.groupBy("oid", F.to_date("time").alias("day")).agg(*ends)
+    c = p.where("lat < 34.3").groupBy(F.col("oid").alias("asked")).agg(F.avg("lat").alias("y"), F.avg("lng").alias("x"))
+    box = c.select("asked", (F.col("y") - 0.002).alias("b0"), (F.col("x") - 0.002).alias("b1"), (F.col("y") + 0.002).alias("b2"), (F.col("x") + 0.002).alias("b3"))
+    return spatial.box_join(box, trips, levels=6).groupBy("asked").agg(F.count(F.lit(1)).alias("n_days"), F.countDistinct("oid").alias("n_objects"))
+
+
+@query(f"""WITH {S.GPS}, {S.NODES}, c AS (SELECT oid, avg(lat) AS lat, avg(lng) AS lng FROM gps GROUP BY oid), d AS (SELECT oid, node_id AS node, {S.hav('c.lat', 'c.lng', 'nodes.lat', 'nodes.lng')} AS dist FROM c CROSS JOIN nodes)
+SELECT oid, node, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY dist, node) AS k FROM d) WHERE k <= 4""")
+def idx_nearest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nodes nearest to each object's centre, however far."""
+    c = X.gps(spark, sf_dir).groupBy("oid").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    nodes = X.lattice_nodes(spark).select(F.col("node_id").alias("node"), F.col("lat").alias("y"), F.col("lng").alias("x"))
+    return spatial.nearest_any(c, ["oid"], nodes, 4, 100.0).select("oid", "node", r("dist", 4).alias("dist"))
+
+
 def _along(a: str, b: str) -> str:
     return f"{S.hav(f'{a}1', f'{b}1', 'lat', 'lng')} * cos(radians({S.brg(f'{a}1', f'{b}1', 'lat', 'lng')} - {S.brg(f'{a}1', f'{b}1', f'{a}2', f'{b}2')}))"
 
@@ -76,7 +98,7 @@ CANDIDATES = f"""{S.GPS}, {S.SEGMENTS}, near AS (SELECT oid, seq, time, lat, lng
 rt AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, along / len)) AS rate FROM near),
 pj AS (SELECT *, CASE WHEN rate >= 1 THEN lat2 WHEN rate <= 0 THEN lat1 ELSE lat1 + rate * (lat2 - lat1) END AS py, CASE WHEN rate >= 1 THEN lng2 WHEN rate <= 0 THEN lng1 ELSE lng1 + rate * (lng2 - lng1) END AS px FROM rt),
 er AS (SELECT *, {S.hav('lat', 'lng', 'py', 'px')} AS error FROM pj),
-cand AS (SELECT oid, seq, time, lat, lng, eid, error, {S.hav('lat1', 'lng1', 'py', 'px')} + CASE WHEN i = 1 THEN len ELSE 0 END AS offs FROM (SELECT *, row_number() OVER (PARTITION BY oid, seq, eid ORDER BY error, i) AS k FROM er) WHERE k = 1 AND error <= 50)"""
+cand AS (SELECT oid, seq, time, lat, lng, eid, error, py, {S.hav('lat1', 'lng1', 'py', 'px')} + CASE WHEN i = 1 THEN len ELSE 0 END AS offs FROM (SELECT *, row_number() OVER (PARTITION BY oid, seq, eid ORDER BY error, i) AS k FROM er) WHERE k = 1 AND error <= 50)"""
 
 
 @query(f"WITH {CANDIDATES} SELECT oid, seq, eid, round(error, 3) AS error, round(offs, 2) AS \"offset\" FROM cand")

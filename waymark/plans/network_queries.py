@@ -77,14 +77,13 @@ def src_wkt_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("tid", "oid", "start_time", F.size("pts").alias("n"), r(total).alias("lat"))
 
 
-@query(f"WITH {S.GPS} SELECT 'taxi_' || (oid % 10)::VARCHAR AS oid, date_trunc('second', time) AS time, lat, lng FROM gps")
+@query(f"WITH {S.GPS}, o AS (SELECT *, count(*) OVER (PARTITION BY oid) AS n FROM gps) SELECT oid::VARCHAR AS oid, date_trunc('second', time) AS time, lat, lng FROM o WHERE n > 1")
 def src_taxi_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions as one CSV folder per fleet, longitude first, read back by file name."""
+    """Positions as one CSV folder per object, longitude first, read back by the reader; objects of one point go."""
     path = scratch_path(spark, "taxi")
-    p = X.gps(spark, sf_dir).select((F.col("oid") % 10).alias("fleet"), F.col("oid").cast("string").alias("id"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("t"), "lng", "lat")
-    p.write.partitionBy("fleet").csv(path)
-    raw = spark.read.csv(path, schema="id string, time timestamp, lng double, lat double, fleet int")
-    return raw.select(F.concat(F.lit("taxi_"), F.col("fleet").cast("string")).alias("oid"), "time", "lat", "lng")
+    p = X.gps(spark, sf_dir).select(F.col("oid").alias("taxi"), F.col("oid").cast("string").alias("id"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("t"), "lng", "lat")
+    p.repartition("taxi").write.partitionBy("taxi").csv(path)
+    return text.read_taxi_logs(spark, f"{path}/*", r"taxi=([^/]+)/[^/]+$")
 
 
 @query(f"WITH {S.PATHS} SELECT eid, count(*) AS n_visits, count(DISTINCT pid) AS n_paths FROM paths GROUP BY eid")
@@ -189,3 +188,18 @@ def rte_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest distances in centimetres from the first node of each region."""
     e = X.trail_edges(spark, sf_dir)
     return N.distances_cm(e, e.groupBy("region").agg(F.min("u").alias("source")))
+
+
+def _tile(lat: str, lng: str) -> list[str]:
+    return [f"round_even((34.279658::DOUBLE - {lat}) / (34.279658::DOUBLE - 34.206385::DOUBLE) * 400, 3)", f"round_even(({lng} - 108.917423::DOUBLE) / (108.99286::DOUBLE - 108.917423::DOUBLE) * 400, 3)"]
+
+
+@query(f"""WITH {TRAILS}, e AS (SELECT region, {_tile('y1', 'x1')[0]} AS r1, {_tile('y1', 'x1')[1]} AS c1, {_tile('y2', 'x2')[0]} AS r2, {_tile('y2', 'x2')[1]} AS c2 FROM te),
+b AS (SELECT region, r1, c1, r2, c2 FROM e WHERE r1 <> r2 OR c1 <> c2 UNION SELECT region, r2, c2, r1, c1 FROM e WHERE r1 <> r2 OR c1 <> c2)
+SELECT region, r1 AS row, c1 AS col, count(*) AS degree, round(sum(r2), 3) AS rows, round(sum(c2), 3) AS cols FROM b GROUP BY region, r1, c1""")
+def snk_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks as adjacency lists of pixels (both ways, no loops), written, read back and opened again."""
+    path = scratch_path(spark, "adjacency")
+    N.to_pixel_adjacency(X.trail_edges(spark, sf_dir), X.BOX, 400).write.parquet(path)
+    n = N.read_pixel_adjacency(spark, path)
+    return n.groupBy("region", F.col("r1").alias("row"), F.col("c1").alias("col")).agg(F.count(F.lit(1)).alias("degree"), r(F.sum("r2"), 3).alias("rows"), r(F.sum("c2"), 3).alias("cols"))

@@ -74,10 +74,24 @@ def ras_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.split_by_hash(X.patches(spark, sf_dir), "vec_id")
 
 
-@query(f"""WITH {CANVAS}, g AS (SELECT id // 64 AS i, id % 64 AS j FROM (SELECT unnest(generate_series(0, 4095)) AS id)), m AS (SELECT i::INT AS i, j::INT AS j, greatest(least(round_even(10.25 + (i + 0.5) / 64 * 30 - 0.5, 0), 10000), 0)::INT AS y, greatest(least(round_even(5.125 + (j + 0.5) / 64 * 60 - 0.5, 0), 10000), 0)::INT AS x FROM g)
-SELECT i, j, CASE WHEN c.y IS NULL THEN 0 ELSE 1 END AS v FROM m LEFT JOIN canvas c ON m.y = c.y AND m.x = c.x""")
+@query(f"""WITH {CANVAS}, e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM canvas), t AS (SELECT DISTINCT y // 16 AS ty, x // 16 AS tx FROM canvas),
+g AS (SELECT ty, tx, i, unnest(generate_series(0, 19)) AS j FROM (SELECT ty, tx, unnest(generate_series(0, 19)) AS i FROM t)),
+m AS (SELECT ty, tx, i::INT AS i, j::INT AS j, greatest(least(round_even(ty * 16 + 0.25 + (i + 0.5) / 20 * 16 - 0.5, 0), h - 1), 0)::INT AS y, greatest(least(round_even(tx * 16 + 0.25 + (j + 0.5) / 20 * 16 - 0.5, 0), w - 1), 0)::INT AS x FROM g, e)
+SELECT (ty * 100000 + tx)::BIGINT AS region, i, j, CASE WHEN c.y IS NULL THEN 0 ELSE 1 END AS v FROM m LEFT JOIN canvas c ON m.y = c.y AND m.x = c.x""")
 def ras_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.resample(_canvas(spark, sf_dir), 10001, 10001, 64, 10.25, 40.25, 5.125, 65.125)
+    """Every region of 16 by 16 pixels of the canvas, a quarter pixel off, as 20 by 20."""
+    c = _canvas(spark, sf_dir)
+    h, w = c.agg(F.max("y") + 1, F.max("x") + 1).first()
+    t = c.select(F.floor(F.col("y") / 16).alias("ty"), F.floor(F.col("x") / 16).alias("tx")).distinct()
+    at = lambda k, more: (F.col(k) * 16 + 0.25 + more).cast("double")
+    regions = t.select((F.col("ty") * 100000 + F.col("tx")).alias("region"), at("ty", 0).alias("y0"), at("ty", 16).alias("y1"), at("tx", 0).alias("x0"), at("tx", 16).alias("x1"))
+    return raster.resample(c, regions, h or 1, w or 1, 20)
+
+
+@query()
+def ras_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stitched and closed canvas thinned as a whole."""
+    return raster.thin_pixels(ras_close(spark, sf_dir))
 
 
 @query("""WITH b AS (SELECT a.vec_id, list_sum(list_transform(generate_series(1, 64), lambda k: CASE WHEN a.embedding[k] > 0 AND b.embedding[k] > 0 THEN 1 ELSE 0 END))::DOUBLE AS m, list_sum(list_transform(a.embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END))::DOUBLE AS p, list_sum(list_transform(b.embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END))::DOUBLE AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)

@@ -220,7 +220,13 @@ def seg_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stay_segments(gps(spark, sf_dir), 300.0, 12 * 3600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.GPS}, {_beyond(300, 12)},
+w AS (SELECT oid, k, n, CASE WHEN stay THEN nx ELSE -1 END AS far, CASE WHEN stay THEN k ELSE -1 END AS start, stay AND nx <> k + 1 AS open, stay AND nx = k + 1 AS closed FROM scan WHERE k = 0 AND n > 1
+  UNION ALL SELECT oid, k, n, far, start, held AND k <> far - 1, held AND k = far - 1 FROM (
+    SELECT s.oid, s.k, s.n, CASE WHEN w.far < s.nx AND s.stay THEN s.nx ELSE w.far END AS far, CASE WHEN w.far < s.nx AND s.stay AND NOT w.open THEN s.k ELSE w.start END AS start, w.open OR (w.far < s.nx AND s.stay) AS held
+    FROM w JOIN scan s ON s.oid = w.oid AND s.k = w.k + 1 WHERE s.k < s.n - 1)),
+st AS (SELECT oid, start, far, row_number() OVER (PARTITION BY oid ORDER BY k) - 1 AS part FROM w WHERE closed)
+SELECT p.oid, part::INT AS part, (p.k - st.start)::INT AS pos, p.time, p.seq, p.lat, p.lng FROM st JOIN pts p ON p.oid = st.oid AND p.k >= st.start AND p.k < st.far""")
 def sty_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.density_stays(gps(spark, sf_dir), 300.0, 12 * 3600)
 
@@ -301,6 +307,48 @@ def agg_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("bin", r("low").alias("low"), r("high").alias("high"), r("share", 9).alias("share"))
 
 
+@query(_histogram_sql("round((epoch_us(max(time)) - epoch_us(min(time))) / 6e7, 3)", 10))
+def agg_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes."""
+    h = T.histogram(T.measures(gps(spark, sf_dir)).withColumn("v", F.round(F.col("duration_s") / 60, 3)), "v", 10)
+    return h.select("bin", r("low").alias("low"), r("high").alias("high"), r("share", 9).alias("share"))
+
+
+@query(_histogram_sql("round(avg(CASE WHEN k > 1 THEN d END), 3)", 10))
+def agg_spacing_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.histogram(T.measures(gps(spark, sf_dir)).withColumn("v", F.round("mean_dist", 3)), "v", 10)
+    return h.select("bin", r("low").alias("low"), r("high").alias("high"), r("share", 9).alias("share"))
+
+
+@query(f"""WITH {S.GPS}, {S.steps()}, m AS (SELECT oid, count(*) AS n, coalesce(sum(CASE WHEN k > 1 THEN {S.hav('plat', 'plng', 'lat', 'lng', '6371000')} END), 0) AS len, (epoch_us(max(time)) - epoch_us(min(time))) / 1e6 AS dur FROM steps GROUP BY oid)
+SELECT oid, n, round(len, 4) AS length_m, round(dur / 60, 6) AS minutes, round(dur / (n - 1), 4) AS mean_dt, round(len / (n - 1), 4) AS mean_dist FROM m WHERE n > 1""")
+def agg_csv_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of lines without times of their own: points evenly spread in time, the earth's radius 6371000 m."""
+    m = T.uniform_measures(gps(spark, sf_dir))
+    return m.select("oid", "n", r("length_m", 4).alias("length_m"), r(F.col("duration_s") / 60, 6).alias("minutes"), r("mean_dt", 4).alias("mean_dt"), r("mean_dist", 4).alias("mean_dist"))
+
+
+@query(f"""WITH {S.GPS}, b AS (SELECT oid, min(time) AS a, max(time) AS z FROM gps WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-20' GROUP BY oid),
+s AS (SELECT oid, floor((epoch_us(a) - epoch_us(TIMESTAMP '2024-01-05')) / 1800000000)::INT AS lo, floor((epoch_us(z) - epoch_us(TIMESTAMP '2024-01-05')) / 1800000000)::INT AS hi FROM b)
+SELECT oid, lo, hi, hi - lo + 1 AS n FROM s""")
+def tim_slot_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half-hour slots that each object's points within two weeks span."""
+    span = ("2024-01-05", "2024-01-20")
+    b = T.slice_time(gps(spark, sf_dir), *span).groupBy("oid").agg(F.min("time").alias("a"), F.max("time").alias("z"))
+    return b.select("oid", temporal.slot_range(F.col("a"), F.col("z"), *span, 30).alias("s")).select("oid", F.element_at("s", 1).alias("lo"), F.element_at("s", -1).alias("hi"), F.size("s").alias("n"))
+
+
+@query(f"""WITH {S.GPS}, k AS (SELECT *, floor((lat - 34.206385::DOUBLE) / {_DLAT!r}::DOUBLE) AS i, floor((lng - 108.917423::DOUBLE) / {_DLNG!r}::DOUBLE) AS j FROM gps WHERE lat < 34.27 AND lng < 108.99286)
+SELECT oid, seq, (i * {_COLUMNS} + j)::BIGINT AS region, round(34.206385::DOUBLE + i * {_DLAT!r}::DOUBLE, 7) AS min_lat, round(34.206385::DOUBLE + (i + 1) * {_DLAT!r}::DOUBLE, 7) AS max_lat, round(lat, 7) AS lat, round(lng, 7) AS lng FROM k""")
+def geo_regions_south(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions counted from the south, and points through the pixels of their region and back."""
+    lat, lng = F.col("lat"), F.col("lng")
+    p = gps(spark, sf_dir).where((lat < 34.27) & (lng < BOX[3])).withColumn("region", (F.floor((lat - BOX[0]) / _DLAT) * _COLUMNS + F.floor((lng - BOX[1]) / _DLNG)).cast("long"))
+    p = p.withColumn("b", geo.region_box(F.col("region"), BOX, 400, origin="sw"))
+    y, x = geo.rc_to_geo(*geo.geo_to_rc(lat, lng, F.col("b"), 400), F.col("b"), 400)
+    return p.select("oid", "seq", "region", r("b.min_lat", 8).alias("min_lat"), r("b.max_lat", 8).alias("max_lat"), r(y, 7).alias("lat"), r(x, 7).alias("lng"))
+
+
 @query(f"""WITH {SPEED}, s AS (SELECT *, lag(time) OVER (PARTITION BY oid ORDER BY time, seq) AS pt FROM clean),
 m AS (SELECT *, sum(CASE WHEN epoch_us(time) - epoch_us(pt) > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY oid ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM s)
 SELECT oid, segment::BIGINT AS segment, count(*) AS n, min(time) AS start, max(time) AS "end" FROM m GROUP BY oid, segment HAVING count(*) > 1""")

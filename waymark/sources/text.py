@@ -72,12 +72,12 @@ def path_blocks(paths: DataFrame) -> DataFrame:
     return g.select(F.concat_ws("\n", head, F.transform("p", lambda x: x["line"])).alias("value"))
 
 
-def read_taxi_logs(spark: SparkSession, path: str) -> DataFrame:
-    """oid (the file's name), pos, time, lat, lng of comma-separated id, time, lng, lat; objects of one point go."""
+def read_taxi_logs(spark: SparkSession, path: str, name: str = r"([^/]+?)(\.txt)?$") -> DataFrame:
+    """oid (the part of the file's path that name finds, by default the file's name), time, lat, lng of comma-separated id, time, lng, lat; objects of one point go."""
     from pyspark.sql import Window
 
     raw = spark.read.csv(path, schema="id string, time timestamp, lng double, lat double", timestampFormat="yyyy-MM-dd HH:mm:ss")
-    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.txt)?$", 1).alias("oid"), "time", "lat", "lng")
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("oid"), "time", "lat", "lng")
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("oid"))).where("n > 1").drop("n")
 
 
