@@ -253,9 +253,17 @@ def test_hot_signatures_are_dealt_over_parts(spark, monkeypatch):
     from waymark.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "FEW_ROWS", 0)
     docs = _planted()
-    out = substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.id for r in out} == {7, 11, 30, 9, 21, 40}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.id for r in substring_dedup.passages(df).collect()} == {7, 11, 30, 9, 21, 40}
+    copies = [(i, " ".join(_edited_tail(i))) for i in range(30)]
+    _compare(copies, near_dedup.classes(spark.createDataFrame(copies, "doc_id long, text string")).collect())
+
+
+def _edited_tail(i):
+    return words(120, 1) + words(1 + i % 3, 600 + i)
 
 
 def test_near_passages_are_found(spark):

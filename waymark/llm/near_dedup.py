@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import fresh, materialize, one_per_key, spread_join
+from .common import FEW_ROWS, fresh, materialize, one_per_key, spread_join
 
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 12, 3
@@ -140,7 +140,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     # Many nodes may have one leader.
     counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    both = spread_join(both, texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b", counted)
+    both = spread_join(both, texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b", counted, pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,13 +159,14 @@ def components(edges: DataFrame) -> DataFrame:
     counts changes. Each round ends in a table of the shared folder. A node or label with many others is dealt over parts.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    rows, degree = both.count(), both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        seen = spread_join(both, labels.withColumnsRenamed({"node": "b", "label": "theirs"}), "b", degree).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        flown = materialize(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label")), "flown")
+        seen = spread_join(both, labels.withColumnsRenamed({"node": "b", "label": "theirs"}), "b", degree, rows).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        flown = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
+        flown = flown if rows <= FEW_ROWS else materialize(flown, "flown")
         jump = flown.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(spread_join(flown, jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        new = materialize(spread_join(flown, jump, "label", rows=rows).select("node", "old", F.least("label", "further").alias("label")), "labels")
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -271,7 +272,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     own = materialize(own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "own-labels")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "t")
     best = own.groupBy("label").agg(F.min(place).alias("best"), F.sum("n").alias("class_size"))
-    out = spread_join(own, best, "label").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    out = spread_join(own, best, "label", rows=own.count()).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return out.select("id", "t", F.col("best.id").alias("class_id"), "class_size", ((place == F.col("best")) & (F.col("copy") == 1)).alias("kept"))
 
 
