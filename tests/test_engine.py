@@ -333,6 +333,89 @@ def test_matched_segments_keep_candidates(spark):
     assert [r.seq for r in far] == [0, 1, 2, 3]
 
 
+def test_directed_routes_match_floyd_warshall():
+    rng = np.random.default_rng(3)
+    pairs = [(u, v) for u in range(25) for v in (u + 1 if u % 5 < 4 else None, u + 5 if u < 20 else None) if v is not None]
+    rows = [(k, *(p if rng.random() < 0.5 else p[::-1]), float(rng.integers(1, 9))) for k, p in enumerate(pairs)]
+    rows += [(100 + k, v, u, d) for k, u, v, d in rows if k % 2]
+    e = pd.DataFrame(rows, columns=["eid", "u", "v", "length"])
+    far = np.full((25, 25), np.inf)
+    np.fill_diagonal(far, 0)
+    for _, u, v, d in rows:
+        far[u, v] = min(far[u, v], d)
+    for k in range(25):
+        far = np.minimum(far, far[:, k : k + 1] + far[k])
+    routes = matching.Routes(e, directed=True)
+    places = [{"eid": k, "u": u, "v": v, "length": d, "offset": d / 4} for k, u, v, d in rows]
+    for p in places:
+        for q in places:
+            got, ends = routes.best(p, q)
+            if p["eid"] == q["eid"]:
+                assert got == math.inf  # no way back on the same edge, and none without a move
+            else:
+                want = p["length"] * 3 / 4 + far[p["v"], q["u"]] + q["offset"]
+                assert got == pytest.approx(want)
+                if ends:
+                    way = routes.nodes(*ends[:2])
+                    assert sum(routes.near[a][b] for a, b in zip(way, way[1:])) == pytest.approx(far[p["v"], q["u"]])
+    assert routes.best(places[0], {**places[0], "offset": places[0]["length"]})[0] == pytest.approx(places[0]["length"] * 3 / 4)
+
+
+def test_traced_canvas_matches_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    mask = raster.thin(np.kron(rng.random((12, 14)) < 0.55, np.ones((3, 3), int)))
+    mask[40:45, 40:45] = 0
+    mask = np.pad(mask, ((0, 12), (0, 12)))
+    mask[40, 42:46] = mask[46, 42:46] = True  # a ring apart from all
+    mask[41:46, 41] = mask[41:46, 46] = True
+    on = [(int(y), int(x)) for y, x in zip(*np.nonzero(mask))]
+    pixels = spark.createDataFrame([(0, y, x) for y, x in on], "tile int, y int, x int")
+    graph = raster.pixel_graph(pixels)
+    want = raster.trace({((g.y, g.x), (g.ny, g.nx)) for g in graph.collect()})
+    got = [[(p.y, p.x) for p in row.points] for row in raster.trace_pixels(graph).collect()]
+    same = lambda line: min(tuple(line), tuple(line[::-1]))
+    assert len(got) > 20 and any(line[0] == line[-1] for line in got)
+    assert sorted(map(same, got)) == sorted(map(same, want))
+    e = raster.lines_to_network(raster.trace_pixels(graph), 34.3, 108.9, 0.0001, 1.0).collect()
+    assert [x.eid for x in sorted(e, key=lambda x: x.eid)] == list(range(len(e))) and all(x.length > 0 for x in e)
+    assert len({frozenset((x.u, x.v)) for x in e}) == len(e)
+    none = raster.pixel_graph(spark.createDataFrame([], "tile int, y int, x int"))
+    assert raster.lines_to_network(raster.trace_pixels(none), 34.3, 108.9, 0.0001).count() == 0
+
+
+def test_polygons_by_the_even_odd_rule(spark):
+    ring = lambda *ps: [{"y": float(y), "x": float(x)} for y, x in ps]
+    rows = [("square", ring((1, 1), (1, 4), (3, 4), (3, 1))), ("bow", ring((0, 0), (4, 4), (4, 0), (0, 4))), ("line", ring((0, 0), (3, 3))), ("none", None), ("out", ring((-5, -5), (-5, 9), (9, 9), (9, -5)))]
+    got = raster.fill_polygons(spark.createDataFrame(rows, "name string, ring array<struct<y:double,x:double>>"), 4, 5).collect()
+    of = lambda n: sorted((g.y, g.x) for g in got if g.name == n)
+    assert of("square") == [(y, x) for y in (1, 2) for x in (1, 2, 3)]
+    assert of("out") == [(y, x) for y in range(4) for x in range(5)]
+    # Pixels on the left border belong to the polygon, those on the right do not.
+    assert of("bow") == [(0, 0), (0, 1), (0, 2), (1, 1), (2, 1), (3, 0), (3, 1), (3, 2)]
+    assert of("line") == of("none") == []
+
+
+def test_random_windows_keep_to_their_subset(spark):
+    draws = spark.range(400).withColumnRenamed("id", "idx")
+    w = raster.random_corners(draws, "idx", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("all")), (F.col("idx") % 3 + 1).cast("int")), 30, 40, 8, 0.5).collect()
+    assert {x.wx for x in w} == set(range(22))
+    assert {x.wy for x in w if x.subset == "train"} == set(range(12)) and {x.wy for x in w if x.subset == "val"} == set(range(20, 32))
+    assert max(x.wy for x in w if x.subset == "all") <= 31
+    with pytest.raises(ValueError):
+        raster.random_corners(draws, "idx", F.lit("val"), 30, 12, 8, 0.5)
+
+
+def test_better_results_replace_their_neighbours(spark):
+    e = spark.createDataFrame([(0, k, k + 1, 10.0) for k in range(6)], "region long, u long, v long, length double")
+    s = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.8), (0, 2, 0.95), (0, 3, 0.97), (0, 6, 0.2), (0, 5, None)], "region long, start long, precision double")
+    kept = {r.start for r in evaluation.thin_results(s, e, apart_m=15.0).collect()}
+    assert kept == {3, 2, 0, 6}  # 2 is good enough beside 3, 1 is not beside 2, 0 is beyond both, 5 goes with 6
+    near = {0: {1: 10.0}, 1: {0: 10.0, 2: 10.0}, 2: {1: 10.0}}
+    d = evaluation.location_distance
+    assert d(near, (0, 1, 4.0, 6.0), (1, 2, 3.0, 7.0), 100.0) == 9.0 and d(near, (0, 1, 4.0, 6.0), (1, 2, 3.0, 7.0), 8.0) is None
+    assert d(near, (0, 1, 4.0, 6.0), (1, 0, 2.0, 8.0), 100.0) == 4.0
+
+
 def test_early_stop_ignores_ties(spark):
     e = spark.createDataFrame([(1, i, f) for i, f in enumerate([0.5, 0.5, 0.4, 0.6, 0.5, 0.5])], "run int, epoch int, f1 double")
     assert [r.counter for r in evaluation.early_stopping(e, 2).orderBy("epoch").collect()] == [0, 0, 1, 0, 1, 2]

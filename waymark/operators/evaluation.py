@@ -187,6 +187,38 @@ def topo(truth: DataFrame, pred: DataFrame, nodes: DataFrame, radius: float = 60
     return _both(truth, pred, nodes, pred_nodes).groupBy("region").applyInPandas(run, "region long, start long, precision double, recall double, matched long, greedy long")
 
 
+def location_distance(near: dict, p: tuple, q: tuple, limit: float) -> float | None:
+    """Metres along the map between two places (u, v, metres to u, metres to v) on edges; None beyond a limit."""
+    ways = []
+    if {p[0], p[1]} == {q[0], q[1]}:
+        ways.append(abs(p[2] - (q[2] if p[0] == q[0] else q[3])))
+    for a, da in ((p[0], p[2]), (p[1], p[3])):
+        if da <= limit:
+            to = shortest(near, a, limit - da)
+            ways += [da + to[b] + db for b, db in ((q[0], q[2]), (q[1], q[3])) if b in to]
+    return min((w for w in ways if w <= limit), default=None)
+
+
+def thin_results(scores: DataFrame, edges: DataFrame, apart_m: float = 22.0, good: float = 0.9) -> DataFrame:
+    """scores (region, start, precision and others) without those that a better one replaces: by falling precision (ties by
+    start), each kept start replaces the starts less than apart_m away along the map (edges: region, u, v, length), unless their
+    precision is good. Null precisions come last."""
+    rows = scores.select("region", F.col("start").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("length"), "precision")
+    both = rows.unionByName(edges.select("region", "u", "v", "length", F.lit(None).cast("double").alias("precision")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf[pdf.v.notna()].astype({"v": "int64"})
+        near, replaced, kept = neighbours(e, "length"), set(), []
+        for s, p in pdf[pdf.v.isna()].sort_values(["precision", "u"], ascending=[False, True], na_position="last")[["u", "precision"]].itertuples(index=False):
+            if s in replaced and not p >= good:
+                continue
+            kept.append((int(pdf.region.iloc[0]), int(s)))
+            replaced |= {n for n, d in shortest(near, s, apart_m).items() if d < apart_m}
+        return pd.DataFrame(kept, columns=["region", "start"])
+
+    return scores.join(both.groupBy("region").applyInPandas(run, "region long, start long").distinct(), ["region", "start"], "left_semi")
+
+
 def macro_f1(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """F1 of mean precision and mean recall over rows whose sum of both is positive, with counts."""
     ok = F.coalesce((F.col("precision") + F.col("recall")) > 0, F.lit(False)) & ~F.isnan("precision") & ~F.isnan("recall")

@@ -31,15 +31,18 @@ def local_edges(matched: DataFrame, edges: DataFrame, margin_m: float) -> DataFr
 
 
 class Routes:
-    """Shortest routes between candidates (u, v, length, eid, offset) on an undirected network."""
+    """Shortest routes between candidates (u, v, length, eid, offset). On a directed network edges run from u to v, offsets from
+    u; on one edge only a growing offset is a way."""
 
-    def __init__(self, edges: pd.DataFrame):
+    def __init__(self, edges: pd.DataFrame, directed: bool = False):
+        self.directed = directed
         self.near: dict = {}
+        self.into: dict = {}
         self.eid: dict = {}
         for e, u, v, d in zip(edges.eid, edges.u, edges.v, edges.length, strict=True):
-            for a, b in ((u, v), (v, u)):
+            for a, b in ((u, v),) if directed else ((u, v), (v, u)):
                 if d < self.near.setdefault(a, {}).get(b, float("inf")):
-                    self.near[a][b] = d
+                    self.near[a][b] = self.into.setdefault(b, {})[a] = d
                     self.eid[a, b] = e
         self.known: dict = {}
 
@@ -51,11 +54,14 @@ class Routes:
     def best(self, p: dict, q: dict) -> tuple[float, tuple | None]:
         """Metres, and the ends between which the route runs; None on one edge; inf if there is no way."""
         if p["eid"] == q["eid"]:
-            return abs(q["offset"] - p["offset"]), None
-        ways = []
-        for a, da in ((p["u"], p["offset"]), (p["v"], p["length"] - p["offset"])):
+            on = q["offset"] - p["offset"]
+            return (on if on > 0 else float("inf")) if self.directed else abs(on), None
+        ways, ahead, start = [], [(p["v"], p["length"] - p["offset"])], [(q["u"], q["offset"])]
+        if not self.directed:
+            ahead, start = [(p["u"], p["offset"]), *ahead], [*start, (q["v"], q["length"] - q["offset"])]
+        for a, da in ahead:
             to = self.from_node(a)
-            ways += [(da + to[b] + db, (a, b, da, db)) for b, db in ((q["u"], q["offset"]), (q["v"], q["length"] - q["offset"])) if b in to]
+            ways += [(da + to[b] + db, (a, b, da, db)) for b, db in start if b in to]
         return min(ways, key=lambda w: w[0], default=(float("inf"), None))
 
     def nodes(self, a, b) -> list:
@@ -63,7 +69,7 @@ class Routes:
         to, out = self.from_node(a), [b]
         while out[-1] != a:
             n = out[-1]
-            out.append(min(m for m, w in self.near[n].items() if m in to and abs(to[m] + w - to[n]) < 1e-6))
+            out.append(min(m for m, w in self.into[n].items() if m in to and abs(to[m] + w - to[n]) < 1e-6))
         return out[::-1]
 
 
@@ -116,8 +122,9 @@ def _straight(p: pd.DataFrame) -> list[float]:
     return out
 
 
-def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, margin_m: float = 600.0) -> DataFrame:
-    """points with eid, error, offset, proj_lat, proj_lng: null where nothing matches. One row per point."""
+def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, margin_m: float = 600.0, directed: bool = False) -> DataFrame:
+    """points with eid, error, offset, proj_lat, proj_lng: null where nothing matches. One row per point. On a directed network a
+    point that does not move on along its edge starts anew."""
     found = spatial.candidates(points.select("oid", "seq", "time", "lat", "lng"), edges, search_m)
     around = local_edges(found, edges, margin_m)
     kind = {"oid": "long", "seq": "long", "time": "timestamp", "lat": "double", "lng": "double", "eid": "long", "u": "long", "v": "long", "length": "double", "error": "double", "offset": "double", "proj_lat": "double", "proj_lng": "double"}
@@ -126,7 +133,7 @@ def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, margin_m
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         points, steps = _steps(pdf[pdf.kind == "point"], pdf[pdf.kind == "candidate"])
-        picked = viterbi(steps, _straight(points), Routes(pdf[pdf.kind == "edge"]))
+        picked = viterbi(steps, _straight(points), Routes(pdf[pdf.kind == "edge"], directed))
         for c in ("eid", "u", "v", "length", "error", "offset", "proj_lat", "proj_lng"):
             points[c] = [p[c] if p else None for p in picked]
         return points[list(kind)].astype({"eid": "Int64", "u": "Int64", "v": "Int64"})
@@ -134,10 +141,10 @@ def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, margin_m
     return rows.groupBy("oid").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kind.items()))
 
 
-def to_paths(matched: DataFrame, edges: DataFrame, margin_m: float = 600.0) -> DataFrame:
+def to_paths(matched: DataFrame, edges: DataFrame, margin_m: float = 600.0, directed: bool = False) -> DataFrame:
     """oid, path, pos, eid, enter_time, leave_time: the edges that a matched trajectory travels, times shared by distance.
 
-    Gaps split paths; paths of two edges or fewer are dropped.
+    Gaps split paths, and on a directed network standing still or going back on an edge; paths of two edges or fewer are dropped.
     """
     kind = {"oid": "long", "seq": "long", "time": "timestamp", "eid": "long", "u": "long", "v": "long", "length": "double", "offset": "double"}
     tagged = lambda df, tag: df.select(F.lit(tag).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kind.items()])
@@ -145,7 +152,7 @@ def to_paths(matched: DataFrame, edges: DataFrame, margin_m: float = 600.0) -> D
     schema = "oid long, path int, pos int, eid long, enter_time timestamp, leave_time timestamp"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        routes = Routes(pdf[pdf.kind == "edge"])
+        routes = Routes(pdf[pdf.kind == "edge"], directed)
         pts = pdf[pdf.kind == "point"].sort_values(["time", "seq"], kind="stable").to_dict("records")
         paths, path, prev, enter = [], [], None, None
 
@@ -180,6 +187,9 @@ def to_paths(matched: DataFrame, edges: DataFrame, margin_m: float = 600.0) -> D
                     done += routes.near[x][y]
                     path.append((routes.eid[x, y], start, prev["time"] + span * (done / total)))
                 enter = p["time"] - span * (db / total) if total else p["time"]
+            elif directed and p["offset"] <= prev["offset"]:
+                close(prev)
+                enter = p["time"]
             prev = p
         close(prev)
         cut = lambda t: t.floor("us")

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..sources.tables import stored
+from .numbering import numbered
 
 NEAR4 = ((-1, 0), (1, 0), (0, -1), (0, 1))
 NEAR8 = (*NEAR4, (-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -149,13 +151,16 @@ def _thin_phase(pixels: DataFrame, phase: int) -> DataFrame:
     return seen.where(~gone).select("y", "x")
 
 
-def thin_pixels(pixels: DataFrame) -> DataFrame:
+def thin_pixels(pixels: DataFrame, at_once: int = 3) -> DataFrame:
     """Zhang and Suen's thinning of a whole canvas (y, x), however large: each half round is an aggregation over neighbours;
-    rounds end when no pixel goes. The number of rounds is half the width of the widest shape."""
+    rounds end when no pixel goes. The number of rounds is half the width of the widest shape; at_once of them run between
+    two writes, as a round too many changes nothing."""
     now = stored(pixels.select("y", "x").distinct(), "thin")
     n = now.count()
     while True:
-        now = stored(_thin_phase(_thin_phase(now, 0), 1), "thin")
+        for k in range(2 * at_once):
+            now = _thin_phase(now, k % 2)
+        now = stored(now, "thin")
         left = now.count()
         if left == n:
             return now
@@ -186,9 +191,9 @@ def trace(edges: set[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tupl
     return lines
 
 
-def simplify(line: list[tuple[float, float]], epsilon: float) -> list[tuple[float, float]]:
+def simplify(line: list[tuple[float, float]], epsilon: float, short: int = 4) -> list[tuple[float, float]]:
     """Douglas and Peucker's simplification; short lines (up to four points) stay as they are."""
-    if len(line) <= 4:
+    if len(line) <= short:
         return line
     (y0, x0), (y1, x1) = line[0], line[-1]
     length = np.hypot(y1 - y0, x1 - x0)
@@ -197,7 +202,7 @@ def simplify(line: list[tuple[float, float]], epsilon: float) -> list[tuple[floa
     k = int(far.argmax())
     if far[k] < epsilon:
         return [line[0], line[-1]]
-    return simplify(line[: k + 2], epsilon)[:-1] + simplify(line[k + 1 :], epsilon)
+    return simplify(line[: k + 2], epsilon, short)[:-1] + simplify(line[k + 1 :], epsilon, short)
 
 
 def skeleton_lines(patches: DataFrame, side: int, least: int = 1, epsilon: float = 1.0, column: str = "pixels") -> DataFrame:
@@ -267,3 +272,117 @@ def resample(canvas: DataFrame, regions: DataFrame, height: int, width: int, siz
     near = lambda k, a, b, n: F.least(F.greatest(F.rint(F.col(a) + (F.col(k) + 0.5) / size * (F.col(b) - F.col(a)) - 0.5), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
     g = grid.select("region", "i", "j", near("i", "y0", "y1", height).alias("y"), near("j", "x0", "x1", width).alias("x"))
     return g.join(canvas.select("y", "x", "v"), ["y", "x"], "left").select("region", "i", "j", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def random_corners(draws: DataFrame, column: str, subset: Column, width: int, height: int, size: int, split: float = 0.8, seed: int = 42) -> DataFrame:
+    """draws with subset, wx, wy: a seeded corner of a window for each row. Windows of "train" lie above the cut at split, those
+    of "val" below it, those of any other subset anywhere; the last row and column of the canvas are never reached."""
+    cut = int(split * height)
+    if width <= size or height <= size or cut > height - size - 1:
+        raise ValueError("the canvas has no room for such windows")
+    u = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string"))), k, 8), 16, 10).cast("long")
+    low = F.when(F.col("subset") == "val", cut).otherwise(0)
+    high = F.when(F.col("subset") == "train", max(0, cut - size - 1)).otherwise(height - size - 1)
+    placed = draws.withColumn("subset", subset)
+    return placed.withColumns({"wx": (u(1) % (width - size)).cast("int"), "wy": (low + u(9) % (high - low + 1)).cast("int")})
+
+
+def cut_windows(layers: DataFrame, windows: DataFrame, size: int, names: list[str]) -> DataFrame:
+    """windows (idx, wx, wy and others) with one dense array, row by row, for each named layer of the canvas (layer, y, x, v).
+
+    Windows lie anywhere: both sides meet in blocks of the size of a window, of which a window touches four at most."""
+    block = lambda c: F.floor(F.col(c) / size).cast("int")
+    near = F.array(*[F.struct((block("wy") + i).alias("by"), (block("wx") + j).alias("bx")) for i in (0, 1) for j in (0, 1)])
+    asked = windows.select("idx", "wx", "wy", F.explode(near).alias("b")).select("idx", "wx", "wy", "b.by", "b.bx")
+    dy, dx = F.col("y") - F.col("wy"), F.col("x") - F.col("wx")
+    met = asked.join(layers.select("layer", "y", "x", "v", block("y").alias("by"), block("x").alias("bx")), ["by", "bx"])
+    inside = met.where(dy.between(0, size - 1) & dx.between(0, size - 1)).groupBy("idx", "layer", (dy * size + dx).alias("k")).agg(F.max("v").alias("v"))
+    parts = inside.groupBy("idx").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("layer") == n, F.struct("k", "v")))).alias(f"has_{n}") for n in names])
+    dense = lambda n: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.col(f"has_{n}")[k], F.lit(0)))
+    return windows.join(parts, "idx", "left").select(*windows.columns, *[dense(n).alias(n) for n in names])
+
+
+def without_buildings(channel: Column, building: Column, mark: int = 2) -> Column:
+    """The channel with 0 where the building layer has the mark."""
+    return F.zip_with(channel, building, lambda c, b: F.when(b == mark, 0).otherwise(c))
+
+
+def fill_polygons(polygons: DataFrame, height: int, width: int) -> DataFrame:
+    """polygons (ring: array of struct(y, x) in pixels, first corner not repeated) with y, x of each pixel whose centre is inside
+    by the even-odd rule; ring is dropped. Rings of fewer than three corners, or null ones, have none."""
+    closed = F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)), lambda p, q: F.struct(p["y"].alias("y1"), p["x"].alias("x1"), q["y"].alias("y2"), q["x"].alias("x2")))
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    ys = F.transform("ring", lambda p: p["y"])
+    first = F.greatest(F.floor(F.array_min(ys)).cast("int"), F.lit(0))
+    rows = polygons.where("size(ring) > 2").withColumns({"sides_": closed, "y": F.explode(run(first, F.least(F.floor(F.array_max(ys)).cast("int"), F.lit(height - 1))))})
+    at = F.col("y") + 0.5
+    cut = F.filter("sides_", lambda s: (s["y1"] <= at) != (s["y2"] <= at))
+    spots = F.array_sort(F.transform(cut, lambda s: s["x1"] + (at - s["y1"]) / (s["y2"] - s["y1"]) * (s["x2"] - s["x1"])))
+    rows = rows.withColumn("spots_", spots).where("size(spots_) > 1")
+    rows = rows.withColumn("k_", F.explode(F.sequence(F.lit(1), F.size("spots_") - 1, F.lit(2))))
+    a, b = F.element_at("spots_", F.col("k_")), F.element_at("spots_", F.col("k_") + 1)
+    x = F.explode(run(F.greatest(F.ceil(a - 0.5).cast("int"), F.lit(0)), F.least(F.ceil(b - 0.5).cast("int") - 1, F.lit(width - 1))))
+    return rows.select(*[c for c in polygons.columns if c != "ring"], "y", x.alias("x"))
+
+
+def _walked(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """steps (a, b, c: from a to b, then c, null at an end) to the last step (ja, jb) of the line and the number of steps to it,
+    by doubling; and the steps of rings, which have no end, with the least pixel of their ring."""
+    ends = F.col("c").isNull()
+    state = steps.select("a", "b", F.when(ends, F.col("a")).otherwise(F.col("b")).alias("ja"), F.when(ends, F.col("b")).otherwise(F.col("c")).alias("jb"), F.when(ends, 0).otherwise(1).cast("long").alias("far"), ends.alias("done"), F.col("a").alias("low"))
+    state, reach, before = stored(state, "walk"), 1, -1
+    while True:
+        left = state.where("not done").count()
+        if left == 0 or (left == before and reach >= left):
+            return state.where("done").select("a", "b", "ja", "jb", "far"), state.where("not done").select("a", "b", "low")
+        before, reach = left, reach * 2
+        then = state.select(F.col("a").alias("ja"), F.col("b").alias("jb"), F.col("ja").alias("ka"), F.col("jb").alias("kb"), F.col("far").alias("more"), F.col("done").alias("over"), F.col("low").alias("deep"))
+        moved = state.where("not done").join(then, ["ja", "jb"]).select("a", "b", F.col("ka").alias("ja"), F.col("kb").alias("jb"), (F.col("far") + F.col("more")).alias("far"), F.col("over").alias("done"), F.least("low", "deep").alias("low"))
+        state = stored(state.where("done").unionByName(moved), "walk")
+
+
+def trace_pixels(graph: DataFrame) -> DataFrame:
+    """Pixel graph of a whole canvas (y, x, ny, nx, both ways) to lines (first, second, points: array of struct(y, x)).
+
+    Lines run between pixels whose degree is not 2, over those of degree 2; a ring is one closed line from its least pixel. Each
+    line is told once, from the lesser of its ends. The number of rounds is the logarithm of the longest line; only one
+    line's own pixels ever meet in a row."""
+    key = lambda y, x: F.shiftleft(F.col(y).cast("long"), 32) + F.col(x)
+    e = stored(graph.select(key("y", "x").alias("a"), key("ny", "nx").alias("b")).distinct(), "pixel-steps")
+    inner = e.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("n = 2").drop("n")
+    steps = e.join(inner, "b", "left").select("a", "b", F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")).alias("c"))
+    walked, rings = _walked(steps)
+    rings = stored(rings, "rings")
+    if not rings.isEmpty():
+        again = rings.join(inner, "b").select("a", "b", F.when(F.col("b") != F.col("low"), F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo"))).alias("c"))
+        walked = walked.unionByName(_walked(again)[0])
+    lines = walked.groupBy("ja", "jb").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("k"), "a"))), lambda s: s["a"]).alias("p"))
+    lines = lines.withColumn("p", F.concat("p", F.array("jb")))
+    first, second = F.element_at("p", 1), F.element_at("p", 2)
+    once = lines.where(F.struct(first, second) <= F.struct(F.element_at("p", -1), F.element_at("p", -2)))
+    place = lambda p: F.struct(F.shiftright(p, 32).cast("int").alias("y"), p.bitwiseAND(0xFFFFFFFF).cast("int").alias("x"))
+    return once.select(first.alias("first"), second.alias("second"), F.transform("p", place).alias("points"))
+
+
+def lines_to_network(lines: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0) -> DataFrame:
+    """Traced lines to edges (eid, u, v, coords, length): simplified (points within epsilon pixels go), placed by the corner of
+    the canvas and the width of a pixel. Of lines between the same ends the one traced from the least pixels stays."""
+
+    def run(batches):
+        for pdf in batches:
+            bent = [simplify([(p["y"], p["x"]) for p in line], float(np.nextafter(epsilon, np.inf)), 2) for line in pdf.points]
+            yield pd.DataFrame({"first": pdf["first"], "second": pdf["second"], "ys": [[int(p[0]) for p in b] for b in bent], "xs": [[int(p[1]) for p in b] for b in bent]})
+
+    bent = lines.mapInPandas(run, "first long, second long, ys array<int>, xs array<int>")
+    pixel = lambda k: F.shiftleft(F.element_at("ys", k).cast("long"), 32) + F.element_at("xs", k)
+    coords = F.zip_with("ys", "xs", lambda y, x: F.struct((F.lit(north) - y * degrees).alias("lat"), (F.lit(west) + x * degrees).alias("lng")))
+    e = bent.select("first", "second", pixel(1).alias("u"), pixel(-1).alias("v"), coords.alias("coords")).where("u <> v or size(coords) > 2")
+    ends = [F.least("u", "v"), F.greatest("u", "v")]
+    e = e.groupBy(*[c.alias(n) for c, n in zip(ends, ("e0", "e1"), strict=True)]).agg(F.min(F.struct("first", "second", "u", "v", "coords")).alias("s")).select("s.*")
+    return numbered(e, [F.col("first"), F.col("second")], "eid").select("eid", "u", "v", "coords", geo.length_m(F.col("coords")).alias("length"))
+
+
+def mask_to_network(mask: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0) -> DataFrame:
+    """A binary canvas (y, x) to a road network: thinned, traced, simplified and placed, all over the whole canvas."""
+    graph = pixel_graph(thin_pixels(mask).withColumn("tile", F.lit(0)))
+    return lines_to_network(trace_pixels(graph), north, west, degrees, epsilon)

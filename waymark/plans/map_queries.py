@@ -146,3 +146,17 @@ def map_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, path = X.lattice_edges(spark), scratch_path(spark, "matched")
     matching.match(X.gps(spark, sf_dir), edges).write.parquet(path)  # read twice: as points, and for the parts of the network
     return matching.to_paths(spark.read.parquet(path), edges)
+
+
+def _directed(spark: SparkSession) -> DataFrame:
+    """The lattice with both directions of each street but every fourth, which is one-way."""
+    e = X.lattice_edges(spark)
+    back = e.where("eid % 4 <> 1").select((F.col("eid") + 5692).alias("eid"), F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("coords").alias("coords"), "length")
+    return e.unionByName(back)
+
+
+@query()
+def map_match_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching to a directed network with one-way streets."""
+    m = matching.match(X.gps(spark, sf_dir), _directed(spark), directed=True)
+    return m.select("oid", "seq", "eid", r("error", 3).alias("error"), r("offset", 2).alias("offset"))

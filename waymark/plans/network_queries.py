@@ -183,7 +183,11 @@ def net_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.compress(X.trail_edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRAILS}, we AS (SELECT region, u, v, trunc({S.hav('y1', 'x1', 'y2', 'x2')} * 100)::BIGINT AS cm FROM te), wb AS (SELECT region, u AS a, v AS b, cm FROM we UNION ALL SELECT region, v, u, cm FROM we),
+src AS (SELECT region, min(u) AS source FROM te GROUP BY region),
+far(region, node, cm) USING KEY (region, node) AS (SELECT region, source, 0::BIGINT FROM src UNION
+ (SELECT w.region, w.b, min(f.cm + w.cm) FROM far f JOIN wb w ON w.region = f.region AND w.a = f.node LEFT JOIN recurring.far o ON o.region = w.region AND o.node = w.b WHERE o.cm IS NULL OR f.cm + w.cm < o.cm GROUP BY w.region, w.b))
+SELECT n.region, s.source, n.node, coalesce(f.cm, -1)::BIGINT AS cm FROM (SELECT DISTINCT region, node FROM tb) n JOIN src s ON s.region = n.region LEFT JOIN far f ON f.region = n.region AND f.node = n.node""")
 def rte_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest distances in centimetres from the first node of each region."""
     e = X.trail_edges(spark, sf_dir)

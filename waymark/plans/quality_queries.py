@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import evaluation as E
-from ..operators import fusion, network, raster
+from ..operators import fusion, network, raster, spatial
 from ..sources import fixtures as X
+from ..sources.scratch import scratch_path
 from . import sql as S
 from .network_queries import TRAILS
 
@@ -187,6 +188,74 @@ def fus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.votes(asks, near, trips, 45.0, 40.0)
 
 
+@query()
+def ras_mask_to_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stitched and closed canvas as a road network: thinned, traced over all patches, simplified, placed."""
+    e = raster.mask_to_network(ras_close(spark, sf_dir), 34.279658, 108.917423, 0.0001)
+    return e.select("eid", "u", "v", F.size("coords").alias("n_points"), r("length", 3).alias("length"))
+
+
+LAYERS = ("map", "trail", "building")
+
+
+@query(f"""WITH px AS (SELECT (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, embedding[k + 1] AS d FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)),
+c AS (SELECT y, x, max((d > 0)::INT) AS map, max((d > 0.5)::INT) AS trail, max(CASE WHEN d > 1 THEN 2 ELSE 0 END) AS building FROM px GROUP BY y, x),
+e AS (SELECT max(y) FILTER (map + trail + building > 0) + 1 AS h, max(x) FILTER (map + trail + building > 0) + 1 AS w FROM c),
+u AS (SELECT vec_id AS idx, CASE WHEN vec_id % 5 < 4 THEN 'train' ELSE 'val' END AS subset, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT AS a, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 9, 8))::BIGINT AS b FROM embeddings),
+k AS (SELECT idx, subset, (a % (w - 4))::INT AS wx, (CASE WHEN subset = 'val' THEN h // 2 ELSE 0 END + b % (CASE WHEN subset = 'train' THEN greatest(0, h // 2 - 5) + 1 ELSE h - 5 - h // 2 + 1 END))::INT AS wy FROM u, e),
+g AS (SELECT idx, subset, wx, wy, i, unnest(generate_series(0, 3)) AS j FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM k)),
+v AS (SELECT idx, subset, wx, wy, i * 4 + j AS p, coalesce(map, 0) AS map, coalesce(trail, 0) AS trail, coalesce(building, 0) AS building FROM g LEFT JOIN c ON c.y = wy + i AND c.x = wx + j)
+SELECT idx, subset, wx, wy, string_agg(map::VARCHAR, '' ORDER BY p) AS map, string_agg(trail::VARCHAR, '' ORDER BY p) AS trail,
+ string_agg((CASE WHEN building = 2 THEN 0 ELSE trail END)::VARCHAR, '' ORDER BY p) AS masked FROM v GROUP BY idx, subset, wx, wy""")
+def ras_random_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch data set: one random window of 4 by 4 pixels for each vector, three layers, written by subset and read again."""
+    p = X.patches(spark, sf_dir).select("y", "x", F.posexplode("data").alias("k", "d"))
+    at = [(F.col("y") + F.floor(F.col("k") / 8)).cast("int").alias("y"), (F.col("x") + F.col("k") % 8).cast("int").alias("x")]
+    value = {"map": (F.col("d") > 0).cast("int"), "trail": (F.col("d") > 0.5).cast("int"), "building": F.when(F.col("d") > 1, 2).otherwise(0)}
+    c = p.select(*at, F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), value[n].alias("v")) for n in LAYERS])).alias("s")).select("y", "x", "s.*")
+    c = c.where("v <> 0").groupBy("layer", "y", "x").agg(F.max("v").alias("v"))
+    h, w = c.agg(F.max("y") + 1, F.max("x") + 1).first()
+    draws = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"))
+    windows = raster.random_corners(draws, "idx", F.when(F.col("idx") % 5 < 4, "train").otherwise("val"), w, h, 4, split=0.5)
+    path = scratch_path(spark, "patches")
+    raster.cut_windows(c, windows, 4, list(LAYERS)).write.partitionBy("subset").parquet(path)
+    text = lambda a: F.array_join(a, "")
+    masked = raster.without_buildings(F.col("trail"), F.col("building"))
+    return spark.read.parquet(path).select("idx", "subset", "wx", "wy", text("map").alias("map"), text("trail").alias("trail"), text(masked).alias("masked"))
+
+
+TILE_M, TILE_PX = 800, 100
+_DLAT, _DLNG, _ROWS, _COLUMNS = geo.region_grid(X.BOX, TILE_M)
+
+
+@query(f"""WITH {S.GPS}, n AS (SELECT oid, (epoch_us(time) // 604800000000)::BIGINT AS week, lat, lng, row_number() OVER (PARTITION BY oid, epoch_us(time) // 604800000000 ORDER BY time, seq) AS k FROM gps),
+c AS (SELECT oid, week, k, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng, first(lat) OVER w AS flat, first(lng) OVER w AS flng, count(*) OVER (PARTITION BY oid, week) AS n FROM n WHERE k <= 5 WINDOW w AS (PARTITION BY oid, week ORDER BY k)),
+b AS (SELECT oid, week, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM c WHERE n > 2 GROUP BY oid, week),
+t AS (SELECT id AS region, {X.BOX[2]!r}::DOUBLE - (id // {_COLUMNS} + 1)::DOUBLE * {_DLAT!r}::DOUBLE AS b0, {X.BOX[1]!r}::DOUBLE + (id % {_COLUMNS})::DOUBLE * {_DLNG!r}::DOUBLE AS b1, {X.BOX[2]!r}::DOUBLE - (id // {_COLUMNS})::DOUBLE * {_DLAT!r}::DOUBLE AS b2,
+  {X.BOX[1]!r}::DOUBLE + (id % {_COLUMNS})::DOUBLE * {_DLNG!r}::DOUBLE + {_DLNG!r}::DOUBLE AS b3 FROM (SELECT unnest(generate_series(0, {_ROWS * _COLUMNS - 1})) AS id)),
+m AS (SELECT * FROM t JOIN b ON b0 <= y1 AND y0 <= b2 AND b1 <= x1 AND x0 <= b3),
+s AS (SELECT region, oid, week, (b2 - lat) / (b2 - b0) * {TILE_PX} AS y1, (lng - b1) / (b3 - b1) * {TILE_PX} AS x1, (b2 - coalesce(nlat, flat)) / (b2 - b0) * {TILE_PX} AS y2, (coalesce(nlng, flng) - b1) / (b3 - b1) * {TILE_PX} AS x2 FROM m JOIN c USING (oid, week)),
+lh AS (SELECT region, oid, week, greatest(floor(min(y1)), 0)::INT AS lo, least(floor(max(y1)), {TILE_PX - 1})::INT AS hi FROM s GROUP BY region, oid, week),
+rw AS (SELECT region, oid, week, unnest(generate_series(lo, hi)) AS y FROM lh),
+cx AS (SELECT region, oid, week, y, x1 + (y + 0.5::DOUBLE - y1) / (y2 - y1) * (x2 - x1) AS spot FROM rw JOIN s USING (region, oid, week) WHERE (y1 <= y + 0.5::DOUBLE) <> (y2 <= y + 0.5::DOUBLE)),
+px AS (SELECT region, oid, week, y, x FROM cx, (SELECT unnest(generate_series(0, {TILE_PX - 1})) AS x) g WHERE spot <= x + 0.5::DOUBLE GROUP BY region, oid, week, y, x HAVING count(*) % 2 = 1)
+SELECT region, oid, week, count(*) AS n, sum(y)::BIGINT AS ys, sum(x)::BIGINT AS xs FROM px GROUP BY region, oid, week""")
+def ras_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 800 m at 100 pixels with the polygons that meet them (the first five points of an object's week), filled."""
+    p = X.gps(spark, sf_dir).withColumn("week", F.floor(F.unix_micros("time") / 604_800_000_000))
+    ring = F.slice(F.array_sort(F.collect_list(F.struct("time", "seq", "lat", "lng"))), 1, 5)
+    polygons = spatial.with_box(p.groupBy("oid", "week").agg(ring.alias("coords")).where("size(coords) > 2"))
+    tiles = spark.range(_ROWS * _COLUMNS).select(F.col("id").alias("region"), geo.region_box(F.col("id"), X.BOX, TILE_M).alias("box"))
+    tiles = tiles.select("region", "box", *[F.col(f"box.{c}").alias(b) for b, c in zip(("b0", "b1", "b2", "b3"), ("min_lat", "min_lng", "max_lat", "max_lng"), strict=True)])
+
+    def corner(q):
+        y, x = geo.geo_to_rc(q["lat"], q["lng"], F.col("box"), TILE_PX)
+        return F.struct(y.alias("y"), x.alias("x"))
+
+    met = spatial.box_join(tiles, polygons, levels=6).select("region", "oid", "week", F.transform("coords", corner).alias("ring"))
+    return raster.fill_polygons(met, TILE_PX, TILE_PX).groupBy("region", "oid", "week").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ys"), F.sum("x").alias("xs"))
+
+
 @query()
 def fus_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, every = _halves(spark, sf_dir)
@@ -204,3 +273,10 @@ def eva_apls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eva_topo(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, every = _halves(spark, sf_dir)
     return E.topo(every, base, X.trail_nodes(every), radius=300.0, step=60.0)
+
+
+@query()
+def eva_topo_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of TOPO results whose starts lie less than 120 m apart along the map the best stays, and those of precision 0.9 or more."""
+    base, every = _halves(spark, sf_dir)
+    return E.thin_results(E.topo(every, base, X.trail_nodes(every), radius=300.0, step=60.0), every, apart_m=120.0)
