@@ -116,55 +116,64 @@ def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
     return (labels > 0) & (size[labels] >= least)
 
 
+def _thin_round(m: np.ndarray) -> bool:
+    """One round (both phases) on a padded mask, in place; whether a pixel went."""
+    changed = False
+    for phase in (0, 1):
+        p = [np.roll(m, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
+        n = sum(x.astype(np.int8) for x in p)
+        turns = sum((~p[k] & p[(k + 1) % 8]).astype(np.int8) for k in range(8))
+        a, b = (p[0] & p[2] & p[4], p[2] & p[4] & p[6]) if phase == 0 else (p[0] & p[2] & p[6], p[0] & p[4] & p[6])
+        gone = m & (n >= 2) & (n <= 6) & (turns == 1) & ~a & ~b
+        if gone.any():
+            m &= ~gone
+            changed = True
+    return changed
+
+
 def thin(mask: np.ndarray) -> np.ndarray:
     """Zhang and Suen's thinning (1984)."""
     m = np.pad(mask.astype(bool), 1)
-    while True:
-        changed = False
-        for phase in (0, 1):
-            p = [np.roll(m, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
-            n = sum(x.astype(int) for x in p)
-            turns = sum((~p[k] & p[(k + 1) % 8]).astype(int) for k in range(8))
-            a, b = (p[0] & p[2] & p[4], p[2] & p[4] & p[6]) if phase == 0 else (p[0] & p[2] & p[6], p[0] & p[4] & p[6])
-            gone = m & (n >= 2) & (n <= 6) & (turns == 1) & ~a & ~b
-            if gone.any():
-                m &= ~gone
-                changed = True
-        if not changed:
-            return m[1:-1, 1:-1]
-
-
-#: The eight neighbours, from the north clockwise, as (dy, dx).
-RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-
-
-def _thin_phase(pixels: DataFrame, phase: int) -> DataFrame:
-    """One half round of thinning: every pixel tells its neighbours that it is there; the mask of eight bits decides."""
-    told = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(256).alias("bit")), *[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(1 << k).alias("bit")) for k, (dy, dx) in enumerate(RING)])
-    sent = pixels.select("y", "x", F.explode(told).alias("t")).select((F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), F.col("t.bit").alias("bit"))
-    seen = sent.groupBy("y", "x").agg(F.sum("bit").cast("int").alias("m")).where("m >= 256").withColumn("m", F.col("m") - 256)
-    on = lambda k: F.shiftright("m", k % 8).bitwiseAND(1)
-    turns = sum((1 - on(k)) * on(k + 1) for k in range(8))
-    full = lambda *ks: F.col("m").bitwiseAND(sum(1 << k for k in ks)) == sum(1 << k for k in ks)
-    stays = (full(0, 2, 4) | full(2, 4, 6)) if phase == 0 else (full(0, 2, 6) | full(0, 4, 6))
-    gone = F.bit_count("m").between(2, 6) & (turns == 1) & ~stays
-    return seen.where(~gone).select("y", "x")
-
-
-def thin_pixels(pixels: DataFrame, at_once: int = 3) -> DataFrame:
-    """Zhang and Suen's thinning of a whole canvas (y, x), however large: each half round is an aggregation over neighbours;
-    rounds end when no pixel goes. The number of rounds is half the width of the widest shape; at_once of them run between
-    two writes, as a round too many changes nothing."""
+    while _thin_round(m):
+        pass
+    return m[1:-1, 1:-1]
+
+
+def thin_pixels(pixels: DataFrame, tile: int = 256, at_once: int = 16) -> DataFrame:
+    """Zhang and Suen's thinning of a whole canvas (y, x), however large, exactly as thin() does it.
+
+    What a pixel becomes in a half round depends on its eight neighbours alone, so at_once rounds depend on a margin of
+    2 * at_once pixels. Every pixel goes to the tiles whose margin holds it (four at most), each tile runs at_once rounds on
+    itself with its margin and returns its own pixels. A group has (tile + 4 * at_once)^2 pixels at most, whatever the canvas.
+    This repeats until no pixel goes: once for shapes narrower than 2 * at_once, and once more to see it.
+    """
+    margin = 2 * at_once
+    if tile < 2 * margin:
+        raise ValueError("a tile must be at least twice as wide as its margin")
+    side = tile + 2 * margin
+    types = [pixels.schema[c].dataType.simpleString() for c in ("y", "x")]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = (int(k) * tile - margin for k in key)
+        m = np.zeros((side + 2, side + 2), bool)  # nothing is set on the rim
+        m[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = True
+        for _ in range(at_once):
+            if not _thin_round(m):
+                break
+        y, x = np.nonzero(m[margin + 1 : margin + 1 + tile, margin + 1 : margin + 1 + tile])
+        return pd.DataFrame({"y": y + y0 + margin, "x": x + x0 + margin})
+
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile)))
     now = stored(pixels.select("y", "x").distinct(), "thin")
     n = now.count()
-    while True:
-        for k in range(2 * at_once):
-            now = _thin_phase(now, k % 2)
-        now = stored(now, "thin")
+    while n:
+        placed = now.withColumn("ty", near("y")).withColumn("tx", near("x"))
+        now = stored(placed.groupBy("ty", "tx").applyInPandas(run, f"y {types[0]}, x {types[1]}"), "thin")
         left = now.count()
         if left == n:
-            return now
+            break
         n = left
+    return now
 
 
 def trace(edges: set[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tuple[int, int]]]:
