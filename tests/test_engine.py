@@ -250,6 +250,15 @@ def test_canvas_thinning_matches_the_array(spark):
     assert raster.thin_pixels(on.limit(0)).count() == 0
 
 
+def test_small_objects_of_the_canvas_match_the_array(spark):
+    m = np.random.default_rng(4).random((45, 37)) < 0.4
+    on = spark.createDataFrame([(int(y) - 7, int(x) - 9) for y, x in zip(*np.nonzero(m))], "y int, x int")
+    for least, tile in ((1, 256), (4, 8), (6, 5), (20, 64)):
+        want = {(int(y), int(x)) for y, x in zip(*np.nonzero(raster.drop_small(m, least)))}
+        assert {(r.y + 7, r.x + 9) for r in raster.drop_small_pixels(on.union(on), least, tile).collect()} == want
+    assert raster.drop_small_pixels(on.limit(0), 4).count() == 0
+
+
 def test_wide_boxes_meet_as_by_brute_force(spark):
     rng = np.random.default_rng(5)
     a = [(i, float(y), float(x), float(y + h), float(x + w)) for i, (y, x, h, w) in enumerate(zip(rng.uniform(-1, 1, 60), rng.uniform(-1, 1, 60), 10 ** rng.uniform(-4, 0.3, 60), 10 ** rng.uniform(-4, 0.3, 60)))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,15 +141,11 @@ def thin(mask: np.ndarray) -> np.ndarray:
     return m[1:-1, 1:-1]
 
 
-def thin_pixels(pixels: DataFrame, tile: int = 256, at_once: int = 16) -> DataFrame:
-    """Zhang and Suen's thinning of a whole canvas (y, x), however large, exactly as thin() does it.
+def _by_tiles(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], tile: int, margin: int) -> DataFrame:
+    """A kernel from mask to mask over a canvas (y, x), where each pixel's result depends on a margin around it alone.
 
-    What a pixel becomes in a half round depends on its eight neighbours alone, so at_once rounds depend on a margin of
-    2 * at_once pixels. Every pixel goes to the tiles whose margin holds it (four at most), each tile runs at_once rounds on
-    itself with its margin and returns its own pixels. A group has (tile + 4 * at_once)^2 pixels at most, whatever the canvas.
-    This repeats until no pixel goes: once for shapes narrower than 2 * at_once, and once more to see it.
-    """
-    margin = 2 * at_once
+    Every pixel goes to the tiles whose margin holds it (four at most if a tile is twice its margin); a tile returns its own
+    pixels. A group has (tile + 2 * margin)^2 pixels at most, whatever the canvas. Pixels are distinct."""
     if tile < 2 * margin:
         raise ValueError("a tile must be at least twice as wide as its margin")
     side = tile + 2 * margin
@@ -155,20 +153,43 @@ def thin_pixels(pixels: DataFrame, tile: int = 256, at_once: int = 16) -> DataFr
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = (int(k) * tile - margin for k in key)
-        m = np.zeros((side + 2, side + 2), bool)  # nothing is set on the rim
-        m[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = True
+        m = np.zeros((side, side), bool)
+        m[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0] = True
+        y, x = np.nonzero(kernel(m)[margin : margin + tile, margin : margin + tile])
+        return pd.DataFrame({"y": y + y0 + margin, "x": x + x0 + margin})
+
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile)))
+    placed = pixels.select("y", "x").withColumn("ty", near("y")).withColumn("tx", near("x"))
+    return placed.groupBy("ty", "tx").applyInPandas(run, f"y {types[0]}, x {types[1]}")
+
+
+def drop_small_pixels(pixels: DataFrame, least: int, tile: int = 256) -> DataFrame:
+    """A canvas (y, x) without its 4-connected objects of fewer than least pixels.
+
+    From a pixel whose object is smaller, no path of least steps leads away: with a margin of least pixels each tile sees such
+    an object whole, and at least least pixels of any other. One pass is exact."""
+    tile = max(tile, 2 * least)
+    return _by_tiles(pixels.select("y", "x").distinct(), lambda m: drop_small(m, least), tile, least)
+
+
+def thin_pixels(pixels: DataFrame, tile: int = 256, at_once: int = 16) -> DataFrame:
+    """Zhang and Suen's thinning of a whole canvas (y, x), however large, exactly as thin() does it.
+
+    What a pixel becomes in a half round depends on its eight neighbours alone, so at_once rounds depend on a margin of
+    2 * at_once pixels. Passes of at_once rounds repeat until no pixel goes: once for shapes narrower than 2 * at_once, and
+    once more to see it."""
+
+    def rounds(mask: np.ndarray) -> np.ndarray:
+        m = np.pad(mask, 1)  # nothing is set on the rim
         for _ in range(at_once):
             if not _thin_round(m):
                 break
-        y, x = np.nonzero(m[margin + 1 : margin + 1 + tile, margin + 1 : margin + 1 + tile])
-        return pd.DataFrame({"y": y + y0 + margin, "x": x + x0 + margin})
+        return m[1:-1, 1:-1]
 
-    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile)))
     now = stored(pixels.select("y", "x").distinct(), "thin")
     n = now.count()
     while n:
-        placed = now.withColumn("ty", near("y")).withColumn("tx", near("x"))
-        now = stored(placed.groupBy("ty", "tx").applyInPandas(run, f"y {types[0]}, x {types[1]}"), "thin")
+        now = stored(_by_tiles(now, rounds, tile, 2 * at_once), "thin")
         left = now.count()
         if left == n:
             break
@@ -391,7 +412,8 @@ def lines_to_network(lines: DataFrame, north: float, west: float, degrees: float
     return numbered(e, [F.col("first"), F.col("second")], "eid").select("eid", "u", "v", "coords", geo.length_m(F.col("coords")).alias("length"))
 
 
-def mask_to_network(mask: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0) -> DataFrame:
-    """A binary canvas (y, x) to a road network: thinned, traced, simplified and placed, all over the whole canvas."""
-    graph = pixel_graph(thin_pixels(mask).withColumn("tile", F.lit(0)))
+def mask_to_network(mask: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0, least: int = 1) -> DataFrame:
+    """A binary canvas (y, x) to a road network: objects under least pixels out, thinned, traced, simplified and placed, all over
+    the whole canvas."""
+    graph = pixel_graph(thin_pixels(drop_small_pixels(mask, least) if least > 1 else mask).withColumn("tile", F.lit(0)))
     return lines_to_network(trace_pixels(graph), north, west, degrees, epsilon)

@@ -43,9 +43,9 @@ def ras_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canvas(spark, sf_dir)
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > 0.5 THEN 255 ELSE 0 END), ',') AS bits FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v::DOUBLE > 0.1::DOUBLE THEN 255 ELSE 0 END), ',') AS bits FROM embeddings")
 def ras_binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.patches(spark, sf_dir).select("vec_id", F.array_join(raster.binarise(F.col("data"), 0.5, 255), ",").alias("bits"))
+    return X.patches(spark, sf_dir).select("vec_id", F.array_join(raster.binarise(F.col("data"), 0.1, 255), ",").alias("bits"))
 
 
 @query(f"""WITH {CANVAS}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM canvas), o AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
@@ -188,10 +188,31 @@ def fus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.votes(asks, near, trips, 45.0, 40.0)
 
 
+ROADS = """px AS (SELECT (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, embedding[k + 1]::DOUBLE AS d FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)),
+roads AS (SELECT DISTINCT y, x FROM px WHERE d > 0.2::DOUBLE)"""
+
+
+def _roads(spark, sf_dir) -> DataFrame:
+    """The stitched canvas of high values only: sparse enough for lines."""
+    p = X.patches(spark, sf_dir).select("vec_id", "y", "x", raster.binarise(F.col("data"), 0.2).alias("pixels"))
+    return raster.stitch(raster.to_pixels(p, 8)).select("y", "x")
+
+
+@query(f"""WITH RECURSIVE {ROADS}, o AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)),
+g AS (SELECT y AS sy, x AS sx, y, x FROM roads UNION SELECT g.sy, g.sx, c.y, c.x FROM g, o, roads c WHERE c.y = g.y + o.dy AND c.x = g.x + o.dx)
+SELECT sy AS y, sx AS x FROM g GROUP BY sy, sx HAVING count(*) >= 4""")
+def ras_drop_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canvas of high values without objects under four pixels."""
+    return raster.drop_small_pixels(_roads(spark, sf_dir), 4)
+
+
 @query()
 def ras_mask_to_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stitched and closed canvas as a road network: thinned, traced over all patches, simplified, placed."""
-    e = raster.mask_to_network(ras_close(spark, sf_dir), 34.279658, 108.917423, 0.0001)
+    """The stitched canvas of high values, closed, as a road network: small objects out, thinned, traced over all patches,
+    simplified, placed."""
+    c = _roads(spark, sf_dir)
+    h, w = c.agg(F.max("y") + 1, F.max("x") + 1).first()
+    e = raster.mask_to_network(raster.close3(c, h or 1, w or 1), 34.279658, 108.917423, 0.0001, least=4)
     return e.select("eid", "u", "v", F.size("coords").alias("n_points"), r("length", 3).alias("length"))
 
 
@@ -199,7 +220,7 @@ LAYERS = ("map", "trail", "building")
 
 
 @query(f"""WITH px AS (SELECT (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, embedding[k + 1] AS d FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)),
-c AS (SELECT y, x, max((d > 0)::INT) AS map, max((d > 0.5)::INT) AS trail, max(CASE WHEN d > 1 THEN 2 ELSE 0 END) AS building FROM px GROUP BY y, x),
+c AS (SELECT y, x, max((d > 0)::INT) AS map, max((d::DOUBLE > 0.1::DOUBLE)::INT) AS trail, max(CASE WHEN d::DOUBLE > 0.2::DOUBLE THEN 2 ELSE 0 END) AS building FROM px GROUP BY y, x),
 e AS (SELECT max(y) FILTER (map + trail + building > 0) + 1 AS h, max(x) FILTER (map + trail + building > 0) + 1 AS w FROM c),
 u AS (SELECT vec_id AS idx, CASE WHEN vec_id % 5 < 4 THEN 'train' ELSE 'val' END AS subset, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT AS a, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 9, 8))::BIGINT AS b FROM embeddings),
 k AS (SELECT idx, subset, (a % (w - 4))::INT AS wx, (CASE WHEN subset = 'val' THEN h // 2 ELSE 0 END + b % (CASE WHEN subset = 'train' THEN greatest(0, h // 2 - 5) + 1 ELSE h - 5 - h // 2 + 1 END))::INT AS wy FROM u, e),
@@ -211,7 +232,7 @@ def ras_random_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A patch data set: one random window of 4 by 4 pixels for each vector, three layers, written by subset and read again."""
     p = X.patches(spark, sf_dir).select("y", "x", F.posexplode("data").alias("k", "d"))
     at = [(F.col("y") + F.floor(F.col("k") / 8)).cast("int").alias("y"), (F.col("x") + F.col("k") % 8).cast("int").alias("x")]
-    value = {"map": (F.col("d") > 0).cast("int"), "trail": (F.col("d") > 0.5).cast("int"), "building": F.when(F.col("d") > 1, 2).otherwise(0)}
+    value = {"map": (F.col("d") > 0).cast("int"), "trail": (F.col("d") > 0.1).cast("int"), "building": F.when(F.col("d") > 0.2, 2).otherwise(0)}
     c = p.select(*at, F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), value[n].alias("v")) for n in LAYERS])).alias("s")).select("y", "x", "s.*")
     c = c.where("v <> 0").groupBy("layer", "y", "x").agg(F.max("v").alias("v"))
     h, w = c.agg(F.max("y") + 1, F.max("x") + 1).first()
