@@ -48,10 +48,13 @@ def ras_binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.patches(spark, sf_dir).select("vec_id", F.array_join(raster.binarise(F.col("data"), 0.1, 255), ",").alias("bits"))
 
 
-@query(f"""WITH {CANVAS}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM canvas), o AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
+CLOSED = CANVAS + """, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM canvas), o AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
 wide AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM canvas, o, s WHERE y + dy >= 0 AND y + dy < h AND x + dx >= 0 AND x + dx < w),
-v AS (SELECT y + dy AS y, x + dx AS x, count(*) AS n FROM wide, o GROUP BY 1, 2)
-SELECT y::INT AS y, x::INT AS x FROM v, s WHERE y >= 0 AND x >= 0 AND y < h AND x < w AND n = (CASE WHEN y = 0 OR y = h - 1 THEN 2 ELSE 3 END) * (CASE WHEN x = 0 OR x = w - 1 THEN 2 ELSE 3 END)""")
+v AS (SELECT y + dy AS y, x + dx AS x, count(*) AS n FROM wide, o GROUP BY 1, 2),
+closed AS (SELECT y::INT AS y, x::INT AS x FROM v, s WHERE y >= 0 AND x >= 0 AND y < h AND x < w AND n = (CASE WHEN y = 0 OR y = h - 1 THEN 2 ELSE 3 END) * (CASE WHEN x = 0 OR x = w - 1 THEN 2 ELSE 3 END))"""
+
+
+@query(f"WITH {CLOSED} SELECT y, x FROM closed")
 def ras_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _canvas(spark, sf_dir)
     h, w = c.agg(F.max("y") + 1, F.max("x") + 1).first()
@@ -89,7 +92,12 @@ def ras_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.resample(c, regions, h or 1, w or 1, 20)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLOSED}, told AS (SELECT * FROM (VALUES (0, 0, 256), (1, 0, 1), (1, -1, 2), (0, -1, 4), (-1, -1, 8), (-1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128)) r(ry, rx, bit)),
+t AS (SELECT 0 AS k, y, x FROM closed UNION ALL
+ SELECT k + 1, y, x FROM (SELECT k, y, x, m - 256 AS m, ((m - 256) >> 1) | ((m & 1) << 7) AS next FROM (SELECT k, (y + ry)::INT AS y, (x + rx)::INT AS x, sum(bit)::BIGINT AS m FROM t, told GROUP BY ALL) WHERE m >= 256), s
+ WHERE k < 2 * (h + w) AND NOT (bit_count(m) BETWEEN 2 AND 6 AND bit_count(next & (255 - m)) = 1
+  AND CASE WHEN k % 2 = 0 THEN (m & 21) <> 21 AND (m & 84) <> 84 ELSE (m & 69) <> 69 AND (m & 81) <> 81 END))
+SELECT y, x FROM t WHERE k = (SELECT max(k) FROM t)""")
 def ras_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stitched and closed canvas thinned as a whole."""
     return raster.thin_pixels(ras_close(spark, sf_dir))
