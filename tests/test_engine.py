@@ -175,6 +175,14 @@ def test_compress_chains(spark):
     assert out == {(1, 2, 3, 4), (4, 5), (4, 6), (1, 7), (1, 8), (10, 11), (11, 12), (10, 12)}
 
 
+def test_compress_splits_second_chains_and_keeps_loops(spark):
+    # Junctions 1 and 2: a direct edge, chains over 3 and over 4, 5, 6, and a loop 7, 8 at 2; 9 to 10 stands alone.
+    pairs = [(1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (5, 6), (2, 6), (2, 7), (7, 8), (2, 8), (9, 10)]
+    rows = {tuple(r.nodes): r.length for r in network.compress(_edges(spark, pairs)).collect()}
+    assert rows == {(1, 2): 1.0, (1, 3): 2.0, (3, 2): 3.0, (1, 4, 5): 9.0, (5, 6, 2): 13.0, (2, 7, 8, 2): 27.0, (9, 10): 11.0}
+    assert network.compress(_edges(spark, pairs).limit(0)).count() == 0
+
+
 def test_distances_match_floyd_warshall(spark):
     rng = np.random.default_rng(1)
     pairs = [tuple(sorted(p)) for p in {tuple(sorted(x)) for x in rng.integers(0, 12, (18, 2)).tolist()} if p[0] != p[1]]

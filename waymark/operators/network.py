@@ -1,7 +1,7 @@
 """Operators on road networks as tables: edges (region, eid, u, v, coords, length), nodes (region, node, lat, lng).
 
-Every operator keeps regions apart and partitions by region or by node; what follows chains or shortest paths runs as a
-kernel over one region's edges, of which a region has boundedly many (a map tile).
+Every operator keeps regions apart and partitions by region or by node. Chains are followed by joins that double their reach;
+shortest paths run as a kernel over one region's edges, of which a region has boundedly many (a map tile).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.tables import stored
 
 
 def undirected(u: Column, v: Column) -> tuple[Column, Column]:
@@ -105,49 +106,59 @@ def graph_json(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return p.join(e, "region", "left").select("region", F.concat(F.lit("["), F.to_json("p"), F.lit(","), F.coalesce(F.to_json("e"), F.lit("[]")), F.lit("]")).alias("json"))
 
 
+def walked_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """steps (a, b, c: from a to b, then c, null at an end) to the last step (ja, jb) of the line and the number of steps to it,
+    by doubling; and the steps of rings, which have no end, with the least pixel of their ring."""
+    ends = F.col("c").isNull()
+    state = steps.select("a", "b", F.when(ends, F.col("a")).otherwise(F.col("b")).alias("ja"), F.when(ends, F.col("b")).otherwise(F.col("c")).alias("jb"), F.when(ends, 0).otherwise(1).cast("long").alias("far"), ends.alias("done"), F.col("a").alias("low"))
+    state, reach, before = stored(state, "walk"), 1, -1
+    while True:
+        left = state.where("not done").count()
+        if left == 0 or (left == before and reach >= left):
+            return state.where("done").select("a", "b", "ja", "jb", "far"), state.where("not done").select("a", "b", "low")
+        before, reach = left, reach * 2
+        then = state.select(F.col("a").alias("ja"), F.col("b").alias("jb"), F.col("ja").alias("ka"), F.col("jb").alias("kb"), F.col("far").alias("more"), F.col("done").alias("over"), F.col("low").alias("deep"))
+        moved = state.where("not done").join(then, ["ja", "jb"]).select("a", "b", F.col("ka").alias("ja"), F.col("kb").alias("jb"), (F.col("far") + F.col("more")).alias("far"), F.col("over").alias("done"), F.least("low", "deep").alias("low"))
+        state = stored(state.where("done").unionByName(moved), "walk")
+
+
 def compress(edges: DataFrame) -> DataFrame:
-    """Chains of nodes of degree 2 between junctions (degree 3 or more) become one edge: region, chain, u, v, nodes, length.
+    """Chains of nodes of degree 2 between junctions (degree 3 or more) become one edge: region, u, v, nodes, length.
 
     A second edge between the same junctions is split at its middle node; a chain back to its own start is a loop edge;
-    chains that start or end at a dead end keep it as their end; rings without a junction stay as they are.
+    chains that start or end at a dead end keep it as their end; edges of parts without a junction stay as they are. All chains
+    are followed at once by doubling, so no region has to fit into a task. Of repeated edges the longest counts.
     """
-    out = "region long, u long, v long, nodes array<long>, length double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, float]] = {}
-        for u, v, d in sorted(zip(pdf.u, pdf.v, pdf.length, strict=True)):
-            if u != v:
-                near.setdefault(u, {})[v] = d
-                near.setdefault(v, {})[u] = d
-        used, taken, rows = set(), set(), []
-
-        def add(chain):
-            rows.append((int(pdf.region.iloc[0]), int(chain[0]), int(chain[-1]), [int(x) for x in chain], float(sum(near[a][b] for a, b in zip(chain, chain[1:])))))
-            taken.add(frozenset((chain[0], chain[-1])))
-
-        for start in sorted(n for n in near if len(near[n]) >= 3):
-            for first in sorted(near[start]):
-                if (start, first) in used:
-                    continue
-                chain = [start, first]
-                while len(near[chain[-1]]) == 2 and chain[-1] != start:
-                    a, b = near[chain[-1]]
-                    chain.append(a if b == chain[-2] else b)
-                used.update(zip(chain, chain[1:]))
-                used.update(zip(chain[1:], chain))
-                if frozenset((chain[0], chain[-1])) in taken and len(chain) > 2:
-                    mid = len(chain) // 2
-                    add(chain[: mid + 1])
-                    add(chain[mid:])
-                else:
-                    add(chain)
-        for u in sorted(near):
-            for v in sorted(near[u]):
-                if u < v and (u, v) not in used:
-                    add([u, v])
-        return pd.DataFrame(rows, columns=["region", "u", "v", "nodes", "length"])
-
-    return edges.select("region", "u", "v", "length").groupBy("region").applyInPandas(run, out)
+    node = lambda c: F.struct("region", F.col(c).alias("node"))
+    sides = edges.where("u <> v").select("region", "u", "v", "length")
+    both = sides.unionByName(sides.select("region", F.col("v").alias("u"), F.col("u").alias("v"), "length"))
+    both = stored(both.select(node("u").alias("a"), node("v").alias("b"), "length").groupBy("a", "b").agg(F.max("length").alias("length")), "sides")
+    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "degrees")
+    inner = degree.where("n = 2").select(F.col("a").alias("b"), "lo", "hi")
+    walked, rings = walked_steps(both.join(inner, "b", "left").select("a", "b", F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")).alias("c")))
+
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("k"), F.col("a.node").alias("node"), "length")))
+    lines = walked.join(both, ["a", "b"]).groupBy("ja", "jb").agg(steps.alias("s"))
+    lines = lines.select(F.col("jb.region").alias("region"), F.concat(F.transform("s", lambda s: s["node"]), F.array("jb.node")).alias("nodes"), F.transform("s", lambda s: s["length"]).alias("parts"))
+    at = {"u": 1, "second": 2, "before": -2, "v": -1}
+    lines = lines.withColumns({k: F.element_at("nodes", i) for k, i in at.items()})
+    junction = degree.select(F.col("a.region").alias("region"), F.col("a.node").alias("node"), (F.col("n") > 2).alias("junction"))
+    for end in ("u", "v"):
+        lines = lines.join(junction.withColumnsRenamed({"node": end, "junction": f"{end}_junction"}), ["region", end])
+    lines = stored(lines, "lines")
+
+    # Each chain is told once: from its junction, of two from the lesser one, a loop by the lesser neighbour.
+    chains = lines.where("u_junction and (not v_junction or struct(u, second) <= struct(v, before))")
+    again = F.row_number().over(Window.partitionBy("region", F.least("u", "v"), F.greatest("u", "v")).orderBy("u", "second")) > 1
+    size = F.size("nodes")
+    mid = F.floor(size / 2).cast("int")
+    piece = lambda start, n: F.struct(F.slice("nodes", start, n + 1).alias("nodes"), F.slice("parts", start, n).alias("parts"))
+    pieces = F.when(again & (size > 2), F.array(piece(F.lit(1), mid), piece(mid + 1, size - 1 - mid))).otherwise(F.array(piece(F.lit(1), size - 1)))
+    pieces = chains.select("region", pieces.alias("p")).select("region", F.explode("p").alias("p")).select("region", "p.nodes", F.aggregate("p.parts", F.lit(0.0), lambda t, d: t + d).alias("length"))
+
+    alone = lines.where("not u_junction and not v_junction").select("region", F.posexplode("parts").alias("k", "length"), "nodes").select("region", F.slice("nodes", F.col("k") + 1, 2).alias("nodes"), "length")
+    alone = alone.unionByName(rings.join(both, ["a", "b"]).select("a.region", F.array("a.node", "b.node").alias("nodes"), "length")).where("nodes[0] < nodes[1]")
+    return pieces.unionByName(alone).select("region", F.element_at("nodes", 1).alias("u"), F.element_at("nodes", -1).alias("v"), "nodes", "length")
 
 
 def shortest(near: dict, source, limit: float = float("inf")) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.tables import stored
+from .network import walked_steps
 from .numbering import numbered
 
 NEAR4 = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -355,22 +356,6 @@ def fill_polygons(polygons: DataFrame, height: int, width: int) -> DataFrame:
     return rows.select(*[c for c in polygons.columns if c != "ring"], "y", x.alias("x"))
 
 
-def _walked(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """steps (a, b, c: from a to b, then c, null at an end) to the last step (ja, jb) of the line and the number of steps to it,
-    by doubling; and the steps of rings, which have no end, with the least pixel of their ring."""
-    ends = F.col("c").isNull()
-    state = steps.select("a", "b", F.when(ends, F.col("a")).otherwise(F.col("b")).alias("ja"), F.when(ends, F.col("b")).otherwise(F.col("c")).alias("jb"), F.when(ends, 0).otherwise(1).cast("long").alias("far"), ends.alias("done"), F.col("a").alias("low"))
-    state, reach, before = stored(state, "walk"), 1, -1
-    while True:
-        left = state.where("not done").count()
-        if left == 0 or (left == before and reach >= left):
-            return state.where("done").select("a", "b", "ja", "jb", "far"), state.where("not done").select("a", "b", "low")
-        before, reach = left, reach * 2
-        then = state.select(F.col("a").alias("ja"), F.col("b").alias("jb"), F.col("ja").alias("ka"), F.col("jb").alias("kb"), F.col("far").alias("more"), F.col("done").alias("over"), F.col("low").alias("deep"))
-        moved = state.where("not done").join(then, ["ja", "jb"]).select("a", "b", F.col("ka").alias("ja"), F.col("kb").alias("jb"), (F.col("far") + F.col("more")).alias("far"), F.col("over").alias("done"), F.least("low", "deep").alias("low"))
-        state = stored(state.where("done").unionByName(moved), "walk")
-
-
 def trace_pixels(graph: DataFrame) -> DataFrame:
     """Pixel graph of a whole canvas (y, x, ny, nx, both ways) to lines (first, second, points: array of struct(y, x)).
 
@@ -381,11 +366,11 @@ def trace_pixels(graph: DataFrame) -> DataFrame:
     e = stored(graph.select(key("y", "x").alias("a"), key("ny", "nx").alias("b")).distinct(), "pixel-steps")
     inner = e.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("n = 2").drop("n")
     steps = e.join(inner, "b", "left").select("a", "b", F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")).alias("c"))
-    walked, rings = _walked(steps)
+    walked, rings = walked_steps(steps)
     rings = stored(rings, "rings")
     if not rings.isEmpty():
         again = rings.join(inner, "b").select("a", "b", F.when(F.col("b") != F.col("low"), F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo"))).alias("c"))
-        walked = walked.unionByName(_walked(again)[0])
+        walked = walked.unionByName(walked_steps(again)[0])
     lines = walked.groupBy("ja", "jb").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("k"), "a"))), lambda s: s["a"]).alias("p"))
     lines = lines.withColumn("p", F.concat("p", F.array("jb")))
     first, second = F.element_at("p", 1), F.element_at("p", 2)

@@ -178,9 +178,19 @@ def net_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.graph_json(e, X.trail_nodes(e)).select("region", F.regexp_extract("json", r",(\[(\[\d+,\d+\],?)*\])\]$", 1).alias("edges"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRAILS}, ln AS (SELECT region, u, v, {S.hav('y1', 'x1', 'y2', 'x2')} AS d FROM te), lb AS (SELECT * FROM ln UNION ALL SELECT region, v, u, d FROM ln),
+dg AS (SELECT region, node, count(*) AS n, min(other) AS lo, max(other) AS hi FROM tb GROUP BY region, node),
+w AS (SELECT t.region, t.node AS start, t.other AS first, t.node AS a, t.other AS b, [t.node, t.other] AS nodes FROM tb t JOIN dg USING (region, node) WHERE n > 2 UNION ALL
+ SELECT w.region, w.start, w.first, w.b, CASE WHEN lo = w.a THEN hi ELSE lo END, list_append(nodes, CASE WHEN lo = w.a THEN hi ELSE lo END) FROM w JOIN dg ON dg.region = w.region AND dg.node = w.b WHERE n = 2),
+ch AS (SELECT w.*, row_number() OVER (PARTITION BY w.region, least(start, b), greatest(start, b) ORDER BY start, first) AS k, len(nodes) // 2 AS m FROM w JOIN dg ON dg.region = w.region AND dg.node = w.b
+ WHERE n = 1 OR (n > 2 AND (start < b OR (start = b AND first <= a)))),
+pc AS (SELECT region, unnest(CASE WHEN k > 1 AND len(nodes) > 2 THEN [nodes[:m + 1], nodes[m + 1:]] ELSE [nodes] END) AS nodes FROM ch),
+st AS (SELECT region, nodes, unnest(nodes[:-2]) AS u, unnest(nodes[2:]) AS v FROM pc),
+sm AS (SELECT region, nodes, sum(d) AS length FROM st JOIN lb USING (region, u, v) GROUP BY region, nodes)
+SELECT region, nodes[1] AS u, nodes[-1] AS v, array_to_string(nodes, ',') AS nodes, round(length, 4) AS length FROM sm
+UNION ALL SELECT region, u, v, u || ',' || v, round(d, 4) FROM ln WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.region = ln.region AND least(st.u, st.v) = ln.u AND greatest(st.u, st.v) = ln.v)""")
 def net_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.compress(X.trail_edges(spark, sf_dir))
+    return N.compress(X.trail_edges(spark, sf_dir)).select("region", "u", "v", F.array_join("nodes", ",").alias("nodes"), r("length", 4).alias("length"))
 
 
 @query(f"""WITH RECURSIVE {TRAILS}, we AS (SELECT region, u, v, trunc({S.hav('y1', 'x1', 'y2', 'x2')} * 100)::BIGINT AS cm FROM te), wb AS (SELECT region, u AS a, v AS b, cm FROM we UNION ALL SELECT region, v, u, cm FROM we),
