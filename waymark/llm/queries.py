@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc
+from . import decontamination, exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc
 from .common import read_table
 
 
@@ -115,6 +115,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, len(p) AS m, array_to_string(p, ' ') AS key FROM (
+  SELECT item_id, ws[k:k + least(10, len(ws)) - 1] AS p FROM (SELECT *, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS k FROM b WHERE len(ws) > 0))),
+l AS (SELECT DISTINCT m FROM i),
+w AS (SELECT r, k, m, array_to_string(ws[k:k + m - 1], ' ') AS key FROM (SELECT *, unnest(generate_series(1, len(ws) - m + 1)) AS k FROM d, l WHERE len(ws) >= m)),
+o AS (SELECT r, k, m, item_id FROM w JOIN i USING (m, key)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + m - 1)) AS p FROM (SELECT DISTINCT r, k, m FROM o)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
@@ -126,5 +151,6 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_decontamination": op11_decontamination,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
