@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc
+from . import decontamination, exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc, whitening
 from .common import read_table
 
 
@@ -140,6 +140,10 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
@@ -152,5 +156,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_decontamination": op11_decontamination,
+    "op13_whitening": op13_whitening,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
