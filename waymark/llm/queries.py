@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc, whitening
+from . import decontamination, exact_dedup, hard_negatives, language_id, line_dedup, media, mixing, near_dedup, packing, substring_dedup, token_counts, warc, whitening
 from .common import read_table
 
 
@@ -140,6 +140,26 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").where(hard_negatives.takes_part("label", "embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantised("embedding").alias("q"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, "vec_id")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id, s.r)::INT AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -156,6 +176,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_decontamination": op11_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op6_warc": OP6_SQL, "op7_dedup_lines": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_decontamination": OP11_SQL, "op12_hard_negatives": OP12_SQL}
