@@ -34,7 +34,7 @@ def mined(spark, rows, **how):
     return sorted((tuple(r) for r in hn.mine(df, F.col("vec_id") % 10 == 0, "vec_id", **how).collect()), key=str)
 
 
-@pytest.mark.parametrize("tile_rows,leaf_rows,block_rows", [(8192, 64, 4096), (40, 4, 5)])
+@pytest.mark.parametrize("tile_rows,leaf_rows,block_rows", [(8192, 64, 4096), (40, 3, 5)])
 def test_against_all_pairs(spark, tile_rows, leaf_rows, block_rows):
     r = random.Random(tile_rows)
     centres = [[r.randint(-40, 60) for _ in range(6)] for _ in range(5)]

@@ -111,13 +111,11 @@ class Anchor:
         self.scores: dict[int, np.ndarray] = {}
 
     def _scored(self, leaves: list[int]) -> None:
-        new = [x for x in leaves if x not in self.scores]
-        size = self.tree.leaf_rows
-        at = [slice(x * size, (x + 1) * size) for x in new]
+        new, size = [x for x in leaves if x not in self.scores], self.tree.leaf_rows
         if new:
-            all_scores = products(self.vector[None], np.concatenate([self.tree.vectors[s] for s in at]))[0]
-            for k, x in enumerate(new):
-                self.scores[x] = all_scores[k * size : (k + 1) * size]
+            parts = [self.tree.vectors[x * size : (x + 1) * size] for x in new]
+            scores = products(self.vector[None], np.concatenate(parts))[0]
+            self.scores.update(zip(new, np.split(scores, np.cumsum([len(p) for p in parts])[:-1])))
 
     def search(self, low: int, high: int, k: int, floor: tuple[int, int] | None) -> list[tuple[int, int, int]]:
         """The first k rows (score, row, id) with low <= score <= high, none of them after floor, a (score, id)."""
