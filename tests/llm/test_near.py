@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from waymark.llm import near_dedup, queries, shingles, substring_dedup
 
@@ -249,6 +250,20 @@ def test_a_text_that_failed_once_is_compared_with_others(spark):
     assert set(got) == set(want) == {2} and len(want[2]) == 110 and want[2] <= got[2]
 
 
+@pytest.mark.parametrize("n,common", [(54, 30), (54, 44), (54, 48), (60, 49), (80, 60)])
+def test_exact_repeats_around_a_common_part(spark, n, common):
+    """Pairs of texts that share a passage word for word, of which all pairs have the middle."""
+    middle, docs = words(common, 4000 + n + common), []
+    for k in range(40):
+        edge = words(n - common, 5000 + k)
+        half = (n - common) // 2
+        docs += [(2 * k + i, " ".join(words(40, 6000 + 2 * k + i) + edge[:half] + middle + edge[half:] + words(40, 8000 + 2 * k + i))) for i in range(2)]
+    got, want = _spans(spark, docs), _repeats(docs)
+    assert sum(len(v) >= n for v in want.values()) == 40
+    # Where the middle is a repeat by itself, it settles the places in it, and the edges beside it may go unreported.
+    assert all(len(want[k] - got[k]) <= (0 if common < 50 else n - common) for k in want)
+
+
 def test_hot_signatures_are_dealt_over_parts(spark, monkeypatch):
     from waymark.llm import common
 

@@ -16,6 +16,9 @@ similarity s agree in an order with chance s.
    by fresh orders over the stretches around them (search within the group by min-hashes again), so that those which met by
    chance, say by a frequent line in different surroundings, part, and like ones meet others as first places. No group is
    emitted as pairs and no group is cut: each place is compared with one other per signature in each round.
+4. Places that are open still go by the exact runs of LEAST tokens around them, among the places of their last groups, and are
+   compared with the first place of the same run. So an exact repetition of WORDS words or more is always found, however much
+   of it other texts have too; an edited one beside a common part may stay open after that.
 
 Defined results: letter case and the amount of white space are ignored. Null and empty texts, and texts under 50 words, have no
 passages of their own. Texts with the same words are one: all but the one with the smallest identifier (nulls last; of rows
@@ -377,6 +380,36 @@ def _signed_anew(left: DataFrame, tokens: DataFrame, level: int) -> DataFrame:
     return near.mapInArrow(run, left.schema).dropDuplicates(["key", "doc", "centre"])
 
 
+def _exact_runs(left: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The same places under exact keys: a hash of each run of LEAST tokens that contains a centre, with the run as region."""
+    lo, hi = F.greatest("low", F.col("centre") - (LEAST - 1)), F.least("high", F.col("centre") + (LEAST - 1))
+    near = left.groupBy("id", "doc", lo.alias("from"), hi.alias("upto")).agg(F.max("open").alias("open"))
+    near = near.join(tokens, "doc").select("id", "doc", "from", "open", _cut("from", "upto").alias("tokens"))
+    names = left.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                column = part.column(4)
+                count = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                flat = sh.mix(np.frombuffer(b"".join(column.to_pylist()), np.uint32).astype(np.uint64))
+                powers = np.full(len(flat) + 1, SALT[0], np.uint64).cumprod()
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * powers[:-1])])
+                runs = np.maximum(count - LEAST + 1, 0)
+                text = np.repeat(np.arange(len(count)), runs)
+                nth = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+                start = np.repeat(np.cumsum(count) - count, runs) + nth
+                # Shifted to one power, equal runs have equal sums wherever they stand.
+                key = sh.mix((sums[start + LEAST] - sums[start]) * powers[len(flat) - start]).view(np.int64)
+                low = np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(np.int32), runs) + nth.astype(np.int32)
+                own = [part.column(k).take(pa.array(text)) for k in (0, 1, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), own[0], own[1], *[pa.array((low + x).astype(np.int32)) for x in (LEAST // 2, 0, LEAST - 1)], own[2]], names=names)
+
+    out = near.mapInArrow(run, left.schema)
+    return out.groupBy(*[c for c in names if c != "open"]).agg(F.max("open").alias("open")).select(*names)
+
+
 def _stretches(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Verified stretches (doc, first, start, end, first_start, first_end in words, similarity) of the texts (rows), of which
     names (doc, id, t) holds the first row of each."""
@@ -394,7 +427,7 @@ def _stretches(rows: DataFrame, names: DataFrame) -> DataFrame:
     tokens = materialize(_tokens(rows, spans).groupBy("doc").agg(F.first("start").alias("start"), F.first("tokens").alias("tokens")), "tokens")
 
     done = []
-    for level in range(LEVELS + 1):
+    for level in range(LEVELS + 2):  # the last one by exact runs
         place, n = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "centre", "low", "high"), at.count()
         firsts = at.groupBy("key").agg(F.min(place).alias("f"), F.min("doc").alias("a"), F.max("doc").alias("z"), F.max("open").alias("any"), F.count(F.lit(1)).alias("n"))
         of = {"first": "doc", "first_centre": "centre", "first_low": "low", "first_high": "high"}
@@ -405,13 +438,13 @@ def _stretches(rows: DataFrame, names: DataFrame) -> DataFrame:
         inside = F.exists("spans", lambda v: (v["start"] <= F.col("centre")) & (F.col("centre") + sh.SHINGLE <= v["end"]))
         lost = checked.where("key is not null").select("key", "doc", F.col("start").cast("int").alias("centre"))
         lost = materialize(lost.join(covered, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select("key", "doc", "centre").distinct(), "open")
-        if level == LEVELS or lost.isEmpty():
+        if level > LEVELS or lost.isEmpty():
             break
         active = firsts.join(lost.select("key").distinct(), "key", "left_semi")
         left = spread_join(at.drop("open"), active.drop("n", "first_low", "first_high"), "key", active, n).where("doc <> first or centre <> first_centre").drop("first", "first_centre")
         left = left.join(lost.withColumn("open", F.lit(True)), ["key", "doc", "centre"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         left = left.select(*at.columns)
-        at = materialize(_signed_anew(left, tokens, level + 1), "places")
+        at = materialize(_exact_runs(left, tokens) if level == LEVELS else _signed_anew(left, tokens, level + 1), "places")
     return functools.reduce(DataFrame.union, done)
 
 
