@@ -55,20 +55,20 @@ def n_words(column: str) -> Column:
 HOT_ROWS, HOT_KEYS, FEW_ROWS = 10_000, 50_000, 100_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame | None = None, rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """many joined with one, which has one row per key at most, where a key may hold any share of the rows of many.
 
     Rows of a hot key are dealt over parts by a hash of the whole row, and the row of one is copied to each part. The list of
     hot keys has HOT_KEYS rows at most, whatever the input's size, so it may be broadcast. counted: a table with the keys of
     many, one row each, and their number n, if it is at hand; else many is counted. rows: the number of rows of many, if it is
-    known: a table of FEW_ROWS or fewer fits a task whatever its keys are and is joined as it is.
+    known: a table of FEW_ROWS or fewer fits a task whatever its keys are and is joined as it is. hot_rows: in place of HOT_ROWS.
     """
     if rows is not None and rows <= FEW_ROWS:
         return many.join(one, key)
     salt, parts, n = fresh([*many.columns, *one.columns], "wm_salt", "wm_parts", "wm_n")
     per_key = counted.select(key, F.col("n").alias(n)) if counted is not None else many.groupBy(key).agg(F.count(F.lit(1)).alias(n))
     total, most = per_key.agg(F.sum(n), F.max(n)).first()
-    least = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
+    least = max(hot_rows or HOT_ROWS, -(-(total or 0) // HOT_KEYS))
     if (most or 0) <= least:
         return many.join(one, key)
     hot = materialize(per_key.where(F.col(n) > least).select(key, F.ceil(F.col(n) / least).cast("int").alias(parts)), "hot-keys")

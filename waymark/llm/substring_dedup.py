@@ -47,6 +47,8 @@ HASHES = 6
 #: Orders whose windows are joined; a signature is agreement in both.
 PAIRS = ((0, 1), (2, 3), (4, 5))
 SIMILARITY = 0.8
+#: Places beyond which those of a key are dealt over tasks.
+HOT_ROWS = 2000
 #: Times that open places are signed anew.
 LEVELS = 1
 SALT = np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -428,11 +430,11 @@ def _stretches(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     done = []
     for level in range(LEVELS + 2):  # the last one by exact runs
-        place, n = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "centre", "low", "high"), at.count()
+        place = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "centre", "low", "high")
         firsts = at.groupBy("key").agg(F.min(place).alias("f"), F.min("doc").alias("a"), F.max("doc").alias("z"), F.max("open").alias("any"), F.count(F.lit(1)).alias("n"))
         of = {"first": "doc", "first_centre": "centre", "first_low": "low", "first_high": "high"}
         firsts = materialize(firsts.where("a <> z and any").select("key", "n", *[F.col(f"f.{v}").alias(k) for k, v in of.items()]), "firsts")
-        checked = _checked(spread_join(at.where("open"), firsts.drop("n"), "key", firsts, n).where("doc <> first"), tokens)
+        checked = _checked(spread_join(at.where("open"), firsts.drop("n"), "key", firsts, hot_rows=HOT_ROWS).where("doc <> first"), tokens)
         done.append(checked.where("key is null").drop("key"))
         covered = functools.reduce(DataFrame.union, done).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
         inside = F.exists("spans", lambda v: (v["start"] <= F.col("centre")) & (F.col("centre") + sh.SHINGLE <= v["end"]))
@@ -441,7 +443,7 @@ def _stretches(rows: DataFrame, names: DataFrame) -> DataFrame:
         if level > LEVELS or lost.isEmpty():
             break
         active = firsts.join(lost.select("key").distinct(), "key", "left_semi")
-        left = spread_join(at.drop("open"), active.drop("n", "first_low", "first_high"), "key", active, n).where("doc <> first or centre <> first_centre").drop("first", "first_centre")
+        left = spread_join(at.drop("open"), active.drop("n", "first_low", "first_high"), "key", active, hot_rows=HOT_ROWS).where("doc <> first or centre <> first_centre").drop("first", "first_centre")
         left = left.join(lost.withColumn("open", F.lit(True)), ["key", "doc", "centre"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         left = left.select(*at.columns)
         at = materialize(_exact_runs(left, tokens) if level == LEVELS else _signed_anew(left, tokens, level + 1), "places")
