@@ -470,8 +470,11 @@ def test_engine_stands_without_the_llm_folders(tmp_path):
     for name in ("__spark_entry__.py", "corpus_pipeline.py"):
         if (root / name).exists():
             shutil.copy(root / name, tmp_path / name)
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(tmp_path), *[p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != str(root)]])}
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(s) <= set(q) and 'pipeline' not in q; import tests.test_engine"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+    some = "idx_cells or tim_slots or geo_distances"
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_engine.py", "-k", some], cwd=tmp_path, env=env, check=True, timeout=300)
 
 
 def test_entry(spark):

@@ -1,14 +1,20 @@
-"""Map matching: candidates and their probabilities as joins, then a hidden Markov model per trajectory over its own part of the network."""
+"""Map matching: candidates, their probabilities and the routes between them as joins, then a hidden Markov model in chunks.
+
+`Routes` and `viterbi` answer for one trajectory in one process what `match` does with tables; the tests compare both.
+"""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import spatial
+from ..functions import geo
+from ..sources.tables import stored
+from . import routing, spatial
+from . import viterbi as viterbi_chunks
 from .network import shortest
 
 SIGMA, BETA = 50.0, 2.0
@@ -23,13 +29,6 @@ def transition(route: Column, straight: Column, beta: float = BETA) -> Column:
     return F.lit(math.log(1.0 / beta)) - F.abs(straight - route) / beta
 
 
-def local_edges(matched: DataFrame, edges: DataFrame, margin_m: float) -> DataFrame:
-    """oid with the edges that meet the box of its candidates, widened: each trajectory's own part of the network."""
-    box = matched.groupBy("oid").agg(F.min("lat").alias("b0"), F.min("lng").alias("b1"), F.max("lat").alias("b2"), F.max("lng").alias("b3"))
-    wide = box.select("oid", *[(F.col(c) + s * margin_m * m).alias(c) for c, s, m in (("b0", -1, spatial.LAT_PER_M), ("b1", -1, spatial.LNG_PER_M), ("b2", 1, spatial.LAT_PER_M), ("b3", 1, spatial.LNG_PER_M))])
-    return spatial.box_join(wide, spatial.with_box(edges.select("eid", "u", "v", "coords", "length")), levels=6).select("oid", "eid", "u", "v", "length")
-
-
 class Routes:
     """Shortest routes between candidates (u, v, length, eid, offset). On a directed network edges run from u to v, offsets from
     u; on one edge only a growing offset is a way."""
@@ -107,93 +106,95 @@ def viterbi(steps: list[list[dict]], straight: list[float], routes: Routes, sigm
     return out
 
 
-def _steps(points: pd.DataFrame, cands: pd.DataFrame) -> tuple[pd.DataFrame, list[list[dict]]]:
-    points = points.sort_values(["time", "seq"], kind="stable").reset_index(drop=True)
-    by = {s: g.sort_values("eid").to_dict("records") for s, g in cands.groupby("seq")}
-    return points, [by.get(s, []) for s in points.seq]
+def network_nodes(edges: DataFrame) -> DataFrame:
+    """node, lat, lng from the ends of the edges' coords."""
+    end = lambda n, at: edges.select(F.col(n).alias("node"), F.element_at("coords", at).alias("p"))
+    ends = end("u", 1).unionByName(end("v", -1))
+    return ends.groupBy("node").agg(F.min("p").alias("p")).select("node", "p.lat", "p.lng")
 
 
-def _straight(p: pd.DataFrame) -> list[float]:
-    lat, lng = p.lat.map(math.radians).tolist(), p.lng.map(math.radians).tolist()
-    out = [0.0]
-    for i in range(1, len(p)):
-        a = math.sin((lat[i] - lat[i - 1]) / 2) ** 2 + math.cos(lat[i - 1]) * math.cos(lat[i]) * math.sin((lng[i] - lng[i - 1]) / 2) ** 2
-        out.append(2 * 6371008.7714 * math.atan2(math.sqrt(a), math.sqrt(1 - a)))
-    return out
+CANDIDATE = ("eid", "u", "v", "length", "error", "offset", "proj_lat", "proj_lng")
 
 
-def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, margin_m: float = 600.0, directed: bool = False) -> DataFrame:
-    """points with eid, error, offset, proj_lat, proj_lng: null where nothing matches. One row per point. On a directed network a
-    point that does not move on along its edge starts anew."""
-    found = spatial.candidates(points.select("oid", "seq", "time", "lat", "lng"), edges, search_m)
-    around = local_edges(found, edges, margin_m)
-    kind = {"oid": "long", "seq": "long", "time": "timestamp", "lat": "double", "lng": "double", "eid": "long", "u": "long", "v": "long", "length": "double", "error": "double", "offset": "double", "proj_lat": "double", "proj_lng": "double"}
-    tagged = lambda df, tag: df.select(F.lit(tag).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kind.items()])
-    rows = tagged(points, "point").unionByName(tagged(found, "candidate")).unionByName(tagged(around, "edge"))
+def _ways(p: Column, q: Column, directed: bool) -> Column:
+    """The ends between which a route from candidate p to candidate q on another edge may run: k, a, b, metres before and after."""
+    way = lambda k, a, da, b, db: F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"), da.alias("da"), db.alias("db"))
+    ahead, start = [(p["v"], p["length"] - p["offset"])], [(q["u"], q["offset"])]
+    if not directed:
+        ahead, start = [(p["u"], p["offset"]), *ahead], [*start, (q["v"], q["length"] - q["offset"])]
+    return F.array(*[way(k, a, da, b, db) for k, ((a, da), (b, db)) in enumerate((x, y) for x in ahead for y in start)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, steps = _steps(pdf[pdf.kind == "point"], pdf[pdf.kind == "candidate"])
-        picked = viterbi(steps, _straight(points), Routes(pdf[pdf.kind == "edge"], directed))
-        for c in ("eid", "u", "v", "length", "error", "offset", "proj_lat", "proj_lng"):
-            points[c] = [p[c] if p else None for p in picked]
-        return points[list(kind)].astype({"eid": "Int64", "u": "Int64", "v": "Int64"})
 
-    return rows.groupBy("oid").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kind.items()))
+def _chained(found: DataFrame, points: DataFrame) -> DataFrame:
+    """Each object's points in order of time: t from 0, cands (by edge), before (those of the point before), straight metres from it."""
+    cands = found.groupBy("oid", "seq").agg(F.array_sort(F.collect_list(F.struct(*CANDIDATE))).alias("cands"))
+    none = F.array().cast(cands.schema["cands"].dataType)
+    w = Window.partitionBy("oid").orderBy("time", "seq")
+    out = points.select("oid", "seq", "time", "lat", "lng").join(cands, ["oid", "seq"], "left").withColumn("cands", F.coalesce("cands", none))
+    lat, lng = F.lag("lat").over(w), F.lag("lng").over(w)
+    out = out.withColumns({"t": (F.row_number().over(w) - 1).cast("long"), "before": F.coalesce(F.lag("cands").over(w), none), "straight": geo.haversine_m(lat, lng, F.col("lat"), F.col("lng"))})
+    return out
 
 
-def to_paths(matched: DataFrame, edges: DataFrame, margin_m: float = 600.0, directed: bool = False) -> DataFrame:
+def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, directed: bool = False, chunk: int = viterbi_chunks.CHUNK, bounds: tuple[float, ...] = routing.BOUNDS) -> DataFrame:
+    """points with eid, u, v, length, error, offset, proj_lat, proj_lng: null where nothing matches. One row per point.
+
+    On a directed network a point that does not move on along its edge starts anew. Routes between the candidates of neighbouring
+    points may go anywhere in the network, and an object's points are matched in chunks, so neither has to fit a task.
+    """
+    found = spatial.candidates(points.select("oid", "seq", "time", "lat", "lng"), edges, search_m)
+    steps = stored(_chained(found, points), "chains")
+    pairs = steps.select("oid", "t", "straight", F.posexplode("before").alias("i", "p"), "cands").select("oid", "t", "straight", "i", "p", F.posexplode("cands").alias("j", "q"))
+    on = F.col("q.offset") - F.col("p.offset")
+    same = F.when(on > 0, on) if directed else F.abs(on)
+    pairs = stored(pairs.withColumn("same", F.when(F.col("p.eid") == F.col("q.eid"), same)).withColumn("ways", F.when(F.col("p.eid") != F.col("q.eid"), _ways(F.col("p"), F.col("q"), directed))), "moves")
+    ways = pairs.select("oid", "t", "i", "j", F.explode("ways").alias("w")).select("oid", "t", "i", "j", "w.*")
+    routes = routing.distances(ways, edges, network_nodes(edges), directed, bounds=bounds)
+    best = ways.join(routes, ["a", "b"]).groupBy("oid", "t", "i", "j").agg(F.min(F.col("da") + F.col("dist") + F.col("db")).alias("route"))
+    moves = pairs.select("oid", "t", "i", "j", "straight", "same").join(best, ["oid", "t", "i", "j"], "left")
+    score = viterbi_chunks.scaled(transition(F.coalesce("same", "route"), F.col("straight")))
+    moves = moves.groupBy("oid", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", score.alias("score")))), lambda m: m["score"]).alias("move"))
+    emitted = F.transform("cands", lambda c: viterbi_chunks.scaled(emission(c["error"])))
+    chains = steps.select("oid", "t", F.size("before").alias("n_before"), emitted.alias("emission")).join(moves, ["oid", "t"], "left")
+    states = viterbi_chunks.most_likely(chains.withColumn("move", F.coalesce("move", F.array().cast("array<long>"))), chunk)
+    out = steps.join(states, ["oid", "t"]).withColumn("c", F.get("cands", F.col("state")))
+    return out.select("oid", "seq", "time", "lat", "lng", *[F.col(f"c.{c}").alias(c) for c in CANDIDATE])
+
+
+def to_paths(matched: DataFrame, edges: DataFrame, directed: bool = False, bounds: tuple[float, ...] = routing.BOUNDS) -> DataFrame:
     """oid, path, pos, eid, enter_time, leave_time: the edges that a matched trajectory travels, times shared by distance.
 
     Gaps split paths, and on a directed network standing still or going back on an edge; paths of two edges or fewer are dropped.
+    A visit is a run of points on one edge; the route from the visit before it gives the edges in between and the times at which
+    both edges are left and entered. All steps are windows over an object's rows, or joins.
     """
-    kind = {"oid": "long", "seq": "long", "time": "timestamp", "eid": "long", "u": "long", "v": "long", "length": "double", "offset": "double"}
-    tagged = lambda df, tag: df.select(F.lit(tag).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kind.items()])
-    rows = tagged(matched, "point").unionByName(tagged(local_edges(matched.where("eid is not null"), edges, margin_m), "edge"))
-    schema = "oid long, path int, pos int, eid long, enter_time timestamp, leave_time timestamp"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        routes = Routes(pdf[pdf.kind == "edge"], directed)
-        pts = pdf[pdf.kind == "point"].sort_values(["time", "seq"], kind="stable").to_dict("records")
-        paths, path, prev, enter = [], [], None, None
-
-        def close(last):
-            if last is not None:
-                path.append((last["eid"], enter, last["time"]))
-            if len(path) > 2:
-                paths.append(list(path))
-            path.clear()
-
-        for p in pts:
-            if pd.isna(p["eid"]):
-                close(prev)
-                prev = None
-                continue
-            if prev is None:
-                prev, enter = p, p["time"]
-                continue
-            if p["eid"] != prev["eid"]:
-                total, ends = routes.best(prev, p)
-                if ends is None:
-                    close(prev)
-                    prev, enter = p, p["time"]
-                    continue
-                a, b, da, db = ends
-                span = p["time"] - prev["time"]
-                leave = prev["time"] + span * (da / total) if total else p["time"]
-                path.append((prev["eid"], enter, leave))
-                done, nodes = da, routes.nodes(a, b)
-                for x, y in zip(nodes, nodes[1:]):
-                    start = prev["time"] + span * (done / total)
-                    done += routes.near[x][y]
-                    path.append((routes.eid[x, y], start, prev["time"] + span * (done / total)))
-                enter = p["time"] - span * (db / total) if total else p["time"]
-            elif directed and p["offset"] <= prev["offset"]:
-                close(prev)
-                enter = p["time"]
-            prev = p
-        close(prev)
-        cut = lambda t: t.floor("us")
-        out = [(int(pdf.oid.iloc[0]), k, i, int(e), cut(a), cut(b)) for k, one in enumerate(paths) for i, (e, a, b) in enumerate(one)]
-        return pd.DataFrame(out, columns=["oid", "path", "pos", "eid", "enter_time", "leave_time"])
-
-    return rows.groupBy("oid").applyInPandas(run, schema)
+    w = Window.partitionBy("oid").orderBy("time", "seq")
+    place = F.struct("eid", "u", "v", "length", "offset", F.unix_micros("time").alias("time"))
+    rows = matched.withColumns({"q": place, "p": F.lag(place).over(w), "t": F.row_number().over(w)}).where("q.eid is not null").select("oid", "t", "p", "q")
+    linked = F.col("p.eid").isNotNull()
+    back = (F.col("p.eid") == F.col("q.eid")) & (F.col("q.offset") <= F.col("p.offset")) if directed else F.lit(False)
+    rows = stored(rows.withColumns({"moved": linked & (F.col("p.eid") != F.col("q.eid")), "cut": ~linked | back}), "rows")
+    ways = rows.where("moved").select("oid", "t", F.explode(_ways(F.col("p"), F.col("q"), directed)).alias("w")).select("oid", "t", "w.*")
+    routes = stored(routing.distances(ways, edges, network_nodes(edges), directed, with_nodes=True, bounds=bounds), "routes")
+    total = F.col("da") + F.col("dist") + F.col("db")
+    best = ways.join(routes.drop("via"), ["a", "b"]).groupBy("oid", "t").agg(F.min(F.struct(total.alias("total"), "k", "a", "b", "da", "db")).alias("w")).select("oid", "t", "w.*")
+    rows = rows.join(best, ["oid", "t"], "left").withColumn("cut", F.col("cut") | (F.col("moved") & F.col("a").isNull()))
+    runs = Window.partitionBy("oid").orderBy("t")
+    rows = rows.withColumns({"path": F.sum(F.col("cut").cast("long")).over(runs), "visit": F.sum((F.col("cut") | F.col("moved")).cast("long")).over(runs)})
+    head = F.struct("t", F.col("p.time").alias("before"), F.col("q.time").alias("time"), F.when(F.col("cut"), F.lit(None)).otherwise(F.col("total")).alias("total"), "a", "b", "da", "db")
+    visits = rows.groupBy("oid", "path", "visit").agg(F.first("q.eid").alias("eid"), F.min(head).alias("h"), F.max("q.time").alias("last")).select("oid", "path", "visit", "eid", "h.*", "last")
+    span = F.col("time") - F.col("before")
+    at = lambda metres: F.col("before") + F.when(F.col("total") > 0, F.floor(span * metres / F.col("total")).cast("long")).otherwise(span)
+    visits = stored(visits.withColumns({"enter": F.when(F.col("total").isNull(), F.col("time")).otherwise(at(F.col("total") - F.col("db"))), "left": F.when(F.col("total").isNotNull(), at(F.col("da")))}), "visits")
+    own = visits.select("oid", "path", "visit", F.lit(1 << 30).alias("k"), "eid", "enter", F.coalesce(F.lead("left").over(Window.partitionBy("oid", "path").orderBy("visit")), F.col("last")).alias("leave"))
+    between = visits.where("total is not null").join(routes.select("a", "b", "via"), ["a", "b"])
+    between = between.withColumn("x", F.explode(F.arrays_zip(F.slice("via", 1, F.size("via") - 1).alias("a"), F.slice("via", 2, F.size("via") - 1).alias("b"), F.sequence(F.lit(1), F.size("via")).alias("k")))).where("x.b is not null")
+    ways = routing.steps(edges, directed).select("a", "b", F.col("eid").alias("way"), "length")
+    between = between.drop("a", "b").withColumns({"a": F.col("x.a"), "b": F.col("x.b"), "k": F.col("x.k")}).join(ways, ["a", "b"])
+    done = F.sum("length").over(Window.partitionBy("oid", "visit").orderBy("k"))
+    between = between.withColumn("done", F.col("da") + done).select("oid", "path", "visit", "k", F.col("way").alias("eid"), at(F.col("done") - F.col("length")).alias("enter"), at(F.col("done")).alias("leave"))
+    pieces = own.unionByName(between)
+    one = Window.partitionBy("oid", "path")
+    pieces = pieces.withColumns({"pos": F.row_number().over(one.orderBy("visit", "k")) - 1, "n": F.count(F.lit(1)).over(one)}).where("n > 2")
+    number = F.dense_rank().over(Window.partitionBy("oid").orderBy("path")) - 1
+    return pieces.select("oid", number.cast("int").alias("path"), F.col("pos").cast("int").alias("pos"), "eid", F.timestamp_micros("enter").alias("enter_time"), F.timestamp_micros("leave").alias("leave_time"))

@@ -12,8 +12,10 @@ from ..functions import geo
 from ..sources.tables import stored
 from .naming import fresh
 
-#: Degrees per metre used to widen boxes (fixed values): latitude exact, longitude at 35 degrees with some room.
-LAT_PER_M, LNG_PER_M = 1 / 110_000.0, 1 / 88_000.0
+#: Metres of a degree of latitude, a little less than it has, so that boxes have some room.
+DEGREE_M = 110_000.0
+#: No box reaches farther towards a pole than its longitudes are widened for.
+FARTHEST = 89.9
 
 
 @dataclass(frozen=True)
@@ -95,8 +97,15 @@ def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002, levels:
     return a.join(b, [level, cell]).where(meets & (F.col(cell) == corner) & (F.col(level) == F.greatest(own_a, own_b))).drop(cell, level, own_a, own_b)
 
 
+def lng_degrees(lat: Column, metres: Column | float) -> Column:
+    """Degrees of longitude that so many metres have at most anywhere within that distance of a latitude."""
+    farther = F.least(F.abs(lat) + metres / DEGREE_M, F.lit(FARTHEST))
+    return metres / (DEGREE_M * F.cos(F.radians(farther)))
+
+
 def around(points: DataFrame, metres: float) -> DataFrame:
-    return points.withColumns({"b0": F.col("lat") - metres * LAT_PER_M, "b1": F.col("lng") - metres * LNG_PER_M, "b2": F.col("lat") + metres * LAT_PER_M, "b3": F.col("lng") + metres * LNG_PER_M})
+    up, side = metres / DEGREE_M, lng_degrees(F.col("lat"), metres)
+    return points.withColumns({"b0": F.col("lat") - up, "b1": F.col("lng") - side, "b2": F.col("lat") + up, "b3": F.col("lng") + side})
 
 
 def candidates(points: DataFrame, edges: DataFrame, metres: float) -> DataFrame:
