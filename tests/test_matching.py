@@ -32,17 +32,16 @@ def plain_distances(edges, directed=False):
     return near, {a: network.shortest(near, a) for a in near}
 
 
-@pytest.mark.parametrize("directed", [False, True])
-def test_distances_beyond_all_bounds(spark, directed):
-    edges = lattice(spark, 5, 60.0, gone={(2, 7), (7, 12), (1, 6), (6, 11)})
+@pytest.mark.parametrize("directed,bounds", [(False, (10.0, 150.0)), (True, ())])
+def test_distances_beyond_all_bounds(spark, directed, bounds):
+    edges = lattice(spark, 4, 60.0, gone={(1, 5), (5, 9), (2, 6), (9, 10)})
     near, want = plain_distances(edges, directed)
-    pairs = spark.createDataFrame([(a, b) for a in range(25) for b in range(25)] + [(3, 4), (None, 1)], "a long, b long")
-    expected = {(a, b): d for a, to in want.items() for b, d in to.items()} | {(k, k): 0.0 for k in range(25)}
-    for bounds in ((10.0, 150.0), (1000.0,), ()):
-        got = routing.distances(pairs, edges, matching.network_nodes(edges), directed, with_nodes=True, bounds=bounds).collect()
-        assert {(r.a, r.b): round(r.dist, 6) for r in got} == {k: round(d, 6) for k, d in expected.items()}
-        for r in got:
-            assert r.via[0] == r.a and r.via[-1] == r.b and abs(sum(near[x][y] for x, y in zip(r.via, r.via[1:])) - r.dist) < 1e-6
+    pairs = spark.createDataFrame([(a, b) for a in range(16) for b in range(16)] + [(3, 4), (None, 1)], "a long, b long")
+    expected = {(a, b): d for a, to in want.items() for b, d in to.items()} | {(k, k): 0.0 for k in range(16)}
+    got = routing.distances(pairs, edges, matching.network_nodes(edges), directed, with_nodes=True, bounds=bounds).collect()
+    assert {(r.a, r.b): round(r.dist, 6) for r in got} == {k: round(d, 6) for k, d in expected.items()}
+    for r in got:
+        assert r.via[0] == r.a and r.via[-1] == r.b and abs(sum(near[x][y] for x, y in zip(r.via, r.via[1:])) - r.dist) < 1e-6
 
 
 def test_between_places(spark):
@@ -98,7 +97,7 @@ def plain_chain(steps):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
+@pytest.mark.parametrize("chunk", [1, 7])
 def test_chains_in_chunks(spark, chunk):
     r = random.Random(chunk)
     rows, want = [], {}
