@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,28 @@ DEGREE_M = 111111.0
 APART_M = 8.0
 
 
+#: Nodes up to which all distances are found at once, by one array operation for each node.
+DENSE = 300
+
+
+def between(near: dict, nodes: list) -> np.ndarray:
+    """Distances between all of some nodes, inf where there is no way."""
+    if len(near) > DENSE:
+        rows = {p: shortest(near, p) for p in set(nodes)}
+        return np.array([[rows[p].get(q, math.inf) for q in nodes] for p in nodes])
+    index = {n: k for k, n in enumerate(near)}
+    d = np.full((len(near), len(near)), math.inf)
+    np.fill_diagonal(d, 0.0)
+    for u, to in near.items():
+        for v, w in to.items():
+            if u != v:
+                d[index[u], index[v]] = w
+    for k in range(len(near)):
+        np.minimum(d, d[:, k, None] + d[k], out=d)
+    at = [index[n] for n in nodes]
+    return d[np.ix_(at, at)]
+
+
 def _metres(a, b) -> float:
     return math.hypot(a[0] - b[0], (a[1] - b[1]) * math.cos(math.radians(a[0]))) * DEGREE_M
 
@@ -44,7 +67,7 @@ def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: floa
     counts as 1 with every other. None without pairs."""
     a, b = neighbours(truth, "length"), neighbours(pred, "length")
     there = at if at_pred is None else at_pred
-    points, taken, snapped = control_points(a, at), set(), {}
+    points, taken, snapped = control_points(a, at), set(), {}  # snapped: point to its like in pred
     rows: dict = {}
     for n in b:
         rows.setdefault(math.floor(there[n][0] * DEGREE_M / snap_m), []).append(n)
@@ -56,19 +79,21 @@ def apls_one_way(truth: pd.DataFrame, pred: pd.DataFrame, at: dict, snap_m: floa
                 snapped[p] = n
                 taken |= {m for m, far in shortest(b, n, APART_M).items() if far <= APART_M}
                 break
-    total, n = 0.0, 0
-    inner = {p: shortest(a, p) for p in snapped}
-    outer = {q: shortest(b, q) for q in set(snapped.values())}
-    for i, p in enumerate(points):
-        for q in points[i + 1 :]:
-            if p not in snapped or q not in snapped:
-                total, n = total + 1, n + 1
-                continue
-            d1 = inner[p].get(q, -1.0)
-            if d1 > least_m:
-                d2 = max(outer[snapped[p]].get(snapped[q], 0.0), 0.0)
-                total, n = total + min(abs(d1 - d2) / d1, 1.0), n + 1
-    return 1 - total / n if n else None
+    if len(points) < 2:
+        return None
+    at_b = [snapped.get(p, points[0]) for p in points]
+    there_is = np.array([p in snapped for p in points])
+    # Without a like of either end a pair counts as 1; of the others those that truth joins over more than least_m.
+    i, j = np.triu_indices(len(points), 1)
+    both = there_is[i] & there_is[j]
+    d1 = between(a, points)[i, j][both]
+    known = between(b, [at_b[k] for k in np.flatnonzero(there_is)]) if there_is.any() else np.zeros((0, 0))
+    place = np.cumsum(there_is) - 1
+    d2 = known[place[i[both]], place[j[both]]]
+    counted = np.isfinite(d1) & (d1 > least_m)
+    d1, d2 = d1[counted], np.where(np.isfinite(d2[counted]), d2[counted], 0.0)
+    n = int((~both).sum()) + len(d1)
+    return 1 - float((~both).sum() + np.minimum(np.abs(d1 - d2) / d1, 1.0).sum()) / n if n else None
 
 
 def _both(truth: DataFrame, pred: DataFrame, nodes: DataFrame, pred_nodes: DataFrame | None = None) -> DataFrame:
