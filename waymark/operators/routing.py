@@ -139,11 +139,14 @@ def _by_joins(pairs: DataFrame, ways: DataFrame, with_nodes: bool) -> DataFrame:
         walks = stored(step.select("a", "b", "s.dist", F.concat(F.array("s.m"), "s.via").alias("via"), F.col("s.to_m").alias("left")), "walks")
 
 
-def distances(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, directed: bool = False, with_nodes: bool = False, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
-    """a, b, dist of each distinct pair (a, b) that a route joins; with_nodes: also via, the nodes on the shortest one in order."""
+def distances(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, directed: bool = False, with_nodes: bool = False, bounds: tuple[float, ...] = BOUNDS, most: float | None = None) -> DataFrame:
+    """a, b, dist of each distinct pair (a, b) that a route joins; with_nodes: also via, the nodes on the shortest one in order.
+    most: metres beyond which routes aren't asked for."""
     ways = stored(steps(edges, directed), "ways")
     open_pairs = stored(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
     found = []
+    if most is not None and bounds and most <= bounds[-1]:
+        return _within(open_pairs, ways, nodes, most, with_nodes)
     for bound in bounds:
         found.append(stored(_within(open_pairs, ways, nodes, bound, with_nodes), "within"))
         open_pairs = stored(open_pairs.join(found[-1].select("a", "b"), ["a", "b"], "left_anti"), "pairs")
@@ -163,7 +166,7 @@ def between_places(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, limit:
     """
     ends = lambda s: F.array(F.struct(F.col(f"{s}_u").alias("n"), F.col(f"{s}_off").alias("m")), F.struct(F.col(f"{s}_v").alias("n"), (F.col(f"{s}_length") - F.col(f"{s}_off")).alias("m")))
     open_ways = pairs.withColumn("p", F.explode(ends("p"))).withColumn("q", F.explode(ends("q"))).select("id", F.col("p.n").alias("a"), F.col("q.n").alias("b"), (F.col("p.m") + F.col("q.m")).alias("off"))
-    routes = distances(open_ways, edges, nodes)
+    routes = distances(open_ways, edges, nodes, most=limit)
     over = open_ways.join(routes, ["a", "b"]).select("id", (F.col("dist") + F.col("off")).alias("dist"))
     same, turned = (F.col("p_u") == F.col("q_u")) & (F.col("p_v") == F.col("q_v")), (F.col("p_u") == F.col("q_v")) & (F.col("p_v") == F.col("q_u"))
     along = pairs.select("id", F.when(same, F.abs(F.col("p_off") - F.col("q_off"))).when(turned, F.abs(F.col("p_off") - (F.col("q_length") - F.col("q_off")))).alias("dist"))

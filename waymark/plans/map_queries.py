@@ -67,6 +67,16 @@ def idx_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(X.gps(spark, sf_dir), ["oid", "seq"], nodes, 3, 300.0).select("oid", "seq", "node", r("dist", 4).alias("dist"), "rank")
 
 
+@query(f"""WITH {S.GPS}, {S.NODES}, p AS (SELECT oid, seq, lat + 26 AS lat, lng FROM gps), n AS (SELECT node_id, lat + 26 AS lat, lng FROM nodes),
+d AS (SELECT oid, seq, node_id AS node, {S.hav('p.lat', 'p.lng', 'n.lat', 'n.lng')} AS dist FROM p JOIN n ON abs(p.lat - n.lat) < 0.004 AND abs(p.lng - n.lng) < 0.008)
+SELECT oid, seq, node, round(dist, 4) AS dist, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY oid, seq ORDER BY dist, node) AS rank FROM d WHERE dist <= 300) WHERE rank <= 3""")
+def idx_nearest_north(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at 60 degrees north, where a degree of longitude is half as long."""
+    nodes = X.lattice_nodes(spark).select(F.col("node_id").alias("node"), (F.col("lat") + 26).alias("y"), F.col("lng").alias("x"))
+    points = X.gps(spark, sf_dir).withColumn("lat", F.col("lat") + 26)
+    return spatial.nearest(points, ["oid", "seq"], nodes, 3, 300.0).select("oid", "seq", "node", r("dist", 4).alias("dist"), "rank")
+
+
 @query(f"""WITH {S.GPS}, t AS (SELECT oid, time_bucket(INTERVAL 1 DAY, time) AS day, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM gps GROUP BY 1, 2),
 b AS (SELECT oid AS asked, avg(lat) - 0.002 AS b0, avg(lng) - 0.002 AS b1, avg(lat) + 0.002 AS b2, avg(lng) + 0.002 AS b3 FROM gps WHERE lat < 34.3 GROUP BY oid)
 SELECT asked, count(*) AS n_days, count(DISTINCT oid) AS n_objects FROM b JOIN t ON b0 <= y1 AND y0 <= b2 AND b1 <= x1 AND x0 <= b3 GROUP BY asked""")
