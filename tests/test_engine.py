@@ -477,6 +477,26 @@ def test_engine_stands_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_engine.py", "-k", some], cwd=tmp_path, env=env, check=True, timeout=300)
 
 
+def test_entry_is_loud_about_a_broken_package(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # as if it weren't there
+    assert "pipeline" not in e.queries() and "flt_speed" in e.queries()
+    monkeypatch.delitem(sys.modules, "corpus_pipeline")
+    real = __import__
+
+    def broken(name, *args, **more):
+        if name == "corpus_pipeline":
+            raise ImportError("cannot import name", name="waymark.llm.common")
+        return real(name, *args, **more)
+
+    monkeypatch.setattr("builtins.__import__", broken)
+    with pytest.raises(ImportError):
+        e.queries()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
