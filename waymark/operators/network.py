@@ -220,3 +220,28 @@ def read_pixel_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """region, r1, c1, r2, c2: one row for each direction of each edge of stored adjacency lists."""
     a = spark.read.parquet(path).select("region", F.col("row").alias("r1"), F.col("col").alias("c1"), F.explode("neighbours").alias("q"))
     return a.select("region", "r1", "c1", F.col("q.row").alias("r2"), F.col("q.col").alias("c2"))
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """region, node, label: the least node that links (region, node, other) lead to, over any number of them and in any direction.
+
+    Rounds of joins, by Kiveris and others (2014): each node ties its greater neighbours to the least node it knows, then itself
+    and its lesser ones. Links turn into stars; the number of rounds grows with the logarithm of the longest way.
+    """
+    two = lambda a, b: F.struct(F.greatest(a, b).alias("node"), F.least(a, b).alias("other"))
+    now = stored(links.where("node <> other").select("region", two("node", "other").alias("s")).select("region", "s.*").distinct(), "stars")
+    seen = None
+    while True:
+        facts = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("region", "node", "other").cast("decimal(38,0)"))).first()  # one row
+        if facts == seen or not facts[0]:
+            break
+        seen = facts
+        both = now.unionByName(now.select("region", F.col("other").alias("node"), F.col("node").alias("other")))
+        least = both.groupBy("region", "node").agg(F.min("other").alias("least")).withColumn("least", F.least("least", "node"))
+        # The greater neighbours of a node are those that tell it as their lesser one.
+        large = now.select("region", F.col("other").alias("node"), F.col("node").alias("far")).join(least, ["region", "node"])
+        large = stored(large.select("region", F.col("far").alias("node"), F.col("least").alias("other")).distinct(), "stars")
+        least = large.groupBy("region", "node").agg(F.min("other").alias("least"))
+        small = large.join(least, ["region", "node"]).select("region", F.explode(F.array("node", "other")).alias("node"), F.col("least").alias("other"))
+        now = stored(small.where("node <> other").distinct(), "stars")
+    return nodes.join(now.withColumnRenamed("other", "label"), ["region", "node"], "left").withColumn("label", F.coalesce("label", "node"))

@@ -69,8 +69,9 @@ def with_box(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"y0": F.array_min(lats), "x0": F.array_min(lngs), "y1": F.array_max(lats), "x1": F.array_max(lngs)})
 
 
-def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002, levels: int = 1) -> DataFrame:
-    """Pairs of rows whose boxes (b0, b1, b2, b3 = min lat, min lng, max lat, max lng; y0, x0, y1, x1) meet, each once.
+def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002, levels: int = 1, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes (b0, b1, b2, b3 = min lat, min lng, max lat, max lng; y0, x0, y1, x1) meet and that agree in
+    the columns in on, each once.
 
     Of the cells that both share, the pair is made in the one that holds the lower corner of the common box, so nothing
     has to be deduplicated. With several levels, cells grow fourfold from level to level; a row belongs to the first level
@@ -93,8 +94,8 @@ def box_join(boxes: DataFrame, edges: DataFrame, degrees: float = 0.002, levels:
     corner = F.floor(F.greatest("b0", "y0") / wide).cast("long") * 1_000_000 + F.floor(F.greatest("b1", "x0") / wide).cast("long")
     meets = (F.col("b0") <= F.col("y1")) & (F.col("y0") <= F.col("b2")) & (F.col("b1") <= F.col("x1")) & (F.col("x0") <= F.col("b3"))
     if levels == 1:
-        return a.join(b, cell).where(meets & (F.col(cell) == corner)).drop(cell)
-    return a.join(b, [level, cell]).where(meets & (F.col(cell) == corner) & (F.col(level) == F.greatest(own_a, own_b))).drop(cell, level, own_a, own_b)
+        return a.join(b, [*on, cell]).where(meets & (F.col(cell) == corner)).drop(cell)
+    return a.join(b, [*on, level, cell]).where(meets & (F.col(cell) == corner) & (F.col(level) == F.greatest(own_a, own_b))).drop(cell, level, own_a, own_b)
 
 
 def lng_degrees(lat: Column, metres: Column | float) -> Column:

@@ -57,12 +57,9 @@ def range_filter(points: DataFrame, box, start: str, end: str, by=BY) -> DataFra
 
 def speed_filter(points: DataFrame, max_speed: float, by=BY) -> DataFrame:
     """Drops points that would need more than max_speed m/s from the last accepted one, or no time at all. The first stays.
-    Other columns of the points stay. Each object's points are looked at once, in order, with the last accepted one kept."""
+    Other columns of the points stay; objects of which one point is left go. Each object's points are looked at once, in order, with the last accepted one kept."""
 
-    def run(group: kernels.Group) -> list[tuple[str, np.ndarray]]:
-        return [("", kernels.within_speed(group, max_speed))]
-
-    return at_least(kernels.scan(points, by, run), 2, by)
+    return kernels.scan(points, by, lambda g: [kernels.within_speed(g, max_speed)], least=2)
 
 
 # -- segmentation
@@ -88,7 +85,7 @@ def first_beyond(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -
 
     def run(group: kernels.Group) -> dict[str, np.ndarray]:
         n = len(group.micros)
-        nxt = np.array([kernels.beyond(group, i, max_dist) for i in range(n)], np.int32)
+        nxt = kernels.beyond(group, max_dist).astype(np.int32)
         return {"idx": np.arange(n, dtype=np.int32), "next_idx": nxt, "is_stay": group.micros[nxt - 1] - group.micros > max_stay_s * 1e6}
 
     return kernels.annotate(points, by, run, {"idx": "int", "next_idx": "int", "is_stay": "boolean"}).select(*by, "idx", "next_idx", "is_stay")
@@ -97,10 +94,7 @@ def first_beyond(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -
 def _pieces(points: DataFrame, by, spans) -> DataFrame:
     """points with part and pos: those within the spans (first, end) that the kernel finds in each object, in order."""
 
-    def run(group: kernels.Group) -> list[tuple[str, np.ndarray]]:
-        return [("", np.arange(lo, hi)) for lo, hi in spans(group)]
-
-    return kernels.scan(points, by, run, numbered=True)
+    return kernels.scan(points, by, lambda g: [np.arange(lo, hi) for lo, hi in spans(g)], numbered=True)
 
 
 def classic_stays(points: DataFrame, max_dist: float, max_stay_s: float, by=BY) -> DataFrame:
