@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, temporal
-from waymark.operators import evaluation, fusion, matching, network, raster, spatial
+from waymark.operators import evaluation, fusion, kernels, matching, network, raster, spatial
 from waymark.operators import trajectory as T
 from waymark.plans import registry
 from waymark.sources import text
@@ -88,6 +88,69 @@ def test_travel_pieces_need_three_points(spark):
     assert [r.s for r in out] == [[0, 1, 2]]
 
 
+def test_far_points_match_rescanning():
+    rng = np.random.default_rng(7)
+    for n, step in itertools.product((1, 2, 128, 129, 400), (0, 1e-6, 1e-4, 1e-3)):
+        lat, lng = 60 + np.cumsum(rng.normal(0, step, n)), 108 + np.cumsum(rng.normal(0, step, n))
+        g = kernels.Group(np.sort(rng.integers(0, 3 * n, n)) * 1_000_000, lat, lng)
+        far = kernels.metres(lat[:, None], lng[:, None], lat, lng) > 50
+        assert kernels.beyond(g, 50.0).tolist() == [next((j for j in range(i + 1, n) if far[i, j]), n) for i in range(n)]
+        kept = [0]
+        for j in range(1, n):
+            dt_s = (g.micros[j] - g.micros[kept[-1]]) / 1e6
+            if dt_s > 0 and kernels.metres(lat[kept[-1]], lng[kept[-1]], lat[j], lng[j]) <= 8 * dt_s:
+                kept.append(j)
+        assert kernels.within_speed(g, 8.0).tolist() == kept
+
+
+def test_still_objects_are_not_scanned_again():
+    import time
+
+    n = 100_000
+    jitter = np.random.default_rng(8).normal(0, 1e-5, (2, n))
+    g = kernels.Group(np.arange(n) * 1_000_000, 34 + jitter[0], 108 + jitter[1])
+    start = time.perf_counter()
+    assert kernels.greedy_stays(g, 50.0, 600) == [(0, n)] and kernels.growing_stays(g, 50.0, 600) == []
+    assert (kernels.beyond(g, 50.0) == n).all() and len(kernels.within_speed(g, 30.0)) == n
+    assert time.perf_counter() - start < 5
+
+
+def test_lines_in_metres(spark):
+    bent = [(0.0, 0.0), (0.0, 1.0), (5 * M, 2.0), (0.0, 3.0), (0.0, 4.0), (200 * M, 5.0), (0.0, 6.0)]
+    rows = [(1, bent), (2, bent[:4]), (3, None), (4, []), (5, [(0.0, 0.0)] * 6), (6, [*bent[:2], (None, 1.0), *bent[2:]])]
+    lines = spark.createDataFrame(rows, "id long, coords array<struct<lat:double,lng:double>>").repartition(1)
+    out = {r.id: r.coords and [tuple(p) for p in r.coords] for r in raster.simplify_coords(lines, 50.0).collect()}
+    # Cut at the farthest point, then at the one before it, 160 m off the line to it; what lies before is 5 m off at most.
+    kept = [bent[0], *bent[4:]]
+    assert out == {1: kept, 2: bent[:4], 3: None, 4: [], 5: [(0.0, 0.0)] * 2, 6: kept}
+    assert raster.simplify_coords(lines.limit(0), 50.0).count() == 0
+
+
+def test_bilinear_crops_by_hand(spark):
+    c = spark.createDataFrame([(0, 0, 4), (1, 1, 8)], "y int, x int, v int")
+    regions = spark.createDataFrame([(1, 0, 2, 0, 2), (2, -1, 2, -5, 1), (3, 2, 4, 0, 2)], "region long, y0 int, y1 int, x0 int, x1 int")
+    out = {(r.region, r.i, r.j): r.v for r in raster.crop_bilinear(c, regions, 2, 2, 4).collect()}
+    one = np.array([[4, 0], [0, 8]], float)
+    for i, j in itertools.product(range(4), repeat=2):
+        y, x = (min(max((k + 0.5) / 2 - 0.5, 0), 1) for k in (i, j))
+        want = (1 - y) * (1 - x) * one[0, 0] + y * x * one[1, 1] + (1 - y) * x * one[0, 1] + y * (1 - x) * one[1, 0]
+        assert abs(out[1, i, j] - want) < 1e-12
+        assert abs(out[2, i, j] - 4 * (1 - y)) < 1e-12  # cut to two rows of one column
+    assert len(out) == 32  # the third lies outside
+
+
+def test_components_match_union_find(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(r), f"{a:03d}", f"{b:03d}") for r in (1, 2) for a, b in rng.integers(0, 60, (45, 2))] + [(3, f"{i:03d}", f"{i + 1:03d}") for i in range(80)]
+    nodes = sorted({(r, n) for r, a, b in links for n in (a, b)} | {(4, "alone")})
+    best = {n: n[1] for n in nodes}
+    for _ in nodes:
+        for r, a, b in links:
+            best[r, a] = best[r, b] = min(best[r, a], best[r, b])
+    out = network.components(spark.createDataFrame(nodes, "region long, node string"), spark.createDataFrame(links, "region long, node string, other string"))
+    assert {(r.region, r.node): r.label for r in out.collect()} == best
+
+
 def _density(points, dist, stay):
     out, far, start, is_open = [], -1, -1, False
     for i in range(len(points) - 1):
@@ -239,6 +302,8 @@ def test_thinning_and_tracing():
     ring = {((0, 0), (0, 1)), ((0, 1), (1, 1)), ((1, 1), (1, 0)), ((1, 0), (0, 0))}
     assert [line[0] == line[-1] for line in raster.trace(ring)] == [True]
     assert raster.simplify([(0, i) for i in range(9)], 1.0) == [(0, 0), (0, 8)]
+    saw = [(i % 2 * 5, i) for i in range(4000)]
+    assert raster.simplify(saw, 1.0) == saw and raster.simplify([], 1.0) == [] and raster.simplify(saw[:1], 1.0) == saw[:1]
     assert raster.drop_small(np.array([[1, 0, 1], [1, 0, 0]]), 2).tolist() == [[True, False, False], [True, False, False]]
 
 

@@ -99,6 +99,17 @@ def included_angle(alat, alng, blat, blng, clat, clng, dlat, dlng) -> Column:
     return F.when(p * q >= 0, F.abs(p - q)).otherwise(F.when(wide > 180, 360 - wide).otherwise(wide))
 
 
+def within_m(lat, lng, at_lat: float, at_lng: float, metres: float) -> Column:
+    """Whether a place lies within so many metres of a given one. A box around it, which the scan can use, goes before the
+    distance and never decides otherwise."""
+    up = metres / 110_000.0
+    side = up / math.cos(math.radians(min(abs(at_lat) + up, 89.9)))
+    near = _c(lat).between(at_lat - up, at_lat + up)
+    if abs(at_lng) + side < 180 and abs(at_lat) + up < 89.9:
+        near = near & _c(lng).between(at_lng - side, at_lng + side)
+    return near & (haversine_m(lat, lng, at_lat, at_lng) <= metres)
+
+
 def point_to_segment_degrees(lat1, lng1, lat2, lng2, lat, lng) -> Column:
     """Planar distance in degrees of a point to a segment, longitudes scaled at its first end."""
     k = F.cos(F.radians(_c(lat1)))

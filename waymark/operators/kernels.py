@@ -35,6 +35,18 @@ def metres(lat1, lng1, lat2, lng2) -> np.ndarray:
     return np.where((lat1 == lat2) & (lng1 == lng2), 0.0, 2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)))
 
 
+def off_line(lat1, lng1, lat2, lng2, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+    """Metres of points to their feet on the line through two places; to the first one where both are the same."""
+
+    def way(y, x):
+        p, q, d = np.radians(lat1), np.radians(y), np.radians(x - lng1)
+        return np.arctan2(np.sin(d) * np.cos(q), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(d))
+
+    length = metres(lat1, lng1, lat2, lng2)
+    rate = metres(lat1, lng1, lat, lng) * np.cos(way(lat, lng) - way(lat2, lng2)) / length if length > 0 else np.zeros(len(lat))
+    return metres(lat, lng, lat1 + rate * (lat2 - lat1), lng1 + rate * (lng2 - lng1))
+
+
 def _reach(g: Group, at: np.ndarray, low: np.ndarray, high: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     """Metres that no place of a box (latitudes low to high, longitudes x0 to x1) exceeds from the points at."""
     lat, lng = g.lat[at], g.lng[at]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.tables import stored
+from . import kernels
 from .network import walked_steps
 from .numbering import numbered
 
@@ -222,41 +224,60 @@ def trace(edges: set[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tupl
     return lines
 
 
-def simplify(line: list[tuple[float, float]], epsilon: float, short: int = 4) -> list[tuple[float, float]]:
-    """Douglas and Peucker's simplification; short lines (up to four points) stay as they are."""
-    if len(line) <= short:
-        return line
-    (y0, x0), (y1, x1) = line[0], line[-1]
-    length = np.hypot(y1 - y0, x1 - x0)
-    p = np.array(line[1:-1], float)
-    far = np.hypot(p[:, 0] - y0, p[:, 1] - x0) if length == 0 else np.abs((y1 - y0) * (p[:, 1] - x0) - (x1 - x0) * (p[:, 0] - y0)) / length
-    k = int(far.argmax())
-    if far[k] < epsilon:
-        return [line[0], line[-1]]
-    return simplify(line[: k + 2], epsilon, short)[:-1] + simplify(line[k + 1 :], epsilon, short)
+def kept_points(n: int, off: Callable[[int, int], np.ndarray], epsilon: float, short: int = 4) -> np.ndarray:
+    """Which of n points Douglas and Peucker's simplification keeps; off tells how far the points between two are off their line.
 
+    A piece is cut at its farthest point (of equal ones the first) if that is epsilon or more away; pieces of up to short points
+    stay as they are. Open pieces wait on a list, so lines may be of any length."""
+    keep, open_ = np.zeros(n, bool), [(0, n - 1)]
+    while open_:
+        lo, hi = open_.pop()
+        if hi - lo < short:
+            keep[lo : hi + 1] = True
+            continue
+        keep[[lo, hi]] = True
+        far = off(lo, hi)
+        k = int(far.argmax())
+        if far[k] >= epsilon:
+            open_ += [(lo, lo + 1 + k), (lo + 1 + k, hi)]
+    return keep
 
-def skeleton_lines(patches: DataFrame, side: int, least: int = 1, epsilon: float = 1.0, column: str = "pixels") -> DataFrame:
-    """Mask to lines, tile by tile: small objects out, thinned, traced, simplified: vec_id, line, ys, xs."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for tile, data in zip(pdf.vec_id, pdf[column], strict=True):
-                skeleton = thin(drop_small(np.array(data).reshape(side, side) > 0, least))
-                on = set(zip(*(v.tolist() for v in np.nonzero(skeleton))))
-                edges = set()
-                for y, x in on:
-                    for dy, dx in NEAR8:
-                        q = (y + dy, x + dx)
-                        if q in on and (dy == 0 or dx == 0 or not ((y + dy, x) in on or (y, x + dx) in on)):
-                            edges.add(((y, x), q))
-                for k, line in enumerate(trace(edges)):
-                    line = simplify(line, epsilon)
-                    rows.append((tile, k, [int(p[0]) for p in line], [int(p[1]) for p in line]))
-            yield pd.DataFrame(rows, columns=["vec_id", "line", "ys", "xs"])
-
-    return patches.select("vec_id", column).mapInPandas(run, "vec_id long, line int, ys array<int>, xs array<int>")
+def simplify(line: list[tuple[float, float]], epsilon: float, short: int = 4) -> list[tuple[float, float]]:
+    """A line in the plane by kept_points."""
+    p = np.array(line, float).reshape(-1, 2)
+
+    def off(lo: int, hi: int) -> np.ndarray:
+        (y0, x0), (y1, x1), q = p[lo], p[hi], p[lo + 1 : hi]
+        length = np.hypot(y1 - y0, x1 - x0)
+        return np.hypot(q[:, 0] - y0, q[:, 1] - x0) if length == 0 else np.abs((y1 - y0) * (q[:, 1] - x0) - (x1 - x0) * (q[:, 0] - y0)) / length
+
+    return [line[k] for k in np.flatnonzero(kept_points(len(line), off, epsilon, short))]
+
+
+def simplify_coords(lines: DataFrame, metres: float, coords: str = "coords") -> DataFrame:
+    """lines with coords (array of struct(lat, lng)) simplified: points less than so many metres off the line between their
+    neighbours go. Lines of up to four points and null ones stay; points without a place go first. A task holds one batch of
+    lines as arrays of numbers."""
+    names = lines.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(names.index(coords))
+            places, cuts = c.values, c.offsets.to_numpy()
+            lat, lng = (places.field(k).to_numpy(zero_copy_only=False) for k in ("lat", "lng"))
+            taken, ends = [], [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = lo + np.flatnonzero(~(np.isnan(lat[lo:hi]) | np.isnan(lng[lo:hi])))
+                y, x = lat[at], lng[at]
+                off = lambda i, j, y=y, x=x: kernels.off_line(y[i], x[i], y[j], x[j], y[i + 1 : j], x[i + 1 : j])
+                taken.append(at[kept_points(len(at), off, metres)])
+                ends.append(ends[-1] + len(taken[-1]))
+            kept = places.take(pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64)))
+            bent = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept, type=c.type, mask=c.is_null())
+            yield pa.RecordBatch.from_arrays([bent if n == coords else b.column(k) for k, n in enumerate(names)], names=names)
+
+    return lines.mapInArrow(run, lines.schema)
 
 
 def overlap_scores(pred: Column, truth: Column) -> Column:
@@ -305,6 +326,42 @@ def resample(canvas: DataFrame, regions: DataFrame, height: int, width: int, siz
     return g.join(canvas.select("y", "x", "v"), ["y", "x"], "left").select("region", "i", "j", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def resample_mercator(canvas: DataFrame, box: tuple[float, float, float, float], height: int, width: int, regions: DataFrame, size: int) -> DataFrame:
+    """As resample, from a canvas in Mercator projection over a box of degrees (min_lat, min_lng, max_lat, max_lng) to regions
+    (region, box: struct(min_lat, max_lat, min_lng, max_lng)) whose rows are even in degrees: each row and column of a region is
+    taken to its place on the projection, and the nearest pixel (half to even, within the canvas) is read."""
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = regions.select("region", "box", F.explode(steps).alias("i")).withColumn("j", F.explode(steps))
+    x, y = geo.geo_to_pixel(*geo.rc_to_geo(F.col("i"), F.col("j"), F.col("box"), size), box, width, height)
+    near = lambda v, n: F.least(F.greatest(F.rint(v), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
+    g = grid.select("region", "i", "j", near(y, height).alias("y"), near(x, width).alias("x"))
+    return g.join(canvas.select("y", "x", "v"), ["y", "x"], "left").select("region", "i", "j", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def crop_bilinear(canvas: DataFrame, regions: DataFrame, height: int, width: int, size: int) -> DataFrame:
+    """A size by size view of each region (region, y0, y1, x0, x1: whole rows and columns, the ends not included) between pixels:
+    region, i, j, v (double). Regions are cut to the canvas; those outside of it have no rows.
+
+    Centres of pixels lie half a pixel off their corners. Each place weighs the four pixels around it, at the rim those that are
+    there; they are gathered by one join on the pixel and one sum."""
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    own = [F.greatest("y0", F.lit(0)).alias("y0"), F.least("y1", F.lit(height)).alias("y1"), F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.lit(width)).alias("x1")]
+    grid = regions.select("region", *own).where("y1 > y0 and x1 > x0").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+
+    def sides(k: str, a: str, b: str):
+        """Both pixels along one axis with their weights."""
+        n = F.col(b) - F.col(a)
+        at = F.least(F.greatest((F.col(k) + 0.5) / size * n - 0.5, F.lit(0.0)), (n - 1).cast("double"))
+        low = F.floor(at)
+        pair = lambda up, w: F.struct((F.col(a) + low + up).cast("int").alias("at"), w.alias("w"))
+        return F.array(pair(0, 1 - (at - low)), pair(1, at - low))
+
+    near = grid.select("region", "i", "j", F.explode(sides("i", "y0", "y1")).alias("p"), sides("j", "x0", "x1").alias("q"))
+    near = near.select("region", "i", "j", "p", F.explode("q").alias("q")).select("region", "i", "j", F.col("p.at").alias("y"), F.col("q.at").alias("x"), (F.col("p.w") * F.col("q.w")).alias("w"))
+    read = near.where("w > 0").join(canvas.select("y", "x", "v"), ["y", "x"], "left")
+    return read.groupBy("region", "i", "j").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("v"))
+
+
 def random_corners(draws: DataFrame, column: str, subset: Column, width: int, height: int, size: int, split: float = 0.8, seed: int = 42) -> DataFrame:
     """draws with subset, wx, wy: a seeded corner of a window for each row. Windows of "train" lie above the cut at split, those
     of "val" below it, those of any other subset anywhere; the last row and column of the canvas are never reached."""
@@ -379,16 +436,21 @@ def trace_pixels(graph: DataFrame) -> DataFrame:
     return once.select(first.alias("first"), second.alias("second"), F.transform("p", place).alias("points"))
 
 
-def lines_to_network(lines: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0) -> DataFrame:
-    """Traced lines to edges (eid, u, v, coords, length): simplified (points within epsilon pixels go), placed by the corner of
-    the canvas and the width of a pixel. Of lines between the same ends the one traced from the least pixels stays."""
+def bent_lines(lines: DataFrame, epsilon: float, short: int = 4) -> DataFrame:
+    """Traced lines (first, second, points) simplified: first, second, ys, xs."""
 
     def run(batches):
         for pdf in batches:
-            bent = [simplify([(p["y"], p["x"]) for p in line], float(np.nextafter(epsilon, np.inf)), 2) for line in pdf.points]
+            bent = [simplify([(p["y"], p["x"]) for p in line], epsilon, short) for line in pdf.points]
             yield pd.DataFrame({"first": pdf["first"], "second": pdf["second"], "ys": [[int(p[0]) for p in b] for b in bent], "xs": [[int(p[1]) for p in b] for b in bent]})
 
-    bent = lines.mapInPandas(run, "first long, second long, ys array<int>, xs array<int>")
+    return lines.mapInPandas(run, "first long, second long, ys array<int>, xs array<int>")
+
+
+def lines_to_network(lines: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0) -> DataFrame:
+    """Traced lines to edges (eid, u, v, coords, length): simplified (points within epsilon pixels go), placed by the corner of
+    the canvas and the width of a pixel. Of lines between the same ends the one traced from the least pixels stays."""
+    bent = bent_lines(lines, float(np.nextafter(epsilon, np.inf)), 2)
     pixel = lambda k: F.shiftleft(F.element_at("ys", k).cast("long"), 32) + F.element_at("xs", k)
     coords = F.zip_with("ys", "xs", lambda y, x: F.struct((F.lit(north) - y * degrees).alias("lat"), (F.lit(west) + x * degrees).alias("lng")))
     e = bent.select("first", "second", pixel(1).alias("u"), pixel(-1).alias("v"), coords.alias("coords")).where("u <> v or size(coords) > 2")
@@ -397,8 +459,12 @@ def lines_to_network(lines: DataFrame, north: float, west: float, degrees: float
     return numbered(e, [F.col("first"), F.col("second")], "eid").select("eid", "u", "v", "coords", geo.length_m(F.col("coords")).alias("length"))
 
 
+def skeleton_lines(mask: DataFrame, least: int = 1) -> DataFrame:
+    """The lines (first, second, points) of a binary canvas (y, x): objects under least pixels out, thinned and traced as a whole."""
+    return trace_pixels(pixel_graph(thin_pixels(drop_small_pixels(mask, least) if least > 1 else mask).withColumn("tile", F.lit(0))))
+
+
 def mask_to_network(mask: DataFrame, north: float, west: float, degrees: float, epsilon: float = 2.0, least: int = 1) -> DataFrame:
     """A binary canvas (y, x) to a road network: objects under least pixels out, thinned, traced, simplified and placed, all over
     the whole canvas."""
-    graph = pixel_graph(thin_pixels(drop_small_pixels(mask, least) if least > 1 else mask).withColumn("tile", F.lit(0)))
-    return lines_to_network(trace_pixels(graph), north, west, degrees, epsilon)
+    return lines_to_network(skeleton_lines(mask, least), north, west, degrees, epsilon)

@@ -108,10 +108,10 @@ def trj_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.unionByName(m).dropDuplicates(["oid", "start", "end"])
 
 
-@query(f"""WITH {S.GPS}, d AS (SELECT oid, min(time) AS a, max(time) AS z FROM gps WHERE time < TIMESTAMP '2024-01-20' GROUP BY oid)
+@query(f"""WITH {S.GPS}, d AS (SELECT oid, min(time) AS a, max(time) AS z FROM gps GROUP BY oid)
 SELECT oid, a >= TIMESTAMP '2024-01-01 12:00:00' AND a < TIMESTAMP '2024-01-02' AS first_in, a < TIMESTAMP '2024-01-02' AND z + INTERVAL 1 SECOND > TIMESTAMP '2024-01-01 12:00:00' AS meets FROM d""")
 def tim_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.gps(spark, sf_dir).where(F.col("time") < F.lit("2024-01-20").cast("timestamp")).groupBy("oid").agg(F.min("time").alias("a"), F.max("time").alias("z"))
+    d = X.gps(spark, sf_dir).groupBy("oid").agg(F.min("time").alias("a"), F.max("time").alias("z"))
     window = [F.lit(x).cast("timestamp") for x in ("2024-01-01 12:00:00", "2024-01-02")]
     valid = lambda how: temporal.temporal_valid(F.col("a"), F.col("z"), *window, how)
     return d.select("oid", valid("first").alias("first_in"), valid("intersect").alias("meets"))

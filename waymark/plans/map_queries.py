@@ -13,6 +13,7 @@ from ..operators import trajectory as T
 from ..sources import fixtures as X
 from ..sources.scratch import scratch_path
 from . import sql as S
+from .trajectory_queries import travel_sql
 
 QUERIES, SQL = {}, {}
 GRID = spatial.Grid(X.BOX, 40, 30)
@@ -78,14 +79,14 @@ def idx_nearest_north(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {S.GPS}, t AS (SELECT oid, time_bucket(INTERVAL 1 DAY, time) AS day, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM gps GROUP BY 1, 2),
-b AS (SELECT oid AS asked, avg(lat) - 0.002 AS b0, avg(lng) - 0.002 AS b1, avg(lat) + 0.002 AS b2, avg(lng) + 0.002 AS b3 FROM gps WHERE lat < 34.3 GROUP BY oid)
+b AS (SELECT oid AS asked, avg(lat) - 0.002 AS b0, avg(lng) - 0.002 AS b1, avg(lat) + 0.002 AS b2, avg(lng) + 0.002 AS b3 FROM gps GROUP BY oid)
 SELECT asked, count(*) AS n_days, count(DISTINCT oid) AS n_objects FROM b JOIN t ON b0 <= y1 AND y0 <= b2 AND b1 <= x1 AND x0 <= b3 GROUP BY asked""")
 def idx_trips_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of objects whose box meets a box around each object's usual place."""
     p = X.gps(spark, sf_dir)
     ends = [F.min("lat").alias("y0"), F.min("lng").alias("x0"), F.max("lat").alias("y1"), F.max("lng").alias("x1")]
     trips = p.groupBy("oid", F.to_date("time").alias("day")).agg(*ends)
-    c = p.where("lat < 34.3").groupBy(F.col("oid").alias("asked")).agg(F.avg("lat").alias("y"), F.avg("lng").alias("x"))
+    c = p.groupBy(F.col("oid").alias("asked")).agg(F.avg("lat").alias("y"), F.avg("lng").alias("x"))
     box = c.select("asked", (F.col("y") - 0.002).alias("b0"), (F.col("x") - 0.002).alias("b1"), (F.col("y") + 0.002).alias("b2"), (F.col("x") + 0.002).alias("b3"))
     return spatial.box_join(box, trips, levels=6).groupBy("asked").agg(F.count(F.lit(1)).alias("n_days"), F.countDistinct("oid").alias("n_objects"))
 
@@ -145,6 +146,20 @@ def seg_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.unmatched_runs(p.join(best, ["oid", "seq"], "left"), 20.0).select("oid", "seq", "run", "prev_eid", "next_eid")
 
 
+@query(f"""WITH RECURSIVE {CANDIDATES}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY oid, seq ORDER BY round(error, 6), eid) AS k FROM cand) WHERE k = 1),
+{S.steps()}, cut AS (SELECT *, sum(CASE WHEN epoch_us(time) - epoch_us(ptime) > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY oid ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM steps),
+sg AS (SELECT oid::VARCHAR || '/' || segment AS oid, oid AS object, segment, seq, time, lat, lng FROM (SELECT *, count(*) OVER (PARTITION BY oid, segment) AS n FROM cut) WHERE n > 1),
+{travel_sql(300, 6).replace('FROM gps', 'FROM sg')}
+SELECT p.object AS oid, p.segment, part::INT AS part, (p.k - lo)::INT AS pos, p.seq, b.eid FROM pieces c JOIN pts p ON p.oid = c.oid AND p.k >= lo AND p.k < hi LEFT JOIN best b ON b.oid = p.object AND b.seq = p.seq""")
+def seg_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched points cut at gaps of a day, then at stays; each keeps its edge."""
+    p = X.gps(spark, sf_dir)
+    c = spatial.candidates(p, X.lattice_edges(spark), 50.0)
+    best = c.withColumn("k", F.row_number().over(Window.partitionBy("oid", "seq").orderBy(F.round("error", 6), "eid"))).where("k = 1").select("oid", "seq", "eid")
+    m = T.matched_segments(p.join(best, ["oid", "seq"], "left"), 86400.0, 300.0, 6 * 3600)
+    return m.select("oid", "segment", "part", "pos", "seq", "eid")
+
+
 @query()
 def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matching.match(X.gps(spark, sf_dir), X.lattice_edges(spark))

@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import fusion, network, raster, spatial
 from ..sources import fixtures as X
 from ..sources.scratch import scratch_path
+from ..sources.tables import stored
 from . import sql as S
 from .network_queries import TRAILS
 
@@ -70,7 +71,8 @@ def ras_pixel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ras_skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.skeleton_lines(X.patches(spark, sf_dir), 8, least=3)
+    """The stitched canvas as simplified lines: objects under three pixels out, thinned and traced over all patches."""
+    return raster.bent_lines(raster.skeleton_lines(_canvas(spark, sf_dir).select("y", "x"), least=3), 1.0)
 
 
 @query("SELECT vec_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT vec_id, ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM embeddings)")
@@ -92,6 +94,48 @@ def ras_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.resample(c, regions, h or 1, w or 1, 20)
 
 
+MERCATOR = (34.0, 100.0, 60.0, 110.0)
+
+
+@query(f"""WITH {CANVAS},
+e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w, (max(y) + 16) // 16 AS rows, (max(x) + 16) // 16 AS cols FROM canvas),
+t AS (SELECT *, unnest(generate_series(0, rows * cols - 1)) AS region FROM e),
+b AS (SELECT *, 60::DOUBLE - (region // cols + 1)::DOUBLE * (26::DOUBLE / rows) AS lo, 60::DOUBLE - (region // cols)::DOUBLE * (26::DOUBLE / rows) AS hi,
+  100::DOUBLE + (region % cols)::DOUBLE * (10::DOUBLE / cols) AS west, 100::DOUBLE + (region % cols + 1)::DOUBLE * (10::DOUBLE / cols) AS east FROM t),
+g AS (SELECT *, unnest(generate_series(0, 19)) AS j FROM (SELECT *, unnest(generate_series(0, 19)) AS i FROM b)),
+d AS (SELECT *, hi - i::DOUBLE / 20 * (hi - lo) AS lat, west + j::DOUBLE / 20 * (east - west) AS lng FROM g),
+m AS (SELECT *, asinh(tan(radians(lat))) AS my, asinh(tan(radians(34::DOUBLE))) AS my0, asinh(tan(radians(60::DOUBLE))) AS my1 FROM d),
+p AS (SELECT region, i, j, greatest(least(round_even((my1 - my) / (my1 - my0) * h, 0), h - 1), 0)::INT AS y, greatest(least(round_even((lng - 100) / 10 * w, 0), w - 1), 0)::INT AS x FROM m)
+SELECT region::BIGINT AS region, i::INT AS i, j::INT AS j, CASE WHEN c.y IS NULL THEN 0 ELSE 1 END AS v FROM p LEFT JOIN canvas c ON p.y = c.y AND p.x = c.x""")
+def ras_resample_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canvas as a Mercator map from 34 to 60 degrees, cut into about as many regions, even in degrees, as it has blocks of 16
+    pixels, at 20 pixels each."""
+    c = _canvas(spark, sf_dir)
+    h, w = (n or 1 for n in c.agg(F.max("y") + 1, F.max("x") + 1).first())
+    rows, cols = -(-h // 16), -(-w // 16)
+    dlat, dlng = 26 / rows, 10 / cols
+    i, j = F.floor(F.col("id") / cols).cast("double"), (F.col("id") % cols).cast("double")
+    box = F.struct((60.0 - (i + 1) * dlat).alias("min_lat"), (60.0 - i * dlat).alias("max_lat"), (100.0 + j * dlng).alias("min_lng"), (100.0 + (j + 1) * dlng).alias("max_lng"))
+    return raster.resample_mercator(c, MERCATOR, h, w, spark.range(rows * cols).select(F.col("id").alias("region"), box.alias("box")), 20)
+
+
+@query(f"""WITH {CANVAS}, e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM canvas), t AS (SELECT DISTINCT y // 12 AS ty, x // 12 AS tx FROM canvas),
+b AS (SELECT (ty * 100000 + tx)::BIGINT AS region, greatest(ty * 12 - 3, 0) AS y0, least(ty * 12 + 14, h) AS y1, greatest(tx * 12 - 3, 0) AS x0, least(tx * 12 + 14, w) AS x1 FROM t, e),
+g AS (SELECT *, unnest(generate_series(0, 9)) AS j FROM (SELECT *, unnest(generate_series(0, 9)) AS i FROM b)),
+a AS (SELECT *, least(greatest((i + 0.5::DOUBLE) / 10 * (y1 - y0) - 0.5::DOUBLE, 0), y1 - y0 - 1) AS fy, least(greatest((j + 0.5::DOUBLE) / 10 * (x1 - x0) - 0.5::DOUBLE, 0), x1 - x0 - 1) AS fx FROM g),
+n AS (SELECT region, i, j, sum(CASE WHEN c.y IS NULL THEN 0 ELSE (1 - abs(fy - (c.y - y0))) * (1 - abs(fx - (c.x - x0))) END) AS v
+  FROM a LEFT JOIN canvas c ON abs(fy - (c.y - y0)) < 1 AND abs(fx - (c.x - x0)) < 1 AND c.y >= y0 AND c.y < y1 AND c.x >= x0 AND c.x < x1 GROUP BY region, i, j)
+SELECT region, i::INT AS i, j::INT AS j, round(v, 6) AS v FROM n""")
+def ras_crop_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 17 by 17 pixels around every block of 12 of the canvas, over its rim too, at 10 by 10."""
+    c = _canvas(spark, sf_dir)
+    h, w = (n or 1 for n in c.agg(F.max("y") + 1, F.max("x") + 1).first())
+    t = c.select(F.floor(F.col("y") / 12).alias("ty"), F.floor(F.col("x") / 12).alias("tx")).distinct()
+    at = lambda k, more: (F.col(k) * 12 + more).cast("int")
+    regions = t.select((F.col("ty") * 100000 + F.col("tx")).alias("region"), at("ty", -3).alias("y0"), at("ty", 14).alias("y1"), at("tx", -3).alias("x0"), at("tx", 14).alias("x1"))
+    return raster.crop_bilinear(c, regions, h, w, 10).select("region", "i", "j", r("v").alias("v"))
+
+
 @query(f"""WITH RECURSIVE {CLOSED}, told AS (SELECT * FROM (VALUES (0, 0, 256), (1, 0, 1), (1, -1, 2), (0, -1, 4), (-1, -1, 8), (-1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128)) r(ry, rx, bit)),
 t AS (SELECT 0 AS k, y, x FROM closed UNION ALL
  SELECT k + 1, y, x FROM (SELECT k, y, x, m - 256 AS m, ((m - 256) >> 1) | ((m & 1) << 7) AS next FROM (SELECT k, (y + ry)::INT AS y, (x + rx)::INT AS x, sum(bit)::BIGINT AS m FROM t, told GROUP BY ALL) WHERE m >= 256), s
@@ -196,6 +240,42 @@ def fus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.votes(asks, near, trips, 45.0, 40.0)
 
 
+NODE_EDGES = f"""{TRAILS},
+n AS (SELECT DISTINCT region, node, 34.2::DOUBLE + ((node // 100000)::DOUBLE + 0.5::DOUBLE) * 0.0004::DOUBLE AS lat, 108.9::DOUBLE + ((node % 100000)::DOUBLE + 0.5::DOUBLE) * 0.0004::DOUBLE AS lng FROM tb),
+d AS (SELECT n.region, node, lat, lng, eid, y1, x1, y2, x2,
+  greatest(0::DOUBLE, least(1::DOUBLE, {S.hav('y1', 'x1', 'lat', 'lng')} * cos(radians({S.brg('y1', 'x1', 'lat', 'lng')} - {S.brg('y1', 'x1', 'y2', 'x2')})) / {S.hav('y1', 'x1', 'y2', 'x2')})) AS rate
+  FROM n JOIN te ON te.region = n.region AND eid % 10 >= 3),
+at_ AS (SELECT *, CASE WHEN rate >= 1 THEN y2 WHEN rate <= 0 THEN y1 ELSE y1 + rate * (y2 - y1) END AS fy, CASE WHEN rate >= 1 THEN x2 WHEN rate <= 0 THEN x1 ELSE x1 + rate * (x2 - x1) END AS fx FROM d),
+f AS (SELECT *, {S.hav('lat', 'lng', 'fy', 'fx')} AS dist FROM at_)"""
+
+
+@query(f"""WITH {NODE_EDGES}, s AS (SELECT *, {S.hav('y1', 'x1', 'fy', 'fx')} <= 5 AS at1, {S.hav('y2', 'x2', 'fy', 'fx')} <= 5 AS at2 FROM f WHERE dist < 32)
+SELECT region, node, eid, round(CASE WHEN at1 THEN y1 WHEN at2 THEN y2 ELSE fy END, 7) AS lat, round(CASE WHEN at1 THEN x1 WHEN at2 THEN x2 ELSE fx END, 7) AS lng FROM s""")
+def fus_points_on_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each node of the inferred network is tied to the base edges near it; ends within 5 m take the place."""
+    base, every = _halves(spark, sf_dir)
+    near = fusion.closest_projection(X.trail_nodes(every), ["region", "node"], base, 32.0, every=True)
+    met = near.join(base.select("region", "eid", "coords"), ["region", "eid"])
+    p = met.withColumn("p", fusion.point_on_edge(F.col("coords"), F.col("segment"), F.col("rate"), 5.0))
+    return p.select("region", "node", "eid", r("p.lat", 7).alias("lat"), r("p.lng", 7).alias("lng"))
+
+
+@query(f"""WITH RECURSIVE {NODE_EDGES},
+lv AS (SELECT n.region, n.node, min(dist) AS dist FROM n LEFT JOIN f ON f.region = n.region AND f.node = n.node GROUP BY n.region, n.node),
+lk AS (SELECT region, u AS node, v AS other FROM te UNION SELECT region, v, u FROM te),
+rc AS (SELECT region, node FROM lv WHERE dist IS NULL OR dist >= 32
+  UNION SELECT lk.region, lk.other FROM rc JOIN lk ON lk.region = rc.region AND lk.node = rc.node JOIN lv o ON o.region = lk.region AND o.node = lk.other AND (o.dist IS NULL OR o.dist >= 10))
+SELECT region, node FROM rc""")
+def fus_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are new to the base network: the far ones, and what they reach over nodes that aren't close to it."""
+    base, every = _halves(spark, sf_dir)
+    n = X.trail_nodes(every)
+    near = fusion.closest_projection(n, ["region", "node"], base, 32.0, every=True).groupBy("region", "node").agg(F.min("dist").alias("dist"))
+    level = stored(n.join(near, ["region", "node"], "left").select("region", "node", "dist"), "levels")
+    links = every.select("region", F.col("u").alias("node"), F.col("v").alias("other")).union(every.select("region", "v", "u"))
+    return fusion.spread(level.where("dist is null").select("region", "node"), links, level.where("dist is null or dist >= 10"))
+
+
 ROADS = """px AS (SELECT (4 * (vec_id // 25) + k // 8)::INT AS y, (4 * (vec_id % 25) + k % 8)::INT AS x, embedding[k + 1]::DOUBLE AS d FROM (SELECT vec_id, embedding, unnest(generate_series(0, 63)) AS k FROM embeddings)),
 roads AS (SELECT DISTINCT y, x FROM px WHERE d > 0.2::DOUBLE)"""
 
@@ -258,7 +338,7 @@ _DLAT, _DLNG, _ROWS, _COLUMNS = geo.region_grid(X.BOX, TILE_M)
 
 
 @query(f"""WITH {S.GPS}, n AS (SELECT oid, (epoch_us(time) // 604800000000)::BIGINT AS week, lat, lng, row_number() OVER (PARTITION BY oid, epoch_us(time) // 604800000000 ORDER BY time, seq) AS k FROM gps),
-c AS (SELECT oid, week, k, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng, first(lat) OVER w AS flat, first(lng) OVER w AS flng, count(*) OVER (PARTITION BY oid, week) AS n FROM n WHERE k <= 5 WINDOW w AS (PARTITION BY oid, week ORDER BY k)),
+c AS (SELECT oid, week, k, lat, lng, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng, first(lat) OVER w AS flat, first(lng) OVER w AS flng, count(*) OVER (PARTITION BY oid, week) AS n FROM n WINDOW w AS (PARTITION BY oid, week ORDER BY k)),
 b AS (SELECT oid, week, min(lat) AS y0, min(lng) AS x0, max(lat) AS y1, max(lng) AS x1 FROM c WHERE n > 2 GROUP BY oid, week),
 t AS (SELECT id AS region, {X.BOX[2]!r}::DOUBLE - (id // {_COLUMNS} + 1)::DOUBLE * {_DLAT!r}::DOUBLE AS b0, {X.BOX[1]!r}::DOUBLE + (id % {_COLUMNS})::DOUBLE * {_DLNG!r}::DOUBLE AS b1, {X.BOX[2]!r}::DOUBLE - (id // {_COLUMNS})::DOUBLE * {_DLAT!r}::DOUBLE AS b2,
   {X.BOX[1]!r}::DOUBLE + (id % {_COLUMNS})::DOUBLE * {_DLNG!r}::DOUBLE + {_DLNG!r}::DOUBLE AS b3 FROM (SELECT unnest(generate_series(0, {_ROWS * _COLUMNS - 1})) AS id)),
@@ -270,9 +350,9 @@ cx AS (SELECT region, oid, week, y, x1 + (y + 0.5::DOUBLE - y1) / (y2 - y1) * (x
 px AS (SELECT region, oid, week, y, x FROM cx, (SELECT unnest(generate_series(0, {TILE_PX - 1})) AS x) g WHERE spot <= x + 0.5::DOUBLE GROUP BY region, oid, week, y, x HAVING count(*) % 2 = 1)
 SELECT region, oid, week, count(*) AS n, sum(y)::BIGINT AS ys, sum(x)::BIGINT AS xs FROM px GROUP BY region, oid, week""")
 def ras_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of 800 m at 100 pixels with the polygons that meet them (the first five points of an object's week), filled."""
+    """Tiles of 800 m at 100 pixels with the polygons that meet them (the points of an object's week in order), filled."""
     p = X.gps(spark, sf_dir).withColumn("week", F.floor(F.unix_micros("time") / 604_800_000_000))
-    ring = F.slice(F.array_sort(F.collect_list(F.struct("time", "seq", "lat", "lng"))), 1, 5)
+    ring = F.array_sort(F.collect_list(F.struct("time", "seq", "lat", "lng")))
     polygons = spatial.with_box(p.groupBy("oid", "week").agg(ring.alias("coords")).where("size(coords) > 2"))
     tiles = spark.range(_ROWS * _COLUMNS).select(F.col("id").alias("region"), geo.region_box(F.col("id"), X.BOX, TILE_M).alias("box"))
     tiles = tiles.select("region", "box", *[F.col(f"box.{c}").alias(b) for b, c in zip(("b0", "b1", "b2", "b3"), ("min_lat", "min_lng", "max_lat", "max_lng"), strict=True)])

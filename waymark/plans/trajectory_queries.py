@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, temporal
+from ..operators import raster
 from ..operators import trajectory as T
 from ..sources.fixtures import BOX, gps
 from . import sql as S
@@ -121,13 +122,14 @@ def geo_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DLAT, _DLNG, _ROWS, _COLUMNS = geo.region_grid(BOX, 400)
 
 
-@query(f"""WITH {S.GPS}, k AS (SELECT *, floor((34.279658::DOUBLE - lat) / {_DLAT!r}::DOUBLE) AS i, floor((lng - 108.917423::DOUBLE) / {_DLNG!r}::DOUBLE) AS j FROM gps WHERE lat < 34.279658 AND lng < 108.99286),
+@query(f"""WITH {S.GPS}, k AS (SELECT *, floor((34.279658::DOUBLE - own) / {_DLAT!r}::DOUBLE) AS i, floor((CASE WHEN own IS NOT NULL THEN lng END - 108.917423::DOUBLE) / {_DLNG!r}::DOUBLE) AS j FROM (SELECT *, CASE WHEN lat < 34.279658 AND lng < 108.99286 THEN lat END AS own FROM gps)),
 b AS (SELECT *, (i * {_COLUMNS} + j)::BIGINT AS region, 34.279658::DOUBLE - i * {_DLAT!r}::DOUBLE AS hi, 34.279658::DOUBLE - (i + 1) * {_DLAT!r}::DOUBLE AS lo, 108.917423::DOUBLE + j * {_DLNG!r}::DOUBLE AS west FROM k)
 SELECT oid, seq, region, round((hi - lat) / (hi - lo) * 400, 4) AS row, round((lng - west) / (west + {_DLNG!r}::DOUBLE - west) * 400, 4) AS col,
  (lat - 34.2::DOUBLE) * 111111::DOUBLE > 20 AND (lat - 34.2::DOUBLE) * 111111::DOUBLE < 6980 AND (lng - 108.9::DOUBLE) * 111111::DOUBLE * cos(radians(34.2::DOUBLE)) > 20 AND (lng - 108.9::DOUBLE) * 111111::DOUBLE * cos(radians(34.2::DOUBLE)) < 6980 AS inside FROM b""")
 def geo_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lng = F.col("lat"), F.col("lng")
-    p = gps(spark, sf_dir).where((lat < BOX[2]) & (lng < BOX[3])).withColumn("region", (F.floor((F.lit(BOX[2]) - lat) / _DLAT) * _COLUMNS + F.floor((lng - BOX[1]) / _DLNG)).cast("long"))
+    own = F.when((lat < BOX[2]) & (lng < BOX[3]), lat)
+    p = gps(spark, sf_dir).withColumn("region", (F.floor((F.lit(BOX[2]) - own) / _DLAT) * _COLUMNS + F.floor((lng - BOX[1]) / _DLNG)).cast("long"))
     p = p.withColumn("b", geo.region_box(F.col("region"), BOX, 400))
     row, col = geo.geo_to_rc(lat, lng, F.col("b"), 400)
     return p.select("oid", "seq", "region", r(row, 4).alias("row"), r(col, 4).alias("col"), geo.in_bound_with_margin(lat, lng, 7000.0, 20.0, 34.2, 108.9).alias("inside"))
@@ -188,6 +190,36 @@ def seg_distance_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.distance_gap_segments(gps(spark, sf_dir), 300.0).select("oid", "seq", "segment")
 
 
+@query(f"""WITH {S.GPS}, {S.steps()},
+m AS (SELECT *, sum(CASE WHEN {S.hav('plat', 'plng', 'lat', 'lng')} > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY oid ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM steps),
+l AS (SELECT *, lag(lat) OVER w AS y, lag(lng) OVER w AS x FROM m WINDOW w AS (PARTITION BY oid, segment ORDER BY time, seq)),
+t AS (SELECT *, sum(CASE WHEN y IS NOT NULL THEN {S.hav('y', 'x', 'lat', 'lng')} END) OVER (PARTITION BY oid, segment) AS total FROM l) SELECT oid, seq, segment FROM t WHERE total > 200""")
+def seg_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories cut at jumps of more than 300 m, of which those longer than 200 m stay."""
+    return T.spaced_trajectories(gps(spark, sf_dir), 300.0, 200.0).select("oid", "seq", "segment")
+
+
+_LINE = f"""(SELECT q.oid, q.week, q.lo, q.hi, p.k, p.lat, p.lng, a.lat AS y1, a.lng AS x1, b.lat AS y2, b.lng AS x2 FROM cut q JOIN pts p ON p.oid = q.oid AND p.week = q.week AND p.k > q.lo AND p.k < q.hi
+  JOIN pts a ON a.oid = q.oid AND a.week = q.week AND a.k = q.lo JOIN pts b ON b.oid = q.oid AND b.week = q.week AND b.k = q.hi WHERE q.hi - q.lo >= 4)"""
+_RATE = f"CASE WHEN {S.hav('y1', 'x1', 'y2', 'x2')} = 0 THEN 0 ELSE {S.hav('y1', 'x1', 'lat', 'lng')} * cos(radians({S.brg('y1', 'x1', 'lat', 'lng')} - {S.brg('y1', 'x1', 'y2', 'x2')})) / {S.hav('y1', 'x1', 'y2', 'x2')} END"
+
+
+@query(f"""WITH RECURSIVE {S.GPS},
+pts AS (SELECT *, row_number() OVER (PARTITION BY oid, week ORDER BY time, seq) - 1 AS k FROM (SELECT *, (epoch_us(time) // 604800000000)::BIGINT AS week FROM gps)),
+cut AS (SELECT oid, week, 0::BIGINT AS lo, max(k) AS hi FROM pts GROUP BY oid, week
+  UNION ALL SELECT oid, week, unnest([lo, far]), unnest([far, hi]) FROM (
+    SELECT oid, week, lo, hi, arg_max(k, (off, -k)) AS far, max(off) AS most FROM (
+      SELECT oid, week, lo, hi, k, {S.hav('lat', 'lng', 'y1 + rate * (y2 - y1)', 'x1 + rate * (x2 - x1)')} AS off FROM (SELECT *, {_RATE} AS rate FROM {_LINE})) GROUP BY oid, week, lo, hi) WHERE most >= 150),
+kept AS (SELECT oid, week, lo AS k FROM cut UNION SELECT oid, week, hi FROM cut UNION SELECT oid, week, unnest(generate_series(lo, hi)) FROM cut WHERE hi - lo < 4)
+SELECT oid, week, count(*) AS n, round(sum(lat), 6) AS lats, round(sum(lng), 6) AS lngs FROM kept JOIN pts USING (oid, week, k) GROUP BY oid, week""")
+def trj_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's week as a line, without the points less than 150 m off."""
+    p = gps(spark, sf_dir).groupBy("oid", F.floor(F.unix_micros("time") / 604_800_000_000).alias("week")).agg(F.array_sort(F.collect_list(F.struct("time", "seq", "lat", "lng"))).alias("coords"))
+    bent = raster.simplify_coords(p.withColumn("coords", F.transform("coords", lambda q: F.struct(q["lat"].alias("lat"), q["lng"].alias("lng")))), 150.0)
+    total = lambda c: r(F.aggregate("coords", F.lit(0.0), lambda s, q: s + q[c]))
+    return bent.select("oid", "week", F.size("coords").cast("long").alias("n"), total("lat").alias("lats"), total("lng").alias("lngs"))
+
+
 BEYOND = """pts AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY time, seq) - 1 AS k, count(*) OVER (PARTITION BY oid) AS n FROM gps),
 nxt AS (SELECT a.oid, a.k, a.n, a.time, coalesce(min(b.k), a.n) AS nx FROM pts a LEFT JOIN pts b ON a.oid = b.oid AND b.k > a.k AND {far} GROUP BY a.oid, a.k, a.n, a.time),
 scan AS (SELECT x.oid, x.k, x.n, x.nx, epoch_us(l.time) - epoch_us(x.time) > {stay} AS stay FROM nxt x JOIN pts l ON l.oid = x.oid AND l.k = x.nx - 1)"""
@@ -211,10 +243,15 @@ def sty_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.classic_stays(gps(spark, sf_dir), 300.0, 12 * 3600)
 
 
-@query(f"""WITH RECURSIVE {S.GPS}, {_beyond(300, 12)}, {_JUMPS}, st AS (SELECT oid, k, nx, n FROM go WHERE stay),
+def travel_sql(dist: int, hours: int) -> str:
+    """pts and pieces: what lies between the stays of gps."""
+    return f"""{_beyond(dist, hours)}, {_JUMPS}, st AS (SELECT oid, k, nx, n FROM go WHERE stay),
 bounds AS (SELECT oid, coalesce(lag(nx) OVER (PARTITION BY oid ORDER BY k), 0) AS lo, k AS hi, false AS tail FROM st
   UNION ALL SELECT a.oid, coalesce((SELECT max(nx) FROM st WHERE st.oid = a.oid), 0), a.n, true FROM (SELECT DISTINCT oid, n FROM pts WHERE n > 1) a),
-pieces AS (SELECT oid, lo, hi, row_number() OVER (PARTITION BY oid ORDER BY lo, hi) - 1 AS part FROM bounds WHERE lo < hi - 2)
+pieces AS (SELECT oid, lo, hi, row_number() OVER (PARTITION BY oid ORDER BY lo, hi) - 1 AS part FROM bounds WHERE lo < hi - 2)"""
+
+
+@query(f"""WITH RECURSIVE {S.GPS}, {travel_sql(300, 12)}
 SELECT p.oid, part::INT AS part, (p.k - lo)::INT AS pos, p.time, p.seq, p.lat, p.lng FROM pieces b JOIN pts p ON p.oid = b.oid AND p.k >= lo AND p.k < hi""")
 def seg_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stay_segments(gps(spark, sf_dir), 300.0, 12 * 3600)
@@ -239,7 +276,7 @@ def sty_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stays whose middle lies in a time window and whose centroid lies within 3 km."""
     s = T.classic_stays(gps(spark, sf_dir), 300.0, 12 * 3600).groupBy("oid", "part").agg(F.min("time").alias("start"), F.max("time").alias("end"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     window = [F.lit(x).cast("timestamp") for x in ("2024-01-05", "2024-01-25")]
-    near = geo.haversine_m(F.col("lat"), F.col("lng"), 34.24, 108.95) <= 3000
+    near = geo.within_m(F.col("lat"), F.col("lng"), 34.24, 108.95, 3000.0)
     return s.where(temporal.temporal_valid(F.col("start"), F.col("end"), *window) & near).select("oid", "start", "end", r("lat", 7).alias("lat"), r("lng", 7).alias("lng"))
 
 
@@ -338,12 +375,13 @@ def tim_slot_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("oid", temporal.slot_range(F.col("a"), F.col("z"), *span, 30).alias("s")).select("oid", F.element_at("s", 1).alias("lo"), F.element_at("s", -1).alias("hi"), F.size("s").alias("n"))
 
 
-@query(f"""WITH {S.GPS}, k AS (SELECT *, floor((lat - 34.206385::DOUBLE) / {_DLAT!r}::DOUBLE) AS i, floor((lng - 108.917423::DOUBLE) / {_DLNG!r}::DOUBLE) AS j FROM gps WHERE lat < 34.27 AND lng < 108.99286)
-SELECT oid, seq, (i * {_COLUMNS} + j)::BIGINT AS region, round(34.206385::DOUBLE + i * {_DLAT!r}::DOUBLE, 7) AS min_lat, round(34.206385::DOUBLE + (i + 1) * {_DLAT!r}::DOUBLE, 7) AS max_lat, round(lat, 7) AS lat, round(lng, 7) AS lng FROM k""")
+@query(f"""WITH {S.GPS}, k AS (SELECT *, floor((own - 34.206385::DOUBLE) / {_DLAT!r}::DOUBLE) AS i, floor((lng - 108.917423::DOUBLE) / {_DLNG!r}::DOUBLE) AS j FROM (SELECT *, CASE WHEN lat < 34.279658 AND lng < 108.99286 THEN lat END AS own FROM gps))
+SELECT oid, seq, (i * {_COLUMNS} + j)::BIGINT AS region, round(34.206385::DOUBLE + i * {_DLAT!r}::DOUBLE, 7) AS min_lat, round(34.206385::DOUBLE + (i + 1) * {_DLAT!r}::DOUBLE, 7) AS max_lat, round(own, 7) AS lat, CASE WHEN own IS NOT NULL THEN round(lng, 7) END AS lng FROM k""")
 def geo_regions_south(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions counted from the south, and points through the pixels of their region and back."""
+    """Regions counted from the south, and points through the pixels of their region and back; none for places outside."""
     lat, lng = F.col("lat"), F.col("lng")
-    p = gps(spark, sf_dir).where((lat < 34.27) & (lng < BOX[3])).withColumn("region", (F.floor((lat - BOX[0]) / _DLAT) * _COLUMNS + F.floor((lng - BOX[1]) / _DLNG)).cast("long"))
+    own = F.when((lat < BOX[2]) & (lng < BOX[3]), lat)
+    p = gps(spark, sf_dir).withColumn("region", (F.floor((own - BOX[0]) / _DLAT) * _COLUMNS + F.floor((lng - BOX[1]) / _DLNG)).cast("long"))
     p = p.withColumn("b", geo.region_box(F.col("region"), BOX, 400, origin="sw"))
     y, x = geo.rc_to_geo(*geo.geo_to_rc(lat, lng, F.col("b"), 400), F.col("b"), 400)
     return p.select("oid", "seq", "region", r("b.min_lat", 8).alias("min_lat"), r("b.max_lat", 8).alias("max_lat"), r(y, 7).alias("lat"), r(x, 7).alias("lng"))
