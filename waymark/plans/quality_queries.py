@@ -192,7 +192,7 @@ def agg_topo_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark, sf_dir):
-    e = X.trail_edges(spark, sf_dir)
+    e = stored(X.trail_edges(spark, sf_dir), "trails")
     return e.where("eid % 10 >= 3"), e
 
 
