@@ -129,6 +129,19 @@ def test_lines(spark):
     assert got[504].n_removed == 4 and got[504].text == "x"
 
 
+def test_many_lines_gone_cost_once(spark):
+    import time
+
+    long = "\n".join(f"line {i}" for i in range(40_000))
+    half = "\n".join(f"line {i}" if i % 8 < 4 else f"own {i}" for i in range(40_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, half)], "doc_id long, text string")
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.perf_counter() - start < 15  # 22 s when each line was looked up among all that go
+    assert out[1].text == long and out[2].text == "" and out[2].n_removed == 40_000
+    assert out[3].text == "\n".join(f"own {i}" for i in range(40_000) if i % 8 >= 4) and out[3].n_removed == 20_000
+
+
 def test_lines_odd_rows(spark):
     df = clashing(odd(spark))
     out = line_dedup.dedup_lines(df)
