@@ -3,8 +3,8 @@
 A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the red, green and blue samples of an image 64
 pixels wide (wider, by powers of two, where 64 would make it higher than the format allows; rows are then filled up with
 zeros, which the stored payload length cuts off again). The media table is written to the shared folder and read back, so
-that features come from stored bytes. A share of the files (THOROUGH_SHARE) uses predictor, cross-colour, subtract green,
-colour cache and back-references, so the bytes read back pass through each of these in the decoder.
+that features come from stored bytes. Every payload of whatever size is stored with all tools: few colours with a palette, all
+others with one of the fourteen predictors, cross-colour, colour cache and back-references, every other with subtract green.
 
 Defined results: a null text counts as empty and so is 192 spaces. Equal texts give equal values. A payload beyond the
 format's largest image (805 MB) raises. Bytes that are not a lossless WebP file raise. Other columns are never looked at.
@@ -25,18 +25,18 @@ from . import webp_lossless
 from .common import materialize
 
 UNIT, WIDTH = 192, 64
-#: One payload in so many, by its checksum, of THOROUGH_BYTES at most, is stored with every tool of the format; the others
-#: by literals, prefix codes and palettes, which take a fiftieth of the time.
-THOROUGH_SHARE, THOROUGH_BYTES = 256, 1 << 16
+#: What files are stored with besides a predictor mode: cross-colour factors, subtract green, bits of the colour cache.
+SETTINGS = (((3, -5, 2), False, 4), ((-1, 4, -6), True, 5), ((2, 0, 7), False, 6), ((0, -3, 1), True, 7))
 
 
 def encode(payload: bytes) -> bytes:
-    """A WebP file of the payload; the choice of tools depends on the payload alone, so equal texts have equal files."""
+    """A WebP file of the payload. The choice of tools depends on the payload alone, so equal texts have equal files."""
     image, mark = to_image(payload), zlib.crc32(payload)
-    if mark % THOROUGH_SHARE or len(payload) > THOROUGH_BYTES:
-        return webp_lossless.encode(image)
-    mode = mark // THOROUGH_SHARE % 14
-    return webp_lossless.encode_thorough(image, modes=mode, cross=(mark >> 8 & 7, mark >> 11 & 7, -(mark >> 14 & 7)), subtract_green=bool(mark >> 17 & 1), cache_bits=1 + (mark >> 18) % 8, block_bits=4)
+    found = webp_lossless.palette(image)
+    if found is not None:
+        return webp_lossless.encode_palette(image, found)
+    cross, subtract_green, cache_bits = SETTINGS[mark // 14 % len(SETTINGS)]
+    return webp_lossless.encode_thorough(image, modes=mark % 14, cross=cross, subtract_green=subtract_green, cache_bits=cache_bits, block_bits=4)
 
 
 def to_image(payload: bytes) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Decoding: prefix codes (simple and normal), back-references, colour cache, several code groups, and the inverses of the
 predictor, cross-colour, subtract-green and palette transforms. Streams of literals only, under one code group, are decoded
-without a step per bit: the code at every bit position of a block is looked up at once, then the chain of pixels is followed.
+without a step per bit: the code at every bit position of a block is looked up at once, then the chain of pixels is followed;
+streams with back-references and a cache go a token a step.
 Images are arrays of shape (height, width, 4), red, green, blue, alpha.
 """
 
@@ -22,6 +23,7 @@ MAX_SIDE = 1 << 14
 #: Bits decoded at a time on the fast path, and the longest code the encoder makes.
 BLOCK_BITS, LIMIT = 1 << 16, 12
 EIGHT = np.arange(8)
+BLACK = np.array([0, 0, 0, 255], np.int16)
 #: Near places by distance, nearest columns first, right before left: the short distance codes.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -55,13 +57,17 @@ class Writer:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of the lengths, bit-reversed as they stand in the stream."""
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for s in np.lexsort((np.arange(len(lengths)), lengths)):
-        n = int(lengths[s])
-        if n:
-            code <<= n - last
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            code, last = code + 1, n
+    codes, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if not len(used):
+        return codes
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used].astype(np.int64)
+    # Each code is the sum of the shares of the code space before it.
+    code = np.cumsum((1 << 15) >> n) - ((1 << 15) >> n) >> 15 - n
+    back = np.zeros(len(n), np.int64)
+    for i in range(int(n[-1])):
+        back = np.where(i < n, back << 1 | code >> i & 1, back)
+    codes[used] = back
     return codes
 
 
@@ -88,7 +94,7 @@ class Code:
         return self.symbols[v]
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=64)
 def _code_of(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, np.int64))
 
@@ -101,7 +107,7 @@ def read_code(bits: Bits, size: int) -> Code:
         lengths[first] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return _code_of(lengths.tobytes())
     inner = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         inner[LENGTH_ORDER[i]] = bits.read(3)
@@ -186,27 +192,102 @@ def _codes(bits: Bits, cache_bits: int) -> list[Code]:
     return [read_code(bits, s) for s in sizes]
 
 
-#: Heads of streams that were read lately: many small images share one set of codes.
-_heads: OrderedDict[tuple[int, int], list[Code]] = OrderedDict()
+#: Heads of streams that were read lately, by their first bits: many small images share one set of codes.
+_heads: OrderedDict[tuple[int, int], tuple[int, int, list[Code]]] = OrderedDict()
 
 
 def _one_group(bits: Bits, cache_bits: int) -> list[Code]:
-    if cache_bits or bits.at & 7 != 3:
-        return _codes(bits, cache_bits)
-    for (n, value), codes in _heads.items():
-        end = bits.at + n
-        if int.from_bytes(bits.data[bits.at >> 3 : (end >> 3) + 1], "little") >> 3 & ((1 << n) - 1) == value:
-            bits.at = end
-            return codes
     start = bits.at
-    codes = _codes(bits, 0)
-    n = bits.at - start
-    _heads[n, int.from_bytes(bits.data[start >> 3 : (bits.at >> 3) + 1], "little") >> 3 & ((1 << n) - 1)] = codes
-    while len(_heads) > 4:
+    whole = lambda n: int.from_bytes(bits.data[start >> 3 : (start + n >> 3) + 1], "little") >> (start & 7) & ((1 << n) - 1)
+    key = (cache_bits, bits.peek(48))
+    if key in _heads:
+        n, value, codes = _heads[key]
+        if whole(n) == value:
+            bits.at = start + n
+            return codes
+    codes = _codes(bits, cache_bits)
+    _heads[key] = bits.at - start, whole(bits.at - start), codes
+    while len(_heads) > 16:
         _heads.popitem(last=False)
     return codes
 
 
+def _extras(first: int, symbol: int) -> tuple[int, int]:
+    """Number of extra bits of a length or distance symbol, and the value that they add to."""
+    v = symbol - first
+    return (0, v + 1) if v < 4 else (v - 2 >> 1, ((2 + (v & 1)) << (v - 2 >> 1)) + 1)
+
+
+LENGTHS, DISTANCES = [_extras(0, v) for v in range(N_LENGTH)], [_extras(0, v) for v in range(N_DISTANCE)]
+
+
+def _tokens(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """n pixels under one group of codes: literals, back-references and cache indices, a token a step, on plain integers. The
+    cache is brought up to date when it is read."""
+    (gs, gl, gm), (rs, rl, rm), (bs, bl, bm), (xs, xl, xm), (ds, dl, dm) = ((c.symbols, c.lengths, (1 << c.bits) - 1) for c in codes)
+    data, at, whole = bits.data + bytes(16), bits.at, int.from_bytes
+    out: list[int] = []
+    add, done = out.append, 0
+    cache, cached, shift = [0] * (1 << cache_bits), 0, 32 - cache_bits
+    end = len(bits.data) << 3
+    while done < n:
+        if at > end:
+            raise ValueError("bit stream too short")
+        v = whole(data[at >> 3 : (at >> 3) + 10], "little") >> (at & 7)
+        k = v & gm
+        s, m = gs[k], gl[k]
+        at += m
+        v >>= m
+        if s < 256:
+            k = v & rm
+            m = rl[k]
+            v >>= m
+            j = v & bm
+            m, v = m + bl[j], v >> bl[j]
+            i = v & xm
+            at += m + xl[i]
+            add(xs[i] << 24 | rs[k] << 16 | s << 8 | bs[j])
+            done += 1
+        elif s < 256 + N_LENGTH:
+            extra, length = LENGTHS[s - 256]
+            length += v & ((1 << extra) - 1)
+            v >>= extra
+            k = v & dm
+            v >>= dl[k]
+            far, d = DISTANCES[ds[k]]
+            d += v & ((1 << far) - 1)
+            at += extra + dl[k] + far
+            if d > 120:
+                d -= 120
+            else:
+                x, y = NEAR[d - 1]
+                d = max(1, x + y * width)
+            if d > done or done + length > n:
+                raise ValueError("back-reference outside of the image")
+            if d >= length:
+                out += out[done - d : done - d + length]
+            else:
+                out += (out[done - d :] * (length // d + 1))[:length]
+            done += length
+        else:
+            for c in out[cached:]:
+                cache[(c * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = c
+            cached = done
+            add(cache[s - 256 - N_LENGTH])
+            done += 1
+    bits.at = at
+    return np.array(out, "<u4").view(np.uint8).reshape(n, 4)[:, [2, 1, 0, 3]]
+
+
+def _previous(keys: np.ndarray) -> np.ndarray:
+    """The last place before each with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as an array (height, width, 4)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -219,6 +300,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [_codes(bits, cache_bits) for _ in range(int(groups_of.max()) + 1)] if groups_of is not None else [_one_group(bits, cache_bits)]
     if groups_of is None and not cache_bits and groups[0][0].largest < 256:
         return _literals(bits, groups[0][:4], n).reshape(height, width, 4)
+    if groups_of is None:
+        return _tokens(bits, groups[0], n, width, cache_bits).reshape(height, width, 4)
     out = np.zeros((n, 4), np.uint8)
     cache, cached = np.zeros((1 << cache_bits, 4), np.uint8), 0
 
@@ -270,13 +353,10 @@ def _avg(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
 
-def _select(left: np.ndarray, top: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    return left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
-
-
-def _predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _guess(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The prediction of a mode from four neighbours, for arrays of pixels (16-bit, colours last)."""
     if mode == 0:
-        return np.array([0, 0, 0, 255])
+        return np.broadcast_to(BLACK, left.shape)
     if mode <= 4:
         return (left, top, right, corner)[mode - 1]
     if mode <= 10:
@@ -285,48 +365,122 @@ def _predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, r
             lambda: _avg(corner, top), lambda: _avg(top, right), lambda: _avg(_avg(left, corner), _avg(top, right)),
         )[mode - 5]()
     if mode == 11:
-        return _select(left, top, corner)
+        nearer = np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True)
+        return np.where(nearer, left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     half = _avg(left, top)
-    return np.clip(half + ((half - corner) / 2).astype(int), 0, 255)
+    away = half - corner
+    return np.clip(half + (away + (away < 0) >> 1), 0, 255)  # halved towards zero
 
 
-def _predictions(modes: np.ndarray, px: np.ndarray, delta: np.ndarray | None) -> np.ndarray:
-    """With delta, the image whose differences from its predictions are delta, else the differences of px."""
+def _differences(modes: np.ndarray, px: np.ndarray) -> np.ndarray:
+    """px less its predictions; modes per pixel. Every neighbour is known, so the whole image is one step for each mode."""
     h, w = modes.shape
-    out = np.zeros((h, w, 4), int)
-    src = out if delta is not None else px.astype(int)
-    above = frozenset((0, 2, 3, 4, 8, 9))
-    for y in range(h):
-        left_done = 0
-        if y == 0:
-            if delta is None:
-                out[0, 0], out[0, 1:] = src[0, 0] - [0, 0, 0, 255], src[0, 1:] - src[0, :-1]
+    src = px.astype(np.int16)
+    out = src.copy()
+    out[0, 0] -= BLACK
+    out[0, 1:] -= src[0, :-1]
+    out[1:, 0] -= src[:-1, 0]
+    if h > 1 and w > 1:
+        # Right above the last pixel of a row stands the first of that row.
+        right = np.concatenate([src[:-1, 2:], src[1:, :1]], 1)
+        around, own = (src[1:, :-1], src[:-1, 1:], src[:-1, :-1], right), modes[1:, 1:]
+        for m in np.unique(own).tolist():
+            here = own == m
+            if here.all():
+                out[1:, 1:] -= _guess(m, *around)
             else:
-                row = delta[0].astype(int)
-                row[0] += [0, 0, 0, 255]
-                out[0] = np.cumsum(row, 0) & 255
-            continue
-        top = src[y - 1]
-        left_done = 1
-        if delta is None:
-            out[y, 0] = src[y, 0] - top[0]
+                out[1:, 1:][here] -= _guess(m, *(x[here] for x in around))
+    return out.astype(np.uint8)
+
+
+def _steps(mode: int, left: list[int], top: list[list[int]], corner: list[list[int]], right: list[list[int]], delta: list[list[int]]) -> list[list[int]]:
+    """Pixels of a part of a row whose mode looks at the pixel before, each list for one colour, one pixel after another."""
+    if mode == 11:
+        out = [[] for _ in delta]
+        for d, t, c in zip(zip(*delta), zip(*top), zip(*corner)):
+            to_left = to_top = 0
+            for x, y, z in zip(left, t, c):
+                to_left += abs(y - z)
+                to_top += abs(x - z)
+            left = [(x + y) & 255 for x, y in zip(d, left if to_left < to_top else t)]
+            for o, x in zip(out, left):
+                o.append(x)
+        return out
+    out = []
+    for v, ts, cs, rs, ds in zip(left, top, corner, right, delta):
+        row = []
+        add = row.append
+        if mode == 1:
+            for d in ds:
+                v = (v + d) & 255
+                add(v)
+        elif mode == 5:
+            for d, t, r in zip(ds, ts, rs):
+                v = ((((v + r) >> 1) + t >> 1) + d) & 255
+                add(v)
+        elif mode == 6:
+            for d, c in zip(ds, cs):
+                v = ((v + c >> 1) + d) & 255
+                add(v)
+        elif mode == 7:
+            for d, t in zip(ds, ts):
+                v = ((v + t >> 1) + d) & 255
+                add(v)
+        elif mode == 10:
+            for d, t, c, r in zip(ds, ts, cs, rs):
+                v = (((v + c >> 1) + (t + r >> 1) >> 1) + d) & 255
+                add(v)
+        elif mode == 12:
+            for d, t, c in zip(ds, ts, cs):
+                v += t - c
+                v = ((0 if v < 0 else 255 if v > 255 else v) + d) & 255
+                add(v)
         else:
-            out[y, 0] = delta[y, 0] + top[0] & 255
-        # The pixel right above the last one is the first of this row.
-        right_of = lambda x: top[x + 1] if x + 1 < w else src[y, 0]  # noqa: B023, E731
-        if w > 1 and set(modes[y, 1:].tolist()) <= above:
-            right = np.concatenate([top[2:], src[y, :1]])
-            m = modes[y, 1:, None]
-            black = np.broadcast_to(np.array([0, 0, 0, 255]), right.shape)
-            guess = np.select([m == 0, m == 2, m == 3, m == 4, m == 8], [black, top[1:], right, top[:-1], _avg(top[:-1], top[1:])], _avg(top[1:], right))
-            out[y, 1:] = src[y, 1:] - guess if delta is None else delta[y, 1:] + guess & 255
-            continue
-        for x in range(left_done, w):
-            guess = _predict(int(modes[y, x]), src[y, x - 1], top[x], top[x - 1], right_of(x))
-            out[y, x] = src[y, x] - guess if delta is None else delta[y, x] + guess & 255
-    return (out & 255).astype(np.uint8)
+            for d, t, c in zip(ds, ts, cs):
+                v = v + t >> 1
+                away = v - c
+                v += away >> 1 if away >= 0 else -(-away >> 1)
+                v = ((0 if v < 0 else 255 if v > 255 else v) + d) & 255
+                add(v)
+        out.append(row)
+    return out
+
+
+def _summed(modes: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """The image whose differences from its predictions are delta. Modes that look only at the row above take a row at once."""
+    h, w = modes.shape
+    out = delta.copy()
+    out[0, 0] += BLACK.astype(np.uint8)
+    out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], 0, dtype=np.uint8)
+    if h == 1 or w == 1:
+        return out
+    first = int(modes[1, 1])
+    if first <= 2 and (modes[1:, 1:] == first).all():
+        if first == 0:
+            out[1:, 1:] += BLACK.astype(np.uint8)
+        elif first == 1:
+            out[1:] = np.cumsum(out[1:], 1, dtype=np.uint8)
+        else:
+            out[:, 1:] = np.cumsum(out[:, 1:], 0, dtype=np.uint8)
+        return out
+    colours = slice(None) if delta[..., 3].any() else slice(3)  # without differences, alpha is 255 under every mode
+    if colours.stop:
+        out[..., 3] = 255
+    ends = np.diff(modes[:, 1:].astype(np.int16), axis=1) != 0
+    for y in range(1, h):
+        cuts = [1, *(np.flatnonzero(ends[y]) + 2).tolist(), w]
+        for i, j in zip(cuts, cuts[1:]):
+            mode, top, corner = int(modes[y, i]), out[y - 1, i:j, colours].astype(np.int16), out[y - 1, i - 1 : j - 1, colours].astype(np.int16)
+            right = np.concatenate([out[y - 1, i + 1 : j + 1, colours], out[y, :1, colours][: j == w]]).astype(np.int16)
+            if mode in (0, 2, 3, 4, 8, 9):
+                out[y, i:j, colours] += (_guess(mode, top, top, corner, right) if mode else BLACK[colours]).astype(np.uint8)
+            else:
+                part = _steps(mode, out[y, i - 1, colours].tolist(), top.T.tolist(), corner.T.tolist(), right.T.tolist(), delta[y, i:j, colours].T.tolist())
+                out[y, i:j, colours] = np.array(part, np.uint8).T
+    return out
 
 
 def _cross(sub: np.ndarray, px: np.ndarray, inverse: bool) -> np.ndarray:
@@ -369,7 +523,7 @@ def decode(data: bytes) -> np.ndarray:
     px = read_image(bits, width, height, True)
     for kind, size, w, sub in reversed(undo):
         if kind == 0:
-            px = _predictions(_blocks(sub[..., 1], size, height, w), px, px)
+            px = _summed(_blocks(sub[..., 1], size, height, w), px)
         elif kind == 1:
             px = _cross(_blocks(sub, size, height, w), px, True)
         elif kind == 2:
@@ -548,18 +702,28 @@ def _start(width: int, height: int) -> Writer:
     return w
 
 
+def _colours(rgb: np.ndarray) -> np.ndarray:
+    return rgb[..., 0].astype(np.uint32) << np.uint32(16) | rgb[..., 1].astype(np.uint32) << np.uint32(8) | rgb[..., 2]
+
+
+def palette(rgb: np.ndarray) -> np.ndarray | None:
+    """The colours of an image, sorted, if they are few enough to be worth a palette."""
+    colours = _colours(rgb).ravel()
+    few = np.unique(colours[:1024])
+    if len(colours) > 1024 and len(few) <= 256:
+        few = np.unique(colours)
+    return few if len(few) <= 256 and len(few) * 4 <= len(colours) else None
+
+
 def encode(rgb: np.ndarray) -> bytes:
     """A lossless WebP file of an image (height, width, 3). Few colours go to a palette; small images share one prefix code."""
     height, width, _ = rgb.shape
     flat = rgb.reshape(-1, 3)
     n = len(flat)
+    few = palette(rgb)
+    if few is not None:
+        return encode_palette(rgb, few)
     w = _start(width, height)
-    colours = flat[:, 0].astype(np.uint32) << np.uint32(16) | flat[:, 1].astype(np.uint32) << np.uint32(8) | flat[:, 2]
-    few = np.unique(colours[:1024])
-    if n > 1024 and len(few) <= 256:
-        few = np.unique(colours)
-    if len(few) <= 256 and len(few) * 4 <= n:
-        return _with_palette(w, colours.reshape(height, width), few)
     if n < OWN_CODE:
         head, size = _shared_head()
         w.put(head, size)
@@ -578,14 +742,22 @@ def encode(rgb: np.ndarray) -> bytes:
 
 def _sub_image(w: Writer, px: np.ndarray) -> Writer:
     """Appends a small image of literals."""
+    if (px == px[0]).all():  # five codes of one symbol each, and no bits for the pixels
+        w.put(0, 1)
+        for v in (*px[0, [1, 0, 2, 3]].tolist(), 0):
+            w.put(0b101 | v << 3, 11)
+        return w
     values, sizes = _image(w, px, False)
     for v, n in zip(values.tolist(), sizes.tolist(), strict=True):
         w.put(v, n)
     return w
 
 
-def _with_palette(w: Writer, colours: np.ndarray, few: np.ndarray) -> bytes:
+def encode_palette(rgb: np.ndarray, few: np.ndarray) -> bytes:
+    """A file whose pixels are indices into the given sorted colours, several to a stored pixel where they are 16 or fewer."""
+    colours = _colours(rgb)
     height, width = colours.shape
+    w = _start(width, height)
     w.put(0b111, 3)  # a transform follows: colour indexing
     w.put(len(few) - 1, 8)
     table = np.stack([few >> 16 & 255, few >> 8 & 255, few & 255, np.full(len(few), 255)], 1).astype(np.uint8)
@@ -598,13 +770,12 @@ def _with_palette(w: Writer, colours: np.ndarray, few: np.ndarray) -> bytes:
     px = np.zeros((len(green), 4), np.uint8)
     px[:, 1], px[:, 3] = green, 255
     w.put(0, 1)
-    values, sizes = _image(w, px, True)
-    return _file(_pack(values, sizes, w))
+    return _file(_written(w, px, width + per - 1 >> pack, 4))
 
 
 def encode_thorough(rgb: np.ndarray, modes: np.ndarray | None = None, cross: tuple[int, int, int] | None = None, subtract_green: bool = False, cache_bits: int = 4, block_bits: int = 2) -> bytes:
     """Like encode, with the tools asked for: predictor modes (one per block), cross-colour factors, subtract green, a colour
-    cache, and back-references to the nearest equal run. Slow; for pictures rather than texts."""
+    cache, and back-references to the nearest equal run. Small predicted images share their prefix codes."""
     height, width, _ = rgb.shape
     px = np.concatenate([rgb, np.full((height, width, 1), 255, np.uint8)], 2)
     w = _start(width, height)
@@ -619,7 +790,7 @@ def encode_thorough(rgb: np.ndarray, modes: np.ndarray | None = None, cross: tup
         w.put(0b001, 3)
         w.put(block_bits - 2, 3)
         _sub_image(w, sub.reshape(-1, 4))
-        px = _predictions(_blocks(sub[..., 1], block_bits, height, width), px, None)
+        px = _differences(_blocks(sub[..., 1], block_bits, height, width), px)
     if cross is not None:
         sub = np.zeros((*sides, 4), np.uint8)
         sub[...] = [*(c & 255 for c in cross), 255]
@@ -628,61 +799,120 @@ def encode_thorough(rgb: np.ndarray, modes: np.ndarray | None = None, cross: tup
         _sub_image(w, sub.reshape(-1, 4))
         px = _cross(_blocks(sub, block_bits, height, width), px, False)
     w.put(0, 1)
-    flat = px.reshape(-1, 4)
-    argb = _argb(flat)
-    place = ((argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).tolist() if cache_bits else []
-    keys, seen, cache, tokens, i = argb.tolist(), {}, {}, [], 0
-    while i < len(keys):
-        at, run = seen.get(tuple(keys[i : i + 3]), -1), 0
-        if at >= 0:
-            while i + run < len(keys) and run < 4096 and keys[at + run] == keys[i + run]:
-                run += 1
-        step = 1
-        if run >= 3:
-            tokens.append(("copy", run, i - at))
-            step = run
-        elif cache_bits and cache.get(place[i]) == keys[i]:
-            tokens.append(("cache", place[i], 0))
-        else:
-            tokens.append(("pixel", i, 0))
-        for j in range(i, i + step):
-            seen[tuple(keys[j : j + 3])] = j
-            if cache_bits:
-                cache[place[j]] = keys[j]
-        i += step
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
-
-    def split(value: int) -> tuple[int, int, int]:
-        v = value - 1
-        if v < 4:
-            return v, 0, 0
-        extra = v.bit_length() - 2
-        return 2 * extra + 2 + (v >> extra & 1), v & ((1 << extra) - 1), extra
-
-    counts = [np.zeros(256 + N_LENGTH + (1 << cache_bits if cache_bits else 0), int), *[np.zeros(256, int) for _ in range(3)], np.zeros(N_DISTANCE, int)]
-    symbols = []
-    for kind, a, d in tokens:
-        if kind == "pixel":
-            r, g, b, alpha = flat[a].tolist()
-            symbols.append([(0, g, 0, 0), (1, r, 0, 0), (2, b, 0, 0), (3, alpha, 0, 0)])
-        elif kind == "cache":
-            symbols.append([(0, 256 + N_LENGTH + a, 0, 0)])
-        else:
-            s, t = split(a), split(near.get(d, d + 120))
-            symbols.append([(0, 256 + s[0], *s[1:]), (4, *t)])
-        for k, s, *_ in symbols[-1]:
-            counts[k][s] += 1
-    w.put(1, 1) if cache_bits else w.put(0, 1)
+    return _file(_written(w, px.reshape(-1, 4), width, cache_bits, None if modes is None else not np.any(modes) and not subtract_green))
+
+
+#: Longest copy and farthest source that the format can tell.
+MAX_COPY, MAX_FAR = 4096, (1 << 20) - 120
+
+
+def _copies(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of the runs that are copied: each place looks at the last one before with the same three
+    pixels, neighbours with one distance are one run, and runs are taken greedily from the left."""
+    k = keys.astype(np.uint64)
+    before = _previous(k[:-2] * np.uint64(0x9E3779B97F4A7C15) + k[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + k[2:] * np.uint64(0x165667B19E3779F9)) if len(k) > 2 else np.zeros(0, np.int64)
+    far = np.where(before >= 0, np.arange(len(before)) - before, 0)
+    for j in range(3):  # hashes may be equal by chance
+        far[keys[np.arange(len(far)) + j] != keys[np.arange(len(far)) - far + j]] = 0
+    far[far > MAX_FAR] = 0
+    cuts = np.flatnonzero(np.diff(far, prepend=0, append=0))
+    out, at = [], 0
+    for i, j, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), far[cuts[:-1]].tolist()):
+        i = max(i, at)
+        if d and i < j:
+            at = j + 2
+            out += [(x, min(MAX_COPY, at - x), d) for x in range(i, at, MAX_COPY)]
+    start, length, d = np.array(out, np.int64).reshape(-1, 3).T
+    return start, length, d
+
+
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of extra bits and extra bits of lengths or distances."""
+    v = values - 1
+    extra = np.maximum(np.frexp(v)[1].astype(np.int64) - 2, 0)
+    return np.where(v < 4, v, 2 * extra + 2 + (v >> extra & 1)), np.where(v < 4, 0, extra), np.where(v < 4, 0, v & ((1 << extra) - 1))
+
+
+@functools.lru_cache(maxsize=16)
+def _near_codes(width: int) -> np.ndarray:
+    """The short code of each distance that has one, else 0."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for k, (x, y) in reversed(list(enumerate(NEAR))):
+        out[max(1, x + y * width)] = k + 1
+    return out
+
+
+#: Differences within prose are shared out in bands by their size, so that the codes' own lengths take few bits.
+BANDS = (0, 1, 24, 56, 88, 129)
+
+
+@functools.lru_cache(maxsize=32)
+def _shared_codes(cache_bits: int, raw: bool) -> tuple[list[np.ndarray], list[np.ndarray], int, int]:
+    """Code lengths, codes and head for plain prose (raw) or differences within it (parameters that small predicted images share)."""
+    p = _typical() / _typical().sum()
+    if not raw:
+        apart, size = np.array([(p * np.roll(p, -k)).sum() for k in range(256)]), np.minimum(np.arange(256), 256 - np.arange(256))
+        band = np.searchsorted(BANDS, size, "right")
+        p = (np.bincount(band, apart) / np.maximum(np.bincount(band), 1))[band] + 1 / 65536
+    green = np.concatenate([p, np.repeat(0.02 * 0.5 ** np.arange(6), 4), np.full(1 << cache_bits if cache_bits else 0, 0.03 / (1 << cache_bits))])
+    whole = np.zeros(256, np.int64)
+    whole[0] = 1
+    lengths = [code_lengths(green), code_lengths(p), code_lengths(p), whole, code_lengths(np.ones(N_DISTANCE))]
+    w = Writer()
+    for n in lengths:
+        write_code(w, n)
+    return lengths, [canonical(n) for n in lengths], w.value, w.n
+
+
+def _written(w: Writer, px: np.ndarray, width: int, cache_bits: int, raw: bool | None = None) -> bytes:
+    """The stream of an image: the head, then literals, cache indices and back-references to equal runs. raw: whether a small
+    image takes the shared codes of prose itself or of differences; without it, and for large ones, codes are its own."""
+    keys = _argb(px)
+    start, length, d = _copies(keys)
+    covered = np.zeros(len(keys) + 1, np.int64)
+    np.add.at(covered, start, 1)
+    np.add.at(covered, start + length, -1)
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    slot = np.zeros(len(keys), np.int64)
+    cached = np.zeros(len(keys), bool)
+    if cache_bits:
+        slot = ((keys * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        before = _previous(slot)
+        cached = (before >= 0) & (keys[before] == keys)
+    hits, plain = alone[cached[alone]], alone[~cached[alone]]
+    g, r, b, a = (px[plain, k].astype(np.int64) for k in (1, 0, 2, 3))
+    near = _near_codes(width)
+    short = near[np.minimum(d, len(near) - 1)] * (d < len(near))
+    long_s, long_n, long_x = _symbols(length)
+    far_s, far_n, far_x = _symbols(np.where(short > 0, short, d + 120))
+    greens = (g, 256 + long_s, 256 + N_LENGTH + slot[hits])
+    if raw is not None and len(keys) < OWN_CODE and not a.any():
+        lengths, codes, head, n_head = _shared_codes(cache_bits, raw)
+    else:
+        size = 256 + N_LENGTH + (1 << cache_bits if cache_bits else 0)
+        lengths = [code_lengths(np.bincount(x, minlength=m)) for x, m in ((np.concatenate(greens), size), (r, 256), (b, 256), (a, 256), (far_s, N_DISTANCE))]
+        codes, own = [canonical(n) for n in lengths], Writer()
+        for n in lengths:
+            write_code(own, n)
+        head, n_head = own.value, own.n
+    w.put(1 if cache_bits else 0, 1)
     if cache_bits:
         w.put(cache_bits, 4)
     w.put(0, 1)
-    lengths = [code_lengths(c) for c in counts]
-    for n in lengths:
-        write_code(w, n)
-    codes = [canonical(n) for n in lengths]
-    for group in symbols:
-        for k, s, extra, n_extra in group:
-            if np.count_nonzero(lengths[k]) > 1:
-                w.put(int(codes[k][s]), int(lengths[k][s]))
-            w.put(extra, n_extra)
-    return _file(w.value.to_bytes(w.n // 8 + 1, "little")[: (w.n + 7) >> 3])
+    w.put(head, n_head)
+    codes = [c.astype(np.uint64) for c in codes]
+    taken = [n * (np.count_nonzero(n) > 1) for n in lengths]
+
+    def joined(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        value, size = np.zeros(len(parts[0][0]), np.uint64), np.zeros(len(parts[0][0]), np.int64)
+        for v, n in parts:
+            value |= np.where(n > 0, v.astype(np.uint64), np.uint64(0)) << size.astype(np.uint64)
+            size = size + n
+        return value, size
+
+    coded = lambda k, symbols: (codes[k][symbols], taken[k][symbols])
+    literal = joined(coded(0, greens[0]), coded(1, r), coded(2, b), coded(3, a))
+    copy = joined(coded(0, greens[1]), (long_x, long_n), coded(4, far_s), (far_x, far_n))
+    order = np.argsort(np.concatenate([plain, start, hits]), kind="stable")
+    value, size = (np.concatenate(x)[order] for x in zip(literal, copy, coded(0, greens[2])))
+    return _pack(value, size, w)
