@@ -232,6 +232,27 @@ def _edges(spark, pairs):
     return spark.createDataFrame(rows, "region long, eid long, u long, v long, coords array<struct<lat:double,lng:double>>, length double")
 
 
+def test_extracts_are_read_and_placed(spark, tmp_path):
+    """References keep their order and repeats; a missing node takes its way along; tags of footways and unknown ones are told apart."""
+    from waymark.sources import maps
+
+    xml = """<?xml version="1.0"?><osm>
+    <node id="1" lat="34.0" lon="108.0"/><node id="2" lat="34.1" lon="108.1"><tag k="highway" v="crossing"/></node>
+    <node id="3" lat="34.2" lon="108.2"/><node lat="1" lon="1"/><node id="5"/>
+    <way id="10"><nd ref="3"/><nd ref="1"/><nd ref="2"/><nd ref="3"/><tag k="highway" v="primary"/><tag k="building" v="yes"/></way>
+    <way id="11"><nd ref="1"/><nd ref="9"/><tag k="highway" v="primary"/></way>
+    <way id="12"><nd ref="1"/><nd ref="2"/><tag k="highway" v="footway"/></way>
+    <way id="13"><nd ref="1"/><nd ref="2"/><tag k="name" v="&lt;a &amp; b&gt;"/></way>
+    <way id="14"><nd ref="1"/><nd ref="5"/><tag k="highway" v="residential"/></way>
+    <way id="15"><nd ref="2"/><nd ref="1"/><tag k="building" v="yes"/><tag k="highway" v="track"/></way>
+    <way id="16"/></osm>"""
+    (tmp_path / "map.osm").write_text(xml)
+    nodes, ways, refs = maps.read_extract(spark, str(tmp_path))
+    assert (nodes.count(), ways.count(), refs.count()) == (4, 7, 14)
+    got = {(r.way, r.kind): [round(c.lat, 1) for c in r.coords] for r in maps.placed_ways(nodes, ways, refs).collect()}
+    assert got == {(10, "road"): [34.2, 34.0, 34.1, 34.2], (10, "building"): [34.2, 34.0, 34.1, 34.2], (15, "road"): [34.1, 34.0]}
+
+
 def test_compress_chains(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (1, 7), (1, 8), (10, 11), (11, 12), (10, 12)]
     out = {tuple(min(r.nodes, r.nodes[::-1])) for r in network.compress(_edges(spark, pairs)).collect()}

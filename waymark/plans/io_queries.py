@@ -37,11 +37,45 @@ def r(c, digits: int = 6):
 SELECT way, 'road' AS kind, n FROM w JOIN n USING (way) WHERE highway NOT IN ('footway', 'service') AND n >= 2 UNION ALL SELECT way, 'building', n FROM w JOIN n USING (way) WHERE building IS NOT NULL AND n >= 3""")
 def src_map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tagged ways, their lines as node references."""
+    return maps.roads_and_buildings(_ways(spark, sf_dir), X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way")))
+
+
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = X.table(spark, sf_dir, "orders")
     kinds = {"1-URGENT": "footway", "2-HIGH": "residential", "3-MEDIUM": "service", "5-LOW": "primary"}
     highway = F.coalesce(*[F.when(F.col("o_orderpriority") == k, v) for k, v in kinds.items()])
-    ways = o.select(F.col("o_orderkey").alias("way"), highway.alias("highway"), F.when(F.col("o_orderstatus") == "F", "yes").alias("building"))
-    return maps.roads_and_buildings(ways, X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way")))
+    return o.select(F.col("o_orderkey").alias("way"), highway.alias("highway"), F.when(F.col("o_orderstatus") == "F", "yes").alias("building"))
+
+
+@query(f"""WITH node AS (
+    SELECT p_partkey AS node, 34.0 + p_partkey * 7919 % 10007 / 100000.0 AS lat, 108.0 + p_partkey * 104729 % 10009 / 100000.0 AS lng
+    FROM part WHERE p_size > 5),
+refs AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem),
+n AS (SELECT way, count(*) AS n FROM refs GROUP BY way),
+w AS (
+    SELECT o_orderkey AS way, o_orderstatus = 'F' AS building,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'footway' WHEN '2-HIGH' THEN 'residential' WHEN '3-MEDIUM' THEN 'service' WHEN '5-LOW' THEN 'primary' END AS highway
+    FROM orders),
+kept AS (
+    SELECT way, 'road' AS kind, n FROM w JOIN n USING (way) WHERE highway NOT IN ('footway', 'service') AND n >= 2
+    UNION ALL SELECT way, 'building', n FROM w JOIN n USING (way) WHERE building AND n >= 3),
+hops AS (
+    SELECT way, pos, lat, lng, lag(lat) OVER s AS lat0, lag(lng) OVER s AS lng0 FROM refs JOIN node USING (node) WINDOW s AS (PARTITION BY way ORDER BY pos)),
+lines AS (
+    SELECT way, count(*) AS placed, arg_min(lat, pos) AS lat, arg_max(lng, pos) AS lng, coalesce(sum({S.hav('lat0', 'lng0', 'lat', 'lng')}) FILTER (lat0 IS NOT NULL), 0) AS length
+    FROM hops GROUP BY way)
+SELECT way, kind, n, round(lat, 6) AS start_lat, round(lng, 6) AS end_lng, round(length, 1) AS length FROM kept JOIN lines USING (way) WHERE placed = n""")
+def src_map_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes (small ones have no place), orders as ways, written as an extract, read back and placed."""
+    path = scratch_path(spark, "extract")
+    key = F.col("p_partkey")
+    at = lambda base, step, most: F.when(F.col("p_size") > 5, base + key * step % most / F.lit(100000.0))
+    nodes = X.table(spark, sf_dir, "part").select(key.alias("node"), at(34.0, 7919, 10007).alias("lat"), at(108.0, 104729, 10009).alias("lng"))
+    refs = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("node"))
+    maps.write_extract(nodes, _ways(spark, sf_dir), refs, path)
+    ways = maps.placed_ways(*maps.read_extract(spark, path))
+    first, last = F.element_at("coords", 1), F.element_at("coords", -1)
+    return ways.select("way", "kind", "n", r(first["lat"]).alias("start_lat"), r(last["lng"]).alias("end_lng"), r(geo.length_m(F.col("coords")), 1).alias("length"))
 
 
 @query(f"WITH {TRAILS}, k AS (SELECT region * 1000 + eid AS id, y1, x1, y2, x2 FROM te), m AS (SELECT max(id) AS id, y1, x1, y2, x2 FROM k GROUP BY round(y1, 7), round(x1, 7), round(y2, 7), round(x2, 7), y1, x1, y2, x2), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS eid FROM k) SELECT n.eid::BIGINT AS eid, round(y1, 6) AS lat, round({S.hav('y1', 'x1', 'y2', 'x2')}, 1) AS length FROM m JOIN n USING (id)")

@@ -20,6 +20,50 @@ def roads_and_buildings(ways: DataFrame, refs: DataFrame) -> DataFrame:
     return roads.unionByName(w.where(F.col("building").isNotNull() & (F.col("n") >= 3)).select("way", F.lit("building").alias("kind"), "n"))
 
 
+#: What an extract's elements hold: identifiers, places, references in order, tags.
+NODE = "_id long, _lat double, _lon double"
+WAY = "_id long, nd array<struct<_ref: long>>, tag array<struct<_k: string, _v: string>>"
+
+
+def write_extract(nodes: DataFrame, ways: DataFrame, refs: DataFrame, path: str) -> None:
+    """A map extract in XML: nodes (node, lat, lng) and ways (way, highway, building) with their refs (way, pos, node) in order.
+    Nodes without a place and tags without a value are not written."""
+    placed = nodes.where("node IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
+    placed.select(F.col("node").alias("_id"), F.col("lat").alias("_lat"), F.col("lng").alias("_lon")).write.xml(f"{path}/nodes", rowTag="node", rootTag="osm")
+    nd = refs.groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: F.struct(x["node"].alias("_ref"))).alias("nd"))
+    tag = F.filter(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(k).alias("_v")) for k in ("highway", "building")]), lambda t: t["_v"].isNotNull())
+    ways.join(nd, "way", "left").select(F.col("way").alias("_id"), "nd", tag.alias("tag")).write.xml(f"{path}/ways", rowTag="way", rootTag="osm")
+
+
+def read_extract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes (node, lat, lng), ways (way, highway, building) and refs (way, pos, node) of the map extracts in XML at or below path.
+
+    Elements are found by their tag in splits of the files, so one large extract is read by many tasks. Elements without an
+    identifier are skipped; of a tag given twice the last value stays.
+    """
+    read = lambda tag, schema: spark.read.schema(schema).option("recursiveFileLookup", True).xml(path, rowTag=tag).where("_id IS NOT NULL")
+    nodes = read("node", NODE).select(F.col("_id").alias("node"), F.col("_lat").alias("lat"), F.col("_lon").alias("lng"))
+    raw = read("way", WAY)
+    value = lambda k: F.try_element_at(F.filter("tag", lambda t: t["_k"] == k), F.lit(-1))["_v"].alias(k)
+    ways = raw.select(F.col("_id").alias("way"), value("highway"), value("building"))
+    refs = raw.select(F.col("_id").alias("way"), F.posexplode("nd").alias("pos", "nd")).select("way", "pos", F.col("nd._ref").alias("node"))
+    return nodes, ways, refs
+
+
+def placed_ways(nodes: DataFrame, ways: DataFrame, refs: DataFrame) -> DataFrame:
+    """way, kind, n, coords: roads and buildings as lists of struct(lat, lng) in the order of their references. As documented, a
+    way with any reference to a node that is missing or has no place is left out. Of a node told twice the largest place counts.
+
+    Only references of ways that are kept meet the nodes, and a node meets each of its references once.
+    """
+    kept = roads_and_buildings(ways, refs)
+    at = nodes.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("node").agg(F.max(F.struct("lat", "lng")).alias("at"))
+    used = refs.join(kept.select("way").distinct(), "way", "left_semi").join(at, "node")
+    lines = used.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("_points"))
+    coords = F.transform("_points", lambda x: x["at"]).alias("coords")
+    return kept.join(lines, "way").where(F.size("_points") == F.col("n")).select("way", "kind", "n", coords)
+
+
 def write_network(edges: DataFrame, path: str) -> None:
     """eid, length, wkt as CSV."""
     edges.select("eid", "length", geo.wkt_line(F.col("coords")).alias("wkt")).write.csv(path, header=True)
