@@ -108,6 +108,37 @@ def test_media_files_use_every_tool(monkeypatch):
     assert webp_lossless.decode(media.encode(payload))[..., :3].tobytes()[: len(payload)] == payload
 
 
+def test_files_are_read_together():
+    """Many files at once give each file's own pixels: palettes, one colour, codes of their own, all modes and cache sizes."""
+    rng = np.random.default_rng(11)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(300)]
+    payloads = [media.padded((" ".join(words[k] for k in rng.integers(0, 300, 5 + 9 * i)) + "\n" + words[0] * (i % 5) * 9).encode()) for i in range(150)]
+    payloads += [b" " * 192, b"ab" * 96 * 40, bytes(range(15)) * 64 * 9, bytes(192), rng.integers(0, 256, 192 * 99).astype(np.uint8).tobytes()]
+    files = [media.encode(p) for p in payloads]
+    rgb = rng.integers(0, 256, (17, 23, 3)).astype(np.uint8)
+    files += [webp_lossless.encode_thorough(rgb // 64, modes=rng.integers(0, 14, (5, 6)), cache_bits=c) for c in (0, 1, 8, 9, 11)]
+    for n in (len(files), 20):
+        for file, image in zip(files[-n:], webp_lossless.decode_many(files[-n:]), strict=True):
+            assert (image == webp_lossless.decode(file)).all()
+    for payload, image in zip(payloads, webp_lossless.decode_many(files), strict=False):
+        assert image[..., :3].tobytes()[: len(payload)] == payload
+    assert webp_lossless.decode_many([]) == []
+    for cut in (files[100][: len(files[100]) // 2], files[100][:-60]):
+        for some in ([*files, cut], [cut, *files], [cut]):
+            with pytest.raises(ValueError):
+                webp_lossless.decode_many(some)
+
+
+def test_media_factors_are_the_cheapest():
+    """Green that was subtracted is found again by cross-colour factors, so a predicted payload is not longer than it was."""
+    rng = np.random.default_rng(12)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000)).encode()
+    image = media.to_image(media.padded(text))
+    for mode in range(1, 5):
+        sizes = [len(webp_lossless.encode_thorough(image, modes=mode, cross=cross, subtract_green=True, block_bits=4)) for cross in ((0, -3, 1), media.CROSS[True])]
+        assert sizes[1] < 0.95 * sizes[0]
+
+
 def _predicted_by_hand(mode, left, top, corner, right):
     """One pixel's prediction, colour by colour, as the format's text has it."""
     avg = lambda a, b: (a + b) // 2

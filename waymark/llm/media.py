@@ -4,7 +4,8 @@ A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the
 pixels wide (wider, by powers of two, where 64 would make it higher than the format allows; rows are then filled up with
 zeros, which the stored payload length cuts off again). The media table is written to the shared folder and read back, so
 that features come from stored bytes. Every payload of whatever size is stored with all tools: few colours with a palette, all
-others with one of the fourteen predictors, cross-colour, colour cache and back-references, every other with subtract green.
+others with one of the fourteen predictors, cross-colour (of several factors those that take the fewest bits), colour cache and
+back-references, every other with subtract green.
 
 Defined results: a null text counts as empty and so is 192 spaces. Equal texts give equal values. A payload beyond the
 format's largest image (805 MB) raises. Bytes that are not a lossless WebP file raise. Other columns are never looked at.
@@ -25,8 +26,10 @@ from . import webp_lossless
 from .common import materialize
 
 UNIT, WIDTH = 192, 64
-#: What files are stored with besides a predictor mode: cross-colour factors, subtract green, bits of the colour cache.
-SETTINGS = (((3, -5, 2), False, 4), ((-1, 4, -6), True, 5), ((2, 0, 7), False, 6), ((0, -3, 1), True, 7))
+#: What files are stored with besides a predictor mode: subtract green, bits of the colour cache.
+SETTINGS = ((False, 4), (True, 5), (False, 6), (True, 7))
+#: Cross-colour factors that are tried on each payload without and with green subtracted; 32 is once the other colour.
+CROSS = {False: ((3, -5, 2), (0, 0, 1)), True: ((0, -3, 1), (0, -32, -32))}
 
 
 def encode(payload: bytes) -> bytes:
@@ -35,8 +38,8 @@ def encode(payload: bytes) -> bytes:
     found = webp_lossless.palette(image)
     if found is not None:
         return webp_lossless.encode_palette(image, found)
-    cross, subtract_green, cache_bits = SETTINGS[mark // 14 % len(SETTINGS)]
-    return webp_lossless.encode_thorough(image, modes=mark % 14, cross=cross, subtract_green=subtract_green, cache_bits=cache_bits, block_bits=4)
+    subtract_green, cache_bits = SETTINGS[mark // 14 % len(SETTINGS)]
+    return webp_lossless.encode_thorough(image, modes=mark % 14, cross=CROSS[subtract_green], subtract_green=subtract_green, cache_bits=cache_bits, block_bits=4)
 
 
 def to_image(payload: bytes) -> np.ndarray:
@@ -95,6 +98,21 @@ def pixel_arrays(media: DataFrame, media_col: str = "media") -> DataFrame:
     return media.select(*[c for c in media.columns if c != media_col], read(F.col(media_col)).alias("_image")).select("*", "_image.*").drop("_image")
 
 
+#: Files and their bytes (with one file at least) that are read together.
+FILES, FILE_BYTES = 8192, 1 << 25
+
+
+def _read(sizes: pa.Array, media: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Payload size, file and pixels of each row."""
+    ends = np.cumsum(sizes.to_numpy())
+    at = 0
+    while at < len(media):
+        upto = min(at + FILES, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FILE_BYTES))))
+        files = [m.as_buffer().to_pybytes() for m in media[at:upto]]
+        yield from zip(sizes[at:upto].to_pylist(), files, webp_lossless.decode_many(files), strict=True)
+        at = upto
+
+
 def measured(media: DataFrame) -> DataFrame:
     """Digests and features of the stored bytes and of the payload that they decode to."""
     kind = media.schema["id"].dataType.simpleString()
@@ -102,9 +120,7 @@ def measured(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sha, crc, size, media_sha, feature = [], [], [], [], []
-            for n, m in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-                stored = m.as_buffer().to_pybytes()
-                image = webp_lossless.decode(stored)
+            for n, stored, image in _read(b.column(2), b.column(3)):
                 payload = image[..., :3].tobytes()[:n]
                 sha.append(hashlib.sha256(payload).hexdigest())
                 crc.append(zlib.crc32(payload[-16:]))
@@ -121,4 +137,4 @@ def measured(media: DataFrame) -> DataFrame:
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The media table, written to the shared folder and read back."""
-    return materialize(encoded(docs, id_col, text_col), "media")
+    return materialize(encoded(docs, id_col, text_col), "media", "zstd")  # the heads of small files recur
