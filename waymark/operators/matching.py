@@ -125,6 +125,22 @@ def _ways(p: Column, q: Column, directed: bool) -> Column:
     return F.array(*[way(k, a, da, b, db) for k, ((a, da), (b, db)) in enumerate((x, y) for x in ahead for y in start)])
 
 
+#: Names for the nodes at the ends of the edges of p and q.
+ENDS = (("p_u", "p", "u"), ("p_v", "p", "v"), ("q_u", "q", "u"), ("q_v", "q", "v"))
+
+
+def _ahead(moves: DataFrame, edges: DataFrame, directed: bool, bounds: tuple[float, ...], with_nodes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """p_u, p_v, q_u, q_v and d0, d1, ...: metres of the routes between the ends of the edges of p and q, in the order of _ways, null
+    where there is none; and the routes. One row for each four nodes, however many moves (p, q) lie between their edges."""
+    ends = stored(moves.select(*[F.col(f"{x}.{n}").alias(c) for c, x, n in ENDS]).distinct(), "ends")
+    names = [c for c, _, _ in ENDS]
+    between = [("p_v", "q_u")] if directed else [(a, b) for a in ("p_u", "p_v") for b in ("q_u", "q_v")]
+    ways = ends.select(*names, F.posexplode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in between])).alias("k", "w")).select(*names, "k", "w.*")
+    routes = stored(routing.distances(ways, edges, network_nodes(edges), directed, with_nodes=with_nodes, bounds=bounds), "routes")
+    found = ways.join(routes.select("a", "b", "dist"), ["a", "b"]).groupBy(*names)
+    return stored(found.agg(*[F.max(F.when(F.col("k") == k, F.col("dist"))).alias(f"d{k}") for k in range(len(between))]), "ahead"), routes
+
+
 def _chained(found: DataFrame, points: DataFrame) -> DataFrame:
     """Each object's points in order of time: t from 0, cands (by edge), before (those of the point before), straight metres from it."""
     cands = found.groupBy("oid", "seq").agg(F.array_sort(F.collect_list(F.struct(*CANDIDATE))).alias("cands"))
@@ -144,15 +160,18 @@ def match(points: DataFrame, edges: DataFrame, search_m: float = SIGMA, directed
     """
     found = spatial.candidates(points.select("oid", "seq", "time", "lat", "lng"), edges, search_m)
     steps = stored(_chained(found, points), "chains")
-    pairs = steps.select("oid", "t", "straight", F.posexplode("before").alias("i", "p"), "cands").select("oid", "t", "straight", "i", "p", F.posexplode("cands").alias("j", "q"))
+    place = lambda c: F.struct(*[F.col(f"{c}.{k}") for k in ("eid", "u", "v", "length", "offset")])
+    pairs = steps.select("oid", "t", "straight", F.posexplode("before").alias("i", "p"), "cands").select("oid", "t", "straight", "i", place("p").alias("p"), F.posexplode("cands").alias("j", "q")).withColumn("q", place("q"))
     on = F.col("q.offset") - F.col("p.offset")
     same = F.when(on > 0, on) if directed else F.abs(on)
-    pairs = stored(pairs.withColumn("same", F.when(F.col("p.eid") == F.col("q.eid"), same)).withColumn("ways", F.when(F.col("p.eid") != F.col("q.eid"), _ways(F.col("p"), F.col("q"), directed))), "moves")
-    ways = pairs.select("oid", "t", "i", "j", F.explode("ways").alias("w")).select("oid", "t", "i", "j", "w.*")
-    routes = routing.distances(ways, edges, network_nodes(edges), directed, bounds=bounds)
-    best = ways.join(routes, ["a", "b"]).groupBy("oid", "t", "i", "j").agg(F.min(F.col("da") + F.col("dist") + F.col("db")).alias("route"))
-    moves = pairs.select("oid", "t", "i", "j", "straight", "same").join(best, ["oid", "t", "i", "j"], "left")
-    score = viterbi_chunks.scaled(transition(F.coalesce("same", "route"), F.col("straight")))
+    other = F.col("p.eid") != F.col("q.eid")
+    ahead, _ = _ahead(pairs.where(other), edges, directed, bounds)
+    pairs = pairs.withColumns({c: F.when(other, F.col(f"{x}.{n}")) for c, x, n in ENDS})
+    moves = pairs.join(ahead, [c for c, _, _ in ENDS], "left")
+    ways = _ways(F.col("p"), F.col("q"), directed)
+    total = [ways[k]["da"] + F.col(f"d{k}") + ways[k]["db"] for k in range(1 if directed else 4)]
+    route = total[0] if directed else F.least(*total)
+    score = viterbi_chunks.scaled(transition(F.when(other, route).otherwise(same), F.col("straight")))
     moves = moves.groupBy("oid", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", score.alias("score")))), lambda m: m["score"]).alias("move"))
     emitted = F.transform("cands", lambda c: viterbi_chunks.scaled(emission(c["error"])))
     chains = steps.select("oid", "t", F.size("before").alias("n_before"), emitted.alias("emission")).join(moves, ["oid", "t"], "left")
@@ -174,11 +193,13 @@ def to_paths(matched: DataFrame, edges: DataFrame, directed: bool = False, bound
     linked = F.col("p.eid").isNotNull()
     back = (F.col("p.eid") == F.col("q.eid")) & (F.col("q.offset") <= F.col("p.offset")) if directed else F.lit(False)
     rows = stored(rows.withColumns({"moved": linked & (F.col("p.eid") != F.col("q.eid")), "cut": ~linked | back}), "rows")
-    ways = rows.where("moved").select("oid", "t", F.explode(_ways(F.col("p"), F.col("q"), directed)).alias("w")).select("oid", "t", "w.*")
-    routes = stored(routing.distances(ways, edges, network_nodes(edges), directed, with_nodes=True, bounds=bounds), "routes")
-    total = F.col("da") + F.col("dist") + F.col("db")
-    best = ways.join(routes.drop("via"), ["a", "b"]).groupBy("oid", "t").agg(F.min(F.struct(total.alias("total"), "k", "a", "b", "da", "db")).alias("w")).select("oid", "t", "w.*")
-    rows = rows.join(best, ["oid", "t"], "left").withColumn("cut", F.col("cut") | (F.col("moved") & F.col("a").isNull()))
+    ahead, routes = _ahead(rows.where("moved"), edges, directed, bounds, with_nodes=True)
+    rows = rows.withColumns({c: F.when(F.col("moved"), F.col(f"{x}.{n}")) for c, x, n in ENDS}).join(ahead, [c for c, _, _ in ENDS], "left")
+    ways = _ways(F.col("p"), F.col("q"), directed)
+    ways = [ways[k] for k in range(1 if directed else 4)]
+    total = [F.struct((w["da"] + F.col(f"d{k}") + w["db"]).alias("total"), *[w[c].alias(c) for c in ("k", "a", "b", "da", "db")]) for k, w in enumerate(ways)]
+    best = F.array_min(F.array_compact(F.array(*[F.when(F.col(f"d{k}").isNotNull(), t) for k, t in enumerate(total)])))
+    rows = rows.withColumn("w", F.when(F.col("moved"), best)).select("oid", "t", "p", "q", "moved", (F.col("cut") | (F.col("moved") & F.col("w").isNull())).alias("cut"), "w.total", "w.a", "w.b", "w.da", "w.db")
     runs = Window.partitionBy("oid").orderBy("t")
     rows = rows.withColumns({"path": F.sum(F.col("cut").cast("long")).over(runs), "visit": F.sum((F.col("cut") | F.col("moved")).cast("long")).over(runs)})
     head = F.struct("t", F.col("p.time").alias("before"), F.col("q.time").alias("time"), F.when(F.col("cut"), F.lit(None)).otherwise(F.col("total")).alias("total"), "a", "b", "da", "db")

@@ -10,7 +10,7 @@ where no state can be reached it ends at the step before and a new one starts. O
 3. Each chunk finds, for each state at its exit, the state at its entry that the best sequence comes from.
 4. One scan back over those gives each chunk its exit state, and the chunks read their sequences off.
 
-A task of 1, 3 or 4 holds one chunk, and of the scans one row for each chunk of an object.
+A task of 1, 3 or 4 holds one chunk, and of the scans one row for each chunk of an object. Objects of one chunk are read off at once.
 """
 
 from __future__ import annotations
@@ -126,6 +126,20 @@ def most_likely(steps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     emission array<long>, move array<long> (n_before rows by as many columns as emission, row by row; empty if either is).
     """
     parts = stored(steps.withColumn("chunk", F.floor(F.col("t") / chunk).cast("long")), "steps")
+    long = stored(parts.where("chunk > 0").select("oid").distinct(), "long")
+    kind = "oid long, t long, state int"
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = Steps(pdf)
+        last, kept = s.run(np.zeros(0, np.int64), keep=True)
+        states, _ = _traced(s, np.zeros(0, np.int64), kept, int(last.argmax()) if len(last) else -1)
+        return pd.DataFrame({"oid": int(pdf.oid.iloc[0]), "t": s.t, "state": pd.array([None if x < 0 else x for x in states], "Int32")})
+
+    # An object of one chunk needs no scans.
+    short = parts.join(long, "oid", "left_anti").groupBy("oid").applyInPandas(alone, kind)
+    if long.isEmpty():
+        return short
+    parts = parts.join(long, "oid", "left_semi")
     first = parts.groupBy("oid", "chunk").agg(F.min_by("n_before", "t").alias("n_entry"))
     nested = "array<array<long>>"
 
@@ -168,4 +182,4 @@ def most_likely(steps: DataFrame, chunk: int = CHUNK) -> DataFrame:
         states, _ = _traced(s, message, kept, int(pdf.exit.iloc[0]))
         return pd.DataFrame({"oid": int(pdf.oid.iloc[0]), "t": s.t, "state": pd.array([None if x < 0 else x for x in states], "Int32")})
 
-    return with_entry.join(exits, ["oid", "chunk"]).groupBy("oid", "chunk").applyInPandas(read, "oid long, t long, state int")
+    return short.unionByName(with_entry.join(exits, ["oid", "chunk"]).groupBy("oid", "chunk").applyInPandas(read, kind))
