@@ -195,3 +195,16 @@ def test_boxes_far_north(spark):
     every = {(r.id, r.node): r.dist for r in spatial.nearest_any(points.where("id < 3"), ["id"], nodes, 2, 10.0).collect()}
     plain = points.where("id < 3").crossJoin(nodes).select("id", "node", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("y"), F.col("x")).alias("d")).toPandas()
     assert set(every) == {(i, n) for i, g in plain.groupby("id") for n in g.nsmallest(2, "d").node}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_routes_are_asked_once_for_the_same_streets(spark, monkeypatch, directed):
+    """Two thousand moves between a few streets ask for no more routes than these streets have ends."""
+    edges, asked, distances = lattice(spark, 3), [], routing.distances
+    k = F.col("id")
+    points = spark.range(2000).select((k % 3).alias("oid"), k.alias("seq"), F.timestamp_seconds(k).alias("time"), (34.0 + 0.0005 * (k % 2)).alias("lat"), (108.0 + 0.0005 * (F.floor(k / 2) % 2)).alias("lng"))
+    monkeypatch.setattr(routing, "distances", lambda pairs, *x, **y: (asked.append(pairs.count()), distances(pairs, *x, **y))[1])
+    out = matching.match(points, edges, directed=directed)
+    # Going back and forth on one-way streets makes no paths.
+    assert out.count() == 2000 and (matching.to_paths(out, edges, directed).count() > 0) == (not directed)
+    assert len(asked) == 2 and max(asked) <= 600
