@@ -208,3 +208,19 @@ def test_routes_are_asked_once_for_the_same_streets(spark, monkeypatch, directed
     # Going back and forth on one-way streets makes no paths.
     assert out.count() == 2000 and (matching.to_paths(out, edges, directed).count() > 0) == (not directed)
     assert len(asked) == 2 and max(asked) <= 600
+
+
+def test_regions_in_one_place_are_dealt_over_parts(spark, monkeypatch):
+    """Forty regions upon each other: a part holds few of them, and distances stay those of each region."""
+    edges = lattice(spark, 4)
+    _, want = plain_distances(edges)
+    every = spark.range(40).withColumnRenamed("id", "region")
+    name = lambda c: F.col("region") * 100 + F.col(c)
+    many = every.crossJoin(edges).select("eid", name("u").alias("u"), name("v").alias("v"), "length")
+    nodes = every.crossJoin(matching.network_nodes(edges)).select("region", name("node").alias("node"), "lat", "lng")
+    pairs = every.selectExpr("region * 100 as a", "region * 100 + 15 as b")
+    monkeypatch.setattr(routing, "PART_WAYS", 200)
+    sizes = routing._dealt(nodes, routing.steps(many, False)).groupBy("part").count().collect()
+    assert len(sizes) >= 7 and max(x["count"] for x in sizes) < 16 * 20
+    got = routing.distances(pairs, many, nodes, most=2000.0).collect()
+    assert {x.a: round(x.dist, 6) for x in got} == {100 * k: round(want[0][15], 6) for k in range(40)}
